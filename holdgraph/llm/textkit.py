@@ -60,13 +60,21 @@ def finalise(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Spans:
+    """64-bit hashes of spans values[start:end] that do not depend on where they stand."""
+
+    def __init__(self, values: np.ndarray, seed: int = 0):
+        power, self.inverse = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(finalise(values.astype(np.uint64) + np.uint64(seed + 1)) * power[: len(values)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return finalise(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of values[start:end] that do not depend on where they stand."""
-    power, inverse = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(finalise(values.astype(np.uint64) + np.uint64(seed + 1)) * power[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return finalise(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Spans(values, seed).hashes(starts, ends)
 
 
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
