@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdgraph.llm import bpe, chat, packing, tokens, toxicity
+from holdgraph.llm import bpe, chat, licenses, packing, tokens, toxicity
 from holdgraph.llm.session import table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -45,15 +45,21 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_license_scan": licenses.SCAN_SQL,
     "op5_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
