@@ -24,7 +24,7 @@ from holdgraph.llm.textkit import LETTER, NUMBER
 #: Words are hashed to so many weights.
 BITS = 18
 #: The fit reads at most so many labelled documents of each class, those with the smallest hashes of their ids.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 #: Besides each word, its beginnings of so many characters are features: inflected and compounded
 #: forms of a stem share them.
 BEGINNINGS = (4, 5)
