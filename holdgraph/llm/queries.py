@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdgraph.llm import bpe, chat, licenses, packing, tokens, toxicity
+from holdgraph.llm import bpe, chat, licenses, packing, substring, tokens, toxicity
 from holdgraph.llm.session import table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -51,6 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
@@ -59,6 +64,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 19, 0))) AS s FROM d)
+), again AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS k FROM win) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, s + o AS p FROM again, (SELECT unnest(range(20)) AS o)),
+word AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS x FROM d),
+part AS (
+  SELECT word.doc_id, count(*) AS n, count(gone.p) AS removed, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS kept
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN part ON d.doc_id = part.doc_id""",
     "op10_license_scan": licenses.SCAN_SQL,
     "op5_chat_format": r"""
 WITH t AS (
