@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdgraph.llm import bpe, chat, licenses, packing, substring, tokens, toxicity
+from holdgraph.llm import bpe, chat, licenses, ngramjoin, packing, substring, tokens, toxicity
 from holdgraph.llm.session import table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 #: A conversation that is formatted beside the table's: its texts hold marks and escapes.
 PLANTED_TEXT = r"\### Assistant: </turn> ok"
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op8_bpe_round_trip": op8_bpe_round_trip,
@@ -80,6 +85,22 @@ part AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN part ON d.doc_id = part.doc_id""",
     "op10_license_scan": licenses.SCAN_SQL,
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s + 1 : s + 5], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) >= 5 THEN len(w) - 4 WHEN len(w) > 0 THEN 1 ELSE 0 END)) AS s FROM d)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+link AS (
+  SELECT p.a, p.b FROM (SELECT u.doc_id AS a, v.doc_id AS b, count(*) AS i FROM g u JOIN g v ON u.x = v.x AND u.doc_id <> v.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * i >= 80 * (na.n + nb.n - i)
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT link.a, reach.r FROM reach JOIN link ON link.b = reach.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
     "op5_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
