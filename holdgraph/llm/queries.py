@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdgraph.llm import bpe, chat, licenses, ngramjoin, packing, substring, tokens, toxicity
+from holdgraph.llm import bpe, chat, licenses, neardup, ngramjoin, packing, substring, tokens, topk, toxicity
 from holdgraph.llm.session import table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -49,10 +49,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -64,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_license_scan": op10_license_scan,
 }
 
@@ -101,6 +111,24 @@ link AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+    "op7_embedding_near_dedup": """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9
+), reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM e UNION SELECT link.a, reach.r FROM reach JOIN link ON link.b = reach.vec_id
+), part AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+SELECT part.vec_id, (SELECT count(*) FROM link WHERE link.a = part.vec_id) AS n_links, component_id, part.vec_id = component_id AS kept FROM part""",
+    "op9_exact_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+), pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) WHERE rank <= 20""",
     "op5_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
