@@ -136,9 +136,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, anchor, _ in _block_arrays(batches):
-        distinct, n = np.unique(anchor, return_counts=True)
-        yield pa.RecordBatch.from_arrays([_signed(distinct), pa.array(n, pa.int64())], names=["anchor", "n"])
+    """Every anchor of a batch once: how often, and the least and greatest hash of its blocks' words."""
+    for _, _, anchor, whole in _block_arrays(batches):
+        order = np.lexsort((whole, anchor))
+        anchor, whole = anchor[order], whole[order].view(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        yield pa.RecordBatch.from_arrays([_signed(anchor[first]), pa.array(np.diff(np.append(first, len(anchor))), pa.int64()), pa.array(np.minimum.reduceat(whole, first), pa.int64()), pa.array(np.maximum.reduceat(whole, first), pa.int64())], names=["anchor", "n", "lo", "hi"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +178,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for key, tag, size, blob, open_ in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "_size", "_blob", "_open")), strict=True):
+            if not open_:
+                continue
             text = np.frombuffer(_unpacked(blob, size), dtype=np.uint8)
             words, _ = word_hashes(text, np.array([0, len(text)]))
             block = np.array(open_, dtype=np.int64)
@@ -221,66 +226,47 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
     rows = docs.select(F.struct(*(c for c in docs.columns if c != text_col)).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_key"), F.col(text_col).alias("_text"))
     keyed = rows.select("_key", "_text")
 
-    # Seeds: anchors that occur more than once.
-    seeds = keyed.mapInArrow(_seeds, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    seeds = written(seeds, "seeds").withColumn("seed", F.lit(True))
-    found = keyed.mapInArrow(_blocks, "anchor long, whole long, doc long, packed long, again boolean").join(seeds, "anchor", "left").where("again OR seed")
+    # Seeds: anchors that occur more than once, and whether all their blocks are the same.
+    seeds = keyed.mapInArrow(_seeds, "anchor long, n long, lo long, hi long").groupBy("anchor").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    seeds = written(seeds.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("parts")), "seeds")
+    found = keyed.mapInArrow(_blocks, "anchor long, whole long, doc long, packed long, again boolean").join(seeds, "anchor", "left").where("again OR parts IS NOT NULL")
 
-    # Extend: blocks that are the same to both ends; all but the first of them repeat whole.
+    # Extend: blocks that are the same to both ends; all but the first of them repeat whole. Dealt by
+    # both hashes, so that a common line in many surroundings is not one task's.
     place = F.shiftright("packed", COUNT_BITS + TAG_BITS)
     rank = F.rank().over(Window.partitionBy("anchor", "whole").orderBy("doc", place))
-    judged = found.withColumn("repeat", F.col("again") | (rank > 1))
+    judged = found.repartition("anchor", "whole").withColumn("repeat", F.col("again") | (rank > 1)).where("repeat OR parts")
     tag = F.col("packed").bitwiseAND((1 << TAG_BITS) - 1)
     spans = judged.groupBy(F.col("doc").alias("_key"), tag.alias("_tag")).agg(F.collect_list(F.when(F.col("repeat"), F.col("packed"))).alias("_spans"), F.collect_list(F.when(~F.col("repeat"), F.col("packed"))).alias("_open"))
 
-    # Each text meets its blocks once. It is finished there unless windows are still to be compared.
+    # Each text meets its blocks.
     row_type = rows.schema["_row"]
     packed_schema = T.StructType([row_type, *(T.StructField(n, t) for n, t in (("_key", T.LongType()), ("_tag", T.LongType()), ("_size", T.LongType()), ("_blob", T.BinaryType())))])
-    joined = rows.mapInArrow(_packed_text, packed_schema).join(spans, ["_key", "_tag"], "left")
-    longs = T.ArrayType(T.LongType())
-    met_schema = T.StructType([*packed_schema.fields, T.StructField("_spans", longs), T.StructField("_open", longs), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
+    met = rows.mapInArrow(_packed_text, packed_schema).join(spans, ["_key", "_tag"], "left")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept, blobs = [], [], [], []
-            for size, blob, spans_, open_ in zip(*(batch.column(c).to_pylist() for c in ("_size", "_blob", "_spans", "_open")), strict=True):
-                blobs.append(blob if open_ else None)
-                if open_:
-                    done = n = removed = None
-                else:
-                    n, removed, done = finish(_unpacked(blob, size), spans_ or [], [])
-                n_words.append(n)
-                n_removed.append(removed)
-                kept.append(done)
-            columns = [batch.column(c) for c in ("_row", "_key", "_tag", "_size")]
-            columns += [pa.array(blobs, pa.binary()), batch.column("_spans"), batch.column("_open"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=met_schema.names)
-
-    def finish(text: bytes, spans_: list[int], windows: list[int]) -> tuple[int, int, bytes]:
-        words = text.split()
-        block, single = np.array(spans_, dtype=np.int64), np.array(windows, dtype=np.int64)
-        start = block >> (COUNT_BITS + TAG_BITS)
-        end = start + (block >> TAG_BITS & ((1 << COUNT_BITS) - 1)) + LENGTH - 1
-        left = _kept(words, np.concatenate([start, single]), np.concatenate([end, single + LENGTH]))
-        whole = b" ".join(left)
-        return len(words), len(words) - len(left), whole if texts else hashlib.sha256(whole).hexdigest().encode()
-
-    met = written(joined.select(*packed_schema.names, "_spans", "_open").mapInArrow(meet, met_schema), "met")
-    pending = met.where(F.size("_open") > 0)
-
-    # Windows one by one, where blocks share an anchor and part ways.
-    singles = pending.select("_key", "_tag", "_size", "_blob", "_open").mapInArrow(_windows, "a long, b long, doc long, packed long, again boolean")
+    # Windows one by one, where blocks share an anchor and part ways. Both uses of `met` take all its
+    # columns and rows, so they read the same exchanges; the join below keeps its partitioning: no text
+    # moves a second time.
+    singles = met.mapInArrow(_windows, "a long, b long, doc long, packed long, again boolean")
     rank = F.rank().over(Window.partitionBy("a", "b").orderBy("doc", F.shiftright("packed", TAG_BITS)))
     again = singles.withColumn("repeat", F.col("again") | (rank > 1)).where("repeat")
     more = again.groupBy(F.col("doc").alias("_key"), tag.alias("_tag")).agg(F.collect_list(F.shiftright("packed", TAG_BITS)).alias("_windows"))
-    end_schema = T.StructType([row_type, *met_schema.fields[-3:]])
+    end_schema = T.StructType([row_type, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [finish(_unpacked(blob, size), spans_ or [], windows or []) for size, blob, spans_, windows in zip(*(batch.column(c).to_pylist() for c in ("_size", "_blob", "_spans", "_windows")), strict=True)]
-            n, removed, kept = zip(*done, strict=True) if done else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=end_schema.names)
-
-    finished = pending.join(more, ["_key", "_tag"], "left").select("_row", "_size", "_blob", "_spans", "_windows").mapInArrow(last, end_schema)
-    both = met.where(F.coalesce(F.size("_open"), F.lit(0)) <= 0).select(*end_schema.names).unionByName(finished)
-    return both.select("_row", F.col("_row").getField(id_col).alias("doc_id"), "n_words", "n_removed", "kept")
+            n_words, n_removed, kept = [], [], []
+            for size, blob, spans_, windows in zip(*(batch.column(c).to_pylist() for c in ("_size", "_blob", "_spans", "_windows")), strict=True):
+                words = _unpacked(blob, size).split()
+                block, single = np.array(spans_ or [], dtype=np.int64), np.array(windows or [], dtype=np.int64)
+                start = block >> (COUNT_BITS + TAG_BITS)
+                end = start + (block >> TAG_BITS & ((1 << COUNT_BITS) - 1)) + LENGTH - 1
+                left = _kept(words, np.concatenate([start, single]), np.concatenate([end, single + LENGTH]))
+                whole = b" ".join(left)
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(left))
+                kept.append(whole if texts else hashlib.sha256(whole).hexdigest().encode())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=end_schema.names)
+
+    finished = met.join(more, ["_key", "_tag"], "left").mapInArrow(last, end_schema)
+    return finished.select("_row", F.col("_row").getField(id_col).alias("doc_id"), "n_words", "n_removed", "kept")
