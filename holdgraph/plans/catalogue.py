@@ -1,11 +1,6 @@
 """The engine's queries over the driver's tables, and the SQL that each must equal."""
 
-from __future__ import annotations
+from holdgraph.plans import aggregates, exports, ownership, resolution, risk, scalars, stream, timeline  # noqa: F401
+from holdgraph.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "chain_depth"
