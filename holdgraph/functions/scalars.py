@@ -110,9 +110,9 @@ _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augu
 
 def human_date(value: Column) -> Column:
     """'3 May 2021' of an ISO beginning; null where the month is out of range. The day isn't checked."""
-    month = F.substring(value, 6, 2).cast("int")
+    month = F.substring(value, 6, 2).try_cast("int")
     name = F.element_at(F.array(*map(F.lit, _MONTHS)), F.when(month.between(1, 12), month).otherwise(1))
-    shown = F.concat_ws(" ", F.substring(value, 9, 2).cast("int").cast("string"), name, F.substring(value, 1, 4))
+    shown = F.concat_ws(" ", F.substring(value, 9, 2).try_cast("int").cast("string"), name, F.substring(value, 1, 4))
     return F.when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}") & month.between(1, 12), shown)
 
 

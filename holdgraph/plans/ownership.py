@@ -66,22 +66,22 @@ def diagram_layers(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {EDGES}, two AS (SELECT owner_id AS a, subject_id AS b FROM edge UNION SELECT subject_id, owner_id FROM edge),
-walk(root, node, hop) AS (SELECT statement_id, statement_id, 0 FROM entity WHERE key % 97 = 0 UNION SELECT w.root, t.b, w.hop + 1 FROM walk w JOIN two t ON t.a = w.node WHERE w.hop < 3)
+walk(root, node, hop) AS (SELECT statement_id, statement_id, 0 FROM entity WHERE place = 0 UNION SELECT w.root, t.b, w.hop + 1 FROM walk w JOIN two t ON t.a = w.node WHERE w.hop < 3)
 SELECT root, node, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY root, node""")
 def neighbourhood_3hop(spark, sf_dir):
     """Breadth-first both ways from anchors, three hops (GR1, JN5)."""
-    roots = derived.entities(spark, sf_dir).where("key % 97 = 0").select(F.col("statement_id").alias("root"))
+    roots = derived.entities(spark, sf_dir).where("place = 0").select(F.col("statement_id").alias("root"))
     return graph.neighbourhood(edges(spark, sf_dir), roots, 3)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, link AS (
-  SELECT owner_id AS a, subject_id AS b FROM edge WHERE key % 3 <> 0
+  SELECT owner_id AS a, subject_id AS b FROM edge WHERE type <> 'boardMember'
 ), two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(node, r) AS (SELECT a, a FROM two UNION SELECT t.a, reach.r FROM reach JOIN two t ON t.b = reach.node)
 SELECT node, min(r) AS component FROM reach GROUP BY node""")
 def components(spark, sf_dir):
-    """Connected parts of a thinned ownership graph (GR7, GR8)."""
-    e = edges(spark, sf_dir).where("key % 3 <> 0")
+    """Connected parts of the graph of ownership and control, without offices (GR7, GR8)."""
+    e = edges(spark, sf_dir).where("type <> 'boardMember'")
     return graph.components(e.select(F.col("owner_id").alias("a"), F.col("subject_id").alias("b")))
 
 

@@ -1 +1,146 @@
-"""To come."""
+"""Entity resolution over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from holdgraph.functions import names
+from holdgraph.functions import scalars as S
+from holdgraph.operators import graph
+from holdgraph.operators import resolution as R
+from holdgraph.plans.registry import query
+from holdgraph.sources import derived
+
+
+@query("""WITH p AS (SELECT p_partkey AS hit_id, unnest([struct_pack(key := 'lei', value := p_brand || '-' || p_size), struct_pack(key := 'wikidata_qid', value := 'Q' || (p_partkey % 900 + 1)), struct_pack(key := 'other', value := p_type)]) AS i FROM part)
+SELECT i.key AS key, i.value AS value, count(*) AS n, array_to_string(list_sort(list(hit_id)), ',') AS hits FROM p WHERE i.key IN ('lei', 'wikidata_qid') GROUP BY 1, 2 HAVING count(*) >= CASE i.key WHEN 'lei' THEN 2 ELSE 1 END""")
+def identifier_bridge(spark, sf_dir):
+    """Hits that share a strong identifier (ER1, JN11)."""
+    m = F.create_map(F.lit("lei"), F.concat_ws("-", "p_brand", "p_size"), F.lit("wikidata_qid"), F.concat(F.lit("Q"), (F.col("p_partkey") % 900 + 1).cast("string")), F.lit("other"), F.col("p_type"))
+    hits = derived.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hit_id"), m.alias("identifiers"))
+    return R.strong_bridges(hits, {"lei": 2, "wikidata_qid": 1}).select("key", "value", F.size("hits").cast("long").alias("n"), F.array_join(F.transform("hits", lambda h: h.cast("string")), ",").alias("hits"))
+
+
+@query("""WITH h AS (SELECT p_partkey AS hit_id, lower(p_type || ' ' || p_brand) AS name, p_partkey % 50 = 3 AS stub FROM part WHERE p_partkey % 7 <> 0),
+k AS (SELECT hit_id, stub, trim(regexp_replace(regexp_replace(name, '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM h)
+SELECT key, count(*) AS n, min(hit_id) AS first FROM k GROUP BY key HAVING count(*) >= 2 AND NOT bool_or(stub)""")
+def weak_bridge(spark, sf_dir):
+    """Persons of one name that nothing stronger links (ER2)."""
+    p = derived.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    hits = p.select(k.alias("hit_id"), F.lit("person").alias("kind"), F.concat_ws(" ", "p_type", "p_brand").alias("name"), (k % 50 == 3).alias("is_stub"))
+    out = R.weak_bridges(hits, p.where(k % 7 == 0).select(k.alias("hit_id")))
+    return out.select("key", F.size("hits").cast("long").alias("n"), F.array_min("hits").alias("first"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, p_type AS name_key, p_brand AS jurisdiction, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 10 END AS year, ['K:' || (p_partkey % 11)] AS keys FROM part)
+SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.name_key = y.name_key AND x.jurisdiction = y.jurisdiction AND x.id < y.id AND (x.year IS NULL OR y.year IS NULL OR x.year = y.year) AND NOT list_has_any(x.keys, y.keys)""")
+def same_name_pairs(spark, sf_dir):
+    """Possibly the same: name and jurisdiction agree, nothing conflicts (ER3, JN12)."""
+    k = F.col("p_partkey")
+    e = derived.table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_type").alias("name_key"), F.col("p_brand").alias("jurisdiction"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 10).alias("year"), F.array(F.concat(F.lit("K:"), (k % 11).cast("string"))).alias("keys"))
+    return R.possibly_same(e)
+
+
+@query("""WITH RECURSIVE k AS (SELECT s_suppkey AS id, unnest(['A:' || (s_suppkey % 37), 'B:' || (s_suppkey // 5)]) AS key FROM supplier),
+link AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key),
+reach(id, r) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT link.a, reach.r FROM reach JOIN link ON link.b = reach.id)
+SELECT id, min(r) AS canonical FROM reach GROUP BY id""")
+def entity_merge(spark, sf_dir):
+    """Entities merged over shared identifier keys: entity and key are the two sides of the graph (ER5, GR8)."""
+    s = derived.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    keys = F.array(F.concat(F.lit("A:"), (F.col("id") % 37).cast("string")), F.concat(F.lit("B:"), F.floor(F.col("id") / 5).cast("string")))
+    links = s.select(F.lpad(F.col("id").cast("string"), 12, "0").alias("a"), F.explode(keys).alias("b"))
+    parts = graph.components(links)
+    return parts.where("node NOT LIKE '%:%'").select(F.col("node").cast("long").alias("id"), F.col("component").cast("long").alias("canonical"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, [struct_pack(scheme := 'XI-LEI', id := 'l' || (p_partkey % 500)), struct_pack(scheme := 'GB-COH', id := 'c' || p_size), struct_pack(scheme := 'GB-VAT', id := 'v' || p_size)] AS ids FROM part),
+k AS (SELECT id, unnest(list_distinct(flatten(list_transform(ids, lambda i: list_filter([CASE WHEN contains(i.scheme, 'LEI') THEN 'LEI:' || upper(i.id) END, i.scheme || ':' || upper(i.id), CASE WHEN NOT contains(i.scheme, 'VAT') AND NOT contains(i.scheme, 'LEI') THEN 'JUR:GB:' || upper(i.id) END], lambda x: x IS NOT NULL))))) AS key FROM e)
+SELECT key, count(*) AS n FROM k GROUP BY key""")
+def merge_keys(spark, sf_dir):
+    """Merge keys of identifiers (ER4)."""
+    ident = lambda scheme, c: F.struct(F.lit(scheme).alias("scheme"), c.alias("id"))
+    p = derived.table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    ids = F.array(ident("XI-LEI", F.concat(F.lit("l"), (F.col("p_partkey") % 500).cast("string"))), ident("GB-COH", F.concat(F.lit("c"), size)), ident("GB-VAT", F.concat(F.lit("v"), size)))
+    return p.select(F.explode(R.merge_keys(ids, F.lit("GB"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+_A, _B = "list_filter(string_split(lower(x.p_name), ' '), lambda t: t <> '')", "list_filter(string_split(lower(y.p_name), ' '), lambda t: t <> '')"
+_HARD = lambda t: f"list_sort(list_distinct(list_filter({t}, lambda q: length(q) = 1 OR regexp_matches(q, '^[0-9]+$'))))"
+_COVER = lambda s, t: f"len(list_filter({s}, lambda u: len(list_filter({t}, lambda v: u = v OR (length(u) >= 4 AND levenshtein(u, v) <= 1))) > 0)) = len({s})"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, p_name, p_brand, p_size FROM part)
+SELECT x.p_partkey AS a, y.p_partkey AS b FROM q x JOIN q y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey
+WHERE {_HARD(_A)} = {_HARD(_B)} AND CASE WHEN len({_A}) <= len({_B}) THEN {_COVER(_A, _B)} ELSE {_COVER(_B, _A)} END""")
+def token_gate(spark, sf_dir):
+    """Agreement on distinctive tokens within blocks (ER7)."""
+    p = derived.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.filter(F.split(F.lower("p_name"), " "), lambda t: t != "").alias("t"))
+    q = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("t").alias("u"))
+    return p.withColumnRenamed("p_partkey", "a").join(q, ["p_brand", "p_size"]).where("a < b").where(S.token_gate(F.col("t"), F.col("u"))).select("a", "b")
+
+
+@query()
+def name_screening(spark, sf_dir):
+    """Names of suppliers against customers, blocked on tokens, scored and graded (ER6, ER8-ER10, ER12, JN13).
+    DuckDB has no sequence matcher, so tests hold the score."""
+    c = derived.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_name").alias("a_name"))
+    s = derived.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.regexp_replace("s_name", "Supplier", "Customer").alias("b_name"))
+    block = lambda df, n: df.withColumn("block", F.filter(names.distinctive_tokens(n), lambda t: ~t.isin("customer")))
+    return R.screened(R.blocked_pairs(block(c, "a_name"), block(s, "b_name"), "block")).select("a", "b", F.round("score", 6).alias("score"), "confidence")
+
+
+@query("""WITH p AS (SELECT s_suppkey, s_nationkey, 1940 + s_suppkey % 60 AS birth FROM supplier),
+x AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.birth = b.birth AS year, a.s_suppkey % 5 = b.s_suppkey % 5 AS shared FROM p a JOIN p b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.birth - b.birth) <= 1)
+SELECT a, b, round(CASE WHEN shared THEN 0.95 ELSE 0.65 + CASE WHEN year THEN 0.1 ELSE 0 END END, 6) AS score FROM x""")
+def person_scores(spark, sf_dir):
+    """Pair scores of persons: a band of birth years as an equi-join, bonuses, caps and floors (ER11, ER16,
+    JN14, JN15)."""
+    p = derived.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), "s_nationkey", (1940 + F.col("s_suppkey") % 60).alias("birth"))
+    near = p.select(F.col("a").alias("b"), "s_nationkey", F.col("birth").alias("birth_b"), F.explode(F.array(F.col("birth") - 1, F.col("birth"), F.col("birth") + 1)).alias("birth"))
+    j = p.join(near, ["s_nationkey", "birth"]).where("a < b")
+    score = R.person_pair_score(F.lit(0.6), F.col("birth") == F.col("birth_b"), F.lit(True), F.lit(False), F.abs(F.col("birth") - F.col("birth_b")) > 1, F.col("a") % 5 == F.col("b") % 5)
+    return j.select("a", "b", F.round(score, 6).alias("score"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_size, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda t: t <> '')) AS a, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda t: t <> '')) AS b FROM part)
+SELECT p_partkey, CASE WHEN p_size = p_partkey % 50 THEN 'high' WHEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.6 THEN 'medium' ELSE 'low' END AS tier FROM p""")
+def address_tiers(spark, sf_dir):
+    """Postal point, equal text, token Jaccard (ER21, SF27)."""
+    tier = S.address_tier(F.col("p_size"), F.col("p_partkey") % 50, F.col("p_name"), F.concat_ws(" ", "p_type", "p_name"))
+    return derived.table(spark, sf_dir, "part").select("p_partkey", tier.alias("tier"))
+
+
+@query("""WITH h AS (SELECT user_id, event_id % 40 AS hit, CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 4 ELSE 5 END AS strategy, event_id FROM events),
+b AS (SELECT *, min(strategy) OVER (PARTITION BY user_id) AS best FROM h)
+SELECT user_id, hit, CAST(strategy AS INTEGER) AS strategy, min(event_id) AS event_id FROM b WHERE strategy = best GROUP BY user_id, hit, strategy""")
+def search_strategies(spark, sf_dir):
+    """The first search strategy with any hit wins (ER22)."""
+    order = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 3).when(F.col("event_type") == "view", 4).otherwise(5)
+    h = derived.table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 40).alias("hit"), order.alias("strategy"), "event_id")
+    return R.first_strategy(h, "user_id", "strategy", "hit", F.col("event_id"))
+
+
+@query("""WITH h AS (SELECT user_id AS g, event_id % 25 AS id, event_type AS variant, CAST(floor(value) AS BIGINT) AS rank FROM events),
+v AS (SELECT g, id, count(DISTINCT variant) AS votes, min(rank) AS best FROM h GROUP BY g, id)
+SELECT "group", id, votes, best, place FROM (SELECT g AS "group", id, votes, best, row_number() OVER (PARTITION BY g ORDER BY votes DESC, best, id) AS place FROM v) WHERE place <= 5""")
+def vote_rank(spark, sf_dir):
+    """Relaxed search: votes of query variants, then best rank (WN3)."""
+    h = derived.table(spark, sf_dir, "events").select(F.col("user_id").alias("group"), (F.col("event_id") % 25).alias("id"), F.col("event_type").alias("variant"), F.floor("value").alias("rank"))
+    return R.votes(h, 5)
+
+
+@query(r"""WITH q(query) AS (VALUES ('customer 000000007'), ('Customer 00000001')), e AS (SELECT c_custkey, unnest(string_split(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM customer),
+t AS (SELECT query, unnest(string_split(lower(query), ' ')) AS token FROM q)
+SELECT query, c_custkey, count(DISTINCT t.token) AS matched, place FROM (SELECT *, 0 AS place FROM t) t JOIN e ON starts_with(e.token, t.token) GROUP BY query, c_custkey, place HAVING count(DISTINCT t.token) = 2""")
+def prefix_search(spark, sf_dir):
+    """Token-prefix search over a name index (SC5-SC7). Prefixes are explored as an equi-join on the index's
+    own prefixes."""
+    q = spark.createDataFrame([("customer 000000007",), ("Customer 00000001",)], "query string")
+    tokens = derived.table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.split(F.trim(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", " ")), " ")).alias("token"))
+    prefixes = tokens.select("c_custkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.substr(F.col("token"), F.lit(1), n))).alias("token")).distinct()
+    asked = q.select("query", F.explode(F.split(F.lower("query"), " ")).alias("token"))
+    out = prefixes.join(asked, "token").groupBy("query", "c_custkey").agg(F.countDistinct("token").alias("matched")).where("matched = 2")
+    return out.withColumn("place", F.lit(0))
