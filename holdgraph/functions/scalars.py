@@ -66,7 +66,7 @@ def business_id_ok(value: Column) -> Column:
 def organisation_number_ok(value: Column) -> Column:
     """Swedish organisation number: ten digits that pass Luhn."""
     text = F.regexp_replace(F.trim(value), "[- ]", "")
-    return F.coalesce(text.rlike("^[0-9]{10}$") & F.luhn_check(text), F.lit(False))
+    return F.coalesce(text.rlike("^[0-9]{10}$") & F.call_function("luhn_check", text), F.lit(False))
 
 
 def cnpj_ok(value: Column) -> Column:
