@@ -203,6 +203,6 @@ def address_tier(paf_a: Column, paf_b: Column, address_a: Column, address_b: Col
 def nature_of_control(nature: Column) -> Column:
     """A filed nature of control as an interest type and a share band."""
     low = F.lower(nature)
-    kind = F.when(low.startswith("ownership-of-shares"), "shareholding").when(low.startswith("voting-rights"), "votingRights").when(low.startswith("right-to-appoint-and-remove"), "appointmentOfBoard").when(low.startswith("right-to-share-surplus-assets"), "rightToSurplusAssetsOnDissolution").otherwise("otherInfluenceOrControl")
+    kind = F.when(low.startswith("ownership-of-shares"), "shareholding").when(low.startswith("voting-rights"), "votingRights").when(low.rlike("^right-to-appoint-and-remove-(directors|members|person)"), "appointmentOfBoard").when(low.rlike("^(part-)?right-to-share-surplus-assets"), "rightsToSurplusAssetsOnDissolution").otherwise("otherInfluenceOrControl")
     part = lambda k: F.regexp_extract(low, "([0-9]+)-to-([0-9]+)-percent", k)
     return F.struct(kind.alias("type"), F.when(part(1) != "", part(1).cast("double")).alias("exclusiveMinimum"), F.when(part(2) != "", part(2).cast("double")).alias("maximum"))
