@@ -150,7 +150,7 @@ def percent_of(proportion: Column) -> Column:
 
 
 def split_values(cell: Column, mark: str = ";") -> Column:
-    return F.filter(F.transform(F.split(cell, mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(cell, mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def plain_name(name: Column) -> Column:

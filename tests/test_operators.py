@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
-from holdgraph.operators import exports, graph, resolution, risk, rollups, timeline
+from holdgraph.operators import exports, graph, resolution, risk, rollups, selection, timeline
 from holdgraph.sources import statements
 from holdgraph.streaming import changes
 
@@ -162,3 +162,20 @@ def test_stream_windows(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/events.parquet")
     out = changes.drained(changes.windows(stream), "complete")
     assert [(r.event_type, r.n) for r in out.collect()] == [("view", 2)]
+
+
+def test_contained_forms_of_any_length(spark):
+    hits = spark.createDataFrame([(1, "Acme Trading"), (2, "a b c d e f g h i j"), (3, "acm")], "hit_id int, form string")
+    targets = spark.createDataFrame([(7, "The ACME-Trading Co"), (8, "x a b c d e f g h i j y"), (9, "")], "target_id int, name string")
+    assert {(r.hit_id, r.target_id) for r in selection.contained(hits, targets).collect()} == {(1, 7), (2, 8)}
+
+
+def test_validated_claims(spark):
+    claims = spark.createDataFrame([(1, ["f1"]), (2, ["f1", "f9"]), (3, []), (4, None)], "claim_id int, cited array<string>")
+    evidence = spark.createDataFrame([("f1",)], "id string")
+    assert {r.claim_id for r in selection.validated(claims, evidence).where("kept").collect()} == {1}
+
+
+def test_split_values_and_ladder(spark):
+    got = spark.createDataFrame([(" a; ;b ;", "ann lee", "lee ann")], "c string, a string, b string").select(S.split_values(F.col("c")).alias("v"), selection.name_ladder(F.col("a"), F.col("b")).alias("l")).first()
+    assert (got.v, got.l) == (["a", "b"], 0.97)
