@@ -49,3 +49,31 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "complete":
         out = out.where(F.col("_batch") == out.agg(F.max("_batch")).first()[0])
     return out.drop("_batch", "number")
+
+
+def closings(events: DataFrame) -> DataFrame:
+    """Records with the closings that deletions stand for: a deletion has no data, so the last state that was
+    seen of its record is kept by key, and closed when the deletion arrives. events: record_id, seq, data
+    (null: deleted). Rows: record_id, seq, data, status."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        last = state.get[0] if state.exists else None
+        for frame in frames:
+            rows = []
+            for r in frame.sort_values("seq").itertuples():
+                if r.data is not None:
+                    rows.append((key[0], r.seq, r.data, "updated" if last is not None else "new"))
+                    last = r.data
+                elif last is not None:
+                    rows.append((key[0], r.seq, last, "closed"))
+                    last = None
+            yield pd.DataFrame(rows, columns=["record_id", "seq", "data", "status"])
+        if last is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last,))
+
+    return events.groupBy("record_id").applyInPandasWithState(step, "record_id string, seq long, data string, status string", "data string", "append", GroupStateTimeout.NoTimeout)
