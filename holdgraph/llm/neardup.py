@@ -25,11 +25,13 @@ from holdgraph.llm.vectors import one_per_id, stacked
 
 THRESHOLD = 0.9
 #: Nodes that a shard aims at; rows that centroids are fitted on; most centroids.
-SHARD, FITTED, MOST_SHARDS = 1000, 16384, 4096
+SHARD, FITTED, MOST_SHARDS = 4000, 16384, 4096
 #: Candidates before pruning, edges after it, the pruning factor, the beam and its steps.
 CANDIDATES, DEGREE, ALPHA, BEAM, STEPS = 64, 24, 1.2, 16, 48
+#: Edges to random nodes around the threshold, so that a dense group stays in one piece; queries at once.
+SPREAD, TOGETHER = 8, 256
 #: Nodes audited, the recall asked for, and the overlaps tried.
-AUDITED, RECALL, OVERLAPS = 200, 0.98, (2, 4, 8)
+AUDITED, RECALL, OVERLAPS = 200, 0.98, (2, 4)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,10 +57,17 @@ def robust_prune(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if width <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     out_from, out_to = [], []
+    rng = np.random.default_rng(0)
     for a in range(0, n, 512):
         rows = np.arange(a, min(a + 512, n))
         near = x[rows] @ x.T
         near[np.arange(len(rows)), rows] = -np.inf
+        some = rng.random(near.shape, dtype=np.float32)
+        some[near < THRESHOLD] = -1
+        spread = np.argpartition(-some, min(SPREAD, n - 1), axis=1)[:, :SPREAD]
+        i, j = np.nonzero(np.take_along_axis(some, spread, axis=1) >= 0)
+        out_from.append(rows[i])
+        out_to.append(spread[i, j])
         nearest = np.argpartition(-near, width - 1, axis=1)[:, :width]
         nearest = np.take_along_axis(nearest, np.argsort(-np.take_along_axis(near, nearest, axis=1), axis=1), axis=1)
         far = 1 - np.take_along_axis(near, nearest, axis=1)
@@ -110,18 +119,24 @@ def range_search(x: np.ndarray, queries: np.ndarray, offsets: np.ndarray, target
         keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < BEAM
         beam, score, done = nodes[keep].reshape(nq, BEAM), values[keep].reshape(nq, BEAM), ended[keep].reshape(nq, BEAM)
     hit = (score >= threshold) & (beam >= 0)
-    front = np.nonzero(hit)[0] * n + beam[hit]
+    seen = np.zeros((nq, n), dtype=bool)
+    seen[np.nonzero(hit)[0], beam[hit]] = True
     # A query is a node too: its own edges are part of what it reaches.
-    seen = front = np.union1d(front, np.arange(nq) * n + queries)
-    while len(front):
-        owner, node = front // n, front % n
-        count = degree[node]
-        to = targets[np.repeat(offsets[node] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        pair = np.setdiff1d(np.unique(np.repeat(owner, count) * n + to), seen, assume_unique=True)
-        near = np.concatenate([np.einsum("ij,ij->i", q[p // n], x[p % n]) for p in np.array_split(pair, 1 + len(pair) // 200_000)]) >= threshold
-        front = pair[near]
-        seen = np.union1d(seen, front)
-    return seen // n, seen % n
+    seen[np.arange(nq), queries] = True
+    padded = np.repeat(np.arange(n)[:, None], max(1, degree.max(initial=0)), axis=1)
+    padded[np.repeat(np.arange(n), degree), np.arange(len(targets)) - np.repeat(offsets[:-1], degree)] = targets
+    front = np.nonzero(seen)
+    while len(front[0]):
+        reached = np.zeros((nq, n), dtype=bool)
+        for slot in padded.T:
+            reached[front[0], slot[front[1]]] = True
+        owner, node = np.nonzero(reached & ~seen)
+        near = np.zeros(len(owner), dtype=bool)
+        for a in range(0, len(owner), 50_000):
+            near[a : a + 50_000] = np.einsum("ij,ij->i", q[owner[a : a + 50_000]], x[node[a : a + 50_000]]) >= threshold
+        front = owner[near], node[near]
+        seen[front] = True
+    return np.nonzero(seen)
 
 
 def _shards(nodes: DataFrame, middle, overlap: int) -> DataFrame:
@@ -139,7 +154,8 @@ def _shards(nodes: DataFrame, middle, overlap: int) -> DataFrame:
             row = pa.array(np.repeat(np.arange(len(x)), n))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(row), batch.column("v").take(row), pa.array(best.ravel(), pa.int32()), pa.array(np.tile(np.arange(n) == 0, len(x)), pa.bool_())], names=["node", "v", "shard", "home"])
 
-    return nodes.mapInArrow(run, "node long, v array<double>, shard int, home boolean")
+    element = nodes.schema["v"].dataType.simpleString()
+    return nodes.mapInArrow(run, f"node long, v {element}, shard int, home boolean")
 
 
 def _found(nodes: DataFrame, overlap: int, threshold: float) -> DataFrame:
@@ -147,7 +163,7 @@ def _found(nodes: DataFrame, overlap: int, threshold: float) -> DataFrame:
     spark = nodes.sparkSession
     n = nodes.count()
     k = max(1, min(math.ceil(n / SHARD), MOST_SHARDS, FITTED // 4))
-    sample = unit(np.stack([np.array(r[0]) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(FITTED).select("v").collect()]))
+    sample = unit(stacked(nodes.orderBy(F.xxhash64("node"), "node").limit(FITTED).select("v").toPandas()["v"]))
     middle = spark.sparkContext.broadcast(centroids(sample, min(k, len(sample))))
     dealt = written(_shards(nodes, middle, overlap), "shards")
 
@@ -182,8 +198,8 @@ def _found(nodes: DataFrame, overlap: int, threshold: float) -> DataFrame:
         owner, at = owner[here], at[here]
         offsets = np.searchsorted(owner, np.arange(len(ids) + 1))
         medoid = queries[np.argmax(x[queries] @ x[queries].mean(axis=0))]
-        pairs = [range_search(x, queries[a : a + 1024], offsets, at, medoid, threshold - 1e-9) for a in range(0, len(queries), 1024)]
-        q = np.concatenate([queries[a * 1024 + p[0]] for a, p in enumerate(pairs)])
+        pairs = [range_search(x, queries[a : a + TOGETHER], offsets, at, medoid, threshold - 1e-9) for a in range(0, len(queries), TOGETHER)]
+        q = np.concatenate([queries[a * TOGETHER + p[0]] for a, p in enumerate(pairs)])
         node = np.concatenate([p[1] for p in pairs])
         q, node = q[q != node], node[q != node]
         raw = stacked(pdf["v"])
@@ -202,7 +218,7 @@ def audit(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, samp
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).collect()
     if not chosen:
         return 1.0
-    ids, q = np.array([r["node"] for r in chosen]), spark.sparkContext.broadcast(unit(np.stack([np.array(r["v"]) for r in chosen])))
+    ids, q = np.array([r["node"] for r in chosen]), spark.sparkContext.broadcast(unit(np.array([r["v"] for r in chosen], dtype=np.float64)))
 
     def run(batches):
         for batch in batches:

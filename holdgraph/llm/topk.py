@@ -82,7 +82,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     hold null or non-finite components take no part, nor do null ids; of rows that share an id the smallest
     vector counts. Vectors of different lengths don't meet. An empty table gives an empty one."""
     spark = vectors.sparkSession
-    whole = F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double"))
+    whole = F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     rows = one_per_id(vectors, id_col, vector_col).select("vec_id", whole.alias("v"))
     rows = rows.select("vec_id", "v", F.size("v").alias("dims"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("length"))
     rows = written(rows, "vectors")

@@ -14,10 +14,11 @@ def usable(embedding: Column) -> Column:
 
 
 def one_per_id(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (doubles): of usable rows that share an id the smallest vector; no null ids."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """vec_id, v: of usable rows that share an id the smallest vector; no null ids."""
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     return v.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def stacked(column) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
+    """Rows of a column of arrays as a matrix of doubles."""
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
