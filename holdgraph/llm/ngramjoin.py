@@ -8,9 +8,10 @@ that exactly the same classes hold are one bucket, of which the first in order s
 
 Near copies come in groups, so pairs are not all emitted: in a first round each class meets one class
 of each bucket; verified links join them to components; in a second round only classes of a bucket
-that are still in different components meet. Each pair is verified once, on the texts' own shingle
-sets, after a suffix filter (how many shingles both have in each of 16 ranges bounds what they share).
-Components are complete: two similar sets either end in one component or are compared.
+that are still in different components meet, in their first common bucket, and under the suffix filter:
+the parities of both sets' shingles in 512 hash ranges differ in at most as many places as the sets do,
+which bounds what they share. Each pair is verified once, on the texts' own shingle sets. Components
+are complete: two similar sets either end in one component or are compared.
 """
 
 from __future__ import annotations
@@ -18,26 +19,30 @@ from __future__ import annotations
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from holdgraph.llm import textkit
 from holdgraph.llm.graph import components
 from holdgraph.llm.session import written
 from holdgraph.llm.substring import _bytes, _signed, _unpacked, word_hashes
-from holdgraph.llm.textkit import Spans, finalise, sums_by
+from holdgraph.llm.textkit import Spans, finalise
 
 #: Words of a shingle; the threshold in hundredths.
 WORDS, PERCENT = 5, 80
 #: Buckets of the count table: its size doesn't depend on the corpus.
 COUNT_BITS = 18
-#: Ranges of the suffix filter; sets that a task keeps while it verifies pairs.
-RANGES, KEPT_SETS = 16, 512
+#: 64-bit words of the suffix filter's parities; sets that a task keeps while it verifies pairs.
+PARITY_WORDS, KEPT_SETS = 8, 512
+#: Classes with at most so many open buckets carry their list, so that a pair meets in its first common
+#: bucket alone; pairs of longer lists may meet more than once and are made distinct afterwards.
+LISTED = 256
 _LEAST = -(1 << 63)
+_WORDS = [f"w{k}" for k in range(PARITY_WORDS)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -73,6 +78,15 @@ def _class_hashes(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def _parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each set: whether an odd number of its shingles falls into each of 64 * PARITY_WORDS ranges, as words."""
+    n, ranges = len(at) - 1, 64 * PARITY_WORDS
+    text = np.repeat(np.arange(n), np.diff(at))
+    place = (hashes >> np.uint64(20)).astype(np.int64) % ranges
+    odd = (np.bincount(text * ranges + place, minlength=n * ranges) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, PARITY_WORDS)
+
+
 def _checksum(column: pa.Array) -> list[int]:
     data, offsets = _bytes(column)
     view = memoryview(data)
@@ -83,7 +97,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, a, b, hashes, at in _sets(batches):
         h1, h2 = _class_hashes(hashes, at)
         part = batch.slice(a, b - a)
-        yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(_checksum(part.column("_text")), pa.int64()), pa.array(np.diff(at), pa.int64()), _signed(h1), _signed(h2)], names=["key", "crc", "n", "h1", "h2"])
+        words = [pa.array(w, pa.int64()) for w in _parities(hashes, at).T]
+        yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(_checksum(part.column("_text")), pa.int64()), pa.array(np.diff(at), pa.int64()), _signed(h1), _signed(h2), *words], names=["key", "crc", "n", "h1", "h2", *_WORDS])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,21 +143,18 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([zlib.crc32(view[a:b]) for a, b in pairs], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array([pa.compress(view[a:b], codec="zstd", asbytes=True) for a, b in pairs], pa.binary())], names=["key", "crc", "size", "blob"])
 
 
-def similar(a: np.ndarray, b: np.ndarray, ranges_a: np.ndarray, ranges_b: np.ndarray) -> bool:
-    need = PERCENT * (len(a) + len(b))  # 100 * i >= 80 * (|a| + |b| - i)
-    if (100 + PERCENT) * int(np.minimum(ranges_a, ranges_b).sum()) < need:
-        return False
-    return (100 + PERCENT) * len(np.intersect1d(a, b, assume_unique=True)) >= need
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """100 * i >= PERCENT * (|a| + |b| - i), in whole numbers."""
+    return (100 + PERCENT) * len(np.intersect1d(a, b, assume_unique=True)) >= PERCENT * (len(a) + len(b))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: OrderedDict[tuple, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+    sets: OrderedDict[tuple, np.ndarray] = OrderedDict()
 
-    def of(key: tuple, blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def of(key: tuple, blob: bytes, size: int) -> np.ndarray:
         if key not in sets:
             text = np.frombuffer(_unpacked(blob, size), dtype=np.uint8)
-            hashes, _ = shingle_sets(text, np.array([0, len(text)]))
-            sets[key] = hashes, np.bincount((hashes >> np.uint64(60)).astype(np.int64), minlength=RANGES)
+            sets[key], _ = shingle_sets(text, np.array([0, len(text)]))
             if len(sets) > KEPT_SETS:
                 sets.popitem(last=False)
         sets.move_to_end(key)
@@ -152,8 +164,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit_a, hit_b = [], []
         for ka, ca, sa, ba, kb, cb, sb, bb in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            (a, ra), (b, rb) = of((ka, ca), ba, sa), of((kb, cb), bb, sb)
-            if similar(a, b, ra, rb):
+            if similar(of((ka, ca), ba, sa), of((kb, cb), bb, sb)):
                 hit_a.append(ka)
                 hit_b.append(kb)
         yield pa.RecordBatch.from_arrays([pa.array(hit_a, pa.int64()), pa.array(hit_b, pa.int64())], names=["a", "b"])
@@ -169,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _fits(n_a, pos_a, n_b, pos_b):
     """Length filter, and positional filter: what follows the shared shingle bounds what is shared."""
     need = PERCENT * (n_a + n_b)
-    longest = 1 + F.least(n_a - pos_a, n_b - pos_b) - 1
+    longest = F.least(n_a - pos_a, n_b - pos_b)
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * longest >= need)
 
 
@@ -184,9 +195,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_key"), F.col(text_col).alias("_text"))
-    keys = written(rows.mapInArrow(_keys, "key long, crc long, n long, h1 long, h2 long"), "keys")
+    keys = written(rows.mapInArrow(_keys, ", ".join(f"{c} long" for c in ("key", "crc", "n", "h1", "h2", *_WORDS))), "keys")
     first = F.min(F.struct("key", "crc"))
-    classes = written(keys.where("n > 0").groupBy("h1", "h2", "n").agg(first.alias("first")).select(F.col("h1").alias("cls"), "h2", "n", "first.key", "first.crc"), "classes")
+    # Rows of a class have the same set, so any of their parities will do.
+    classes = keys.where("n > 0").groupBy("h1", "h2", "n").agg(first.alias("first"), *(F.max(w).alias(w) for w in _WORDS))
+    classes = written(classes.select(F.col("h1").alias("cls"), "h2", "n", "first.key", "first.crc", *_WORDS), "classes")
 
     # Rare first: counts over all documents, in a table of fixed size.
     counted = rows.select("_text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -215,14 +228,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = written(members.select("shingle", "cls", "n", "pos").join(part, "cls"), "placed")
     mixed = written(placed.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle"), "mixed")
     open_ = written(placed.join(mixed, "shingle"), "open")
-    other = open_.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("cls", "n", "pos", "part")))
-    apart = (F.col("cls") < F.col("o_cls")) & (F.col("part") != F.col("o_part")) & _fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos"))
+    mine = F.sort_array(F.collect_list(F.struct("pos", "shingle")))
+    listed = open_.groupBy("cls").agg(mine.alias("list")).select("cls", F.when(F.size("list") <= LISTED, F.col("list.shingle")).alias("list"))
+    # Should two sets ever share a class hash, they have no parities and pass the suffix filter.
+    parities = classes.groupBy("cls").agg(*(F.when(F.count(F.lit(1)) == 1, F.max(w)).alias(w) for w in _WORDS))
+    open_ = written(open_.join(listed.join(parities, "cls"), "cls"), "listed")
+    other = open_.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("cls", "n", "pos", "part", "list", *_WORDS)))
+    apart_at_least = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in _WORDS))
+    both = F.col("n") + F.col("o_n")
+    suffix = F.coalesce((100 + PERCENT) * (both - apart_at_least) >= 2 * PERCENT * both, F.lit(True))
+    # Both lists follow the one order of all shingles, so the first that they share is the pair's first bucket.
+    first_met = F.coalesce(F.get(F.array_intersect("list", "o_list"), F.lit(0)) == F.col("shingle"), F.lit(True))
+    apart = (F.col("cls") < F.col("o_cls")) & (F.col("part") != F.col("o_part")) & _fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")) & suffix & first_met
     rest = open_.join(other, "shingle").where(apart).select(F.col("cls").alias("left"), F.col("o_cls").alias("right")).distinct().join(near, ["left", "right"], "left_anti")
     links = links.unionByName(written(_verified(rest, texts), "links2"))
 
     final = components(links).withColumnsRenamed({"node": "key"})
     of_class = classes.join(final, "key", "left").select(F.col("cls").alias("h1"), "h2", "n", F.coalesce("component", "key").alias("component"))
     of_class = written(of_class, "component")
-    out = keys.join(of_class, ["h1", "h2", "n"], "left")
+    out = keys.drop(*_WORDS).join(of_class, ["h1", "h2", "n"], "left")
     shown = lambda c: F.when(c != _LEAST, c).cast(id_type)
     return out.select(shown(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "key")).alias("component_id"))
