@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from holdgraph.llm import textkit
 from holdgraph.llm.merges import RankMerger
 from holdgraph.llm.session import id_and_text
-from holdgraph.llm.textkit import ragged_index, span_hashes, sums_by
+from holdgraph.llm.textkit import ragged_index, span_hashes
 
 #: Bounds of a worker's tables.
 REMEMBERED_WORDS, REMEMBERED_CHUNKS = 1_000_000, 60_000
