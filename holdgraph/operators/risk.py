@@ -113,7 +113,8 @@ def merged(signals: DataFrame, key: list[str], order: list) -> DataFrame:
     return signals.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-#: Clauses of the verdict, in the order they are read; a sentence takes two at most.
+# The verdict's clauses and the codes of each, in the order they are read.
+#: A sentence takes two at most.
 CLAUSES = (
     (("SANCTIONED", "SANCTIONS_CONTROLLED", "COUNTER_SANCTIONED"), "sanctions findings on the company itself"),
     (("PEP",), "a politically exposed person among the parties named"),
