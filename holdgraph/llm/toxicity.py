@@ -24,7 +24,7 @@ from holdgraph.llm.textkit import LETTER, NUMBER
 #: Words are hashed to so many weights.
 BITS = 18
 #: The fit reads at most so many labelled documents of each class, those with the smallest hashes of their ids.
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 4000
 #: Besides each word, its beginnings of so many characters are features: inflected and compounded
 #: forms of a stem share them.
 BEGINNINGS = (4, 5)
@@ -125,24 +125,46 @@ def fit(bag: np.ndarray, sentence: np.ndarray, features: np.ndarray, labels: np.
 
 
 def fit_weights(bag: np.ndarray, sentence: np.ndarray, features: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> Model:
-    """Weights by Adam over all given documents; importance undoes the class sampling."""
-    n_sentences, n_bags = len(bag), len(labels)
-    sentence, feature = np.repeat(sentence, features.shape[1]), features.ravel()
-    documents = np.bincount(np.unique(bag[sentence] << BITS | feature) & ((1 << BITS) - 1), minlength=1 << BITS)
-    keep = (documents >= LEAST_DOCUMENTS)[feature]
+    """Weights by Adam over all given documents; importance undoes the class sampling. Entries are kept in
+    two orders, by sentence and by feature, so that each round is sums over consecutive ranges."""
+    n_sentences, n_bags, width = len(bag), len(labels), features.shape[1]
+    # Features that few documents hold are left out before anything of the size of the entries is made.
+    documents = np.zeros(1 << BITS, dtype=np.int64)
+    of_bag = bag[sentence]
+    cuts = np.searchsorted(of_bag, np.arange(0, n_bags + 256, 256))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        pairs = np.unique(np.repeat(of_bag[lo:hi].astype(np.int64), width) << BITS | features[lo:hi].ravel())
+        documents += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    del of_bag
     columns = np.flatnonzero(documents >= LEAST_DOCUMENTS)
-    sentence, feature = sentence[keep], np.searchsorted(columns, feature[keep])
-    shrink = PENALTY * documents[columns].clip(max=50)
+    documents = documents[columns]
+    number = np.full(1 << BITS, -1, dtype=np.int32)
+    number[columns] = np.arange(len(columns), dtype=np.int32)
+    column = number[features].ravel()
+    keep = column >= 0
+    column = column[keep]
+    of = np.repeat(sentence.astype(np.int32), width)[keep]
+    del keep
+    sentence_first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, dtype=np.int64)
+    said = of[sentence_first]
+    at = of[np.argsort(column, kind="stable")]
+    del of
+    entries = np.bincount(column, minlength=len(columns))
+    feature_first = np.cumsum(entries) - entries  # every column has entries
+
+    shrink = PENALTY * documents.clip(max=50)
     w = np.zeros(len(columns) + 1)
     w[-1] = -5.0
     moment, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, ROUNDS + 1):
-        logits = w[-1] + np.bincount(sentence, weights=w[feature], minlength=n_sentences)
+        logits = np.full(n_sentences, w[-1])
+        if len(said):
+            logits[said] += np.add.reduceat(w[:-1].astype(np.float32)[column], sentence_first)
         p = np.clip(noisy_or(logits, bag, n_bags), 1e-9, 1 - 1e-9)
         # The loss falls by 1 - y / P with log(1 - P), and that by -p with a sentence's logit.
         d = (importance * (1 - labels / p))[bag] / (1 + np.exp(np.minimum(-logits, 500)))
-        gradient = np.append(np.bincount(feature, weights=d[sentence], minlength=len(columns)) + shrink * w[:-1], d.sum())
-        gradient /= importance.sum()
+        slope = np.add.reduceat(d.astype(np.float32)[at], feature_first) if len(columns) else np.zeros(0)
+        gradient = np.append(slope + shrink * w[:-1], d.sum()) / importance.sum()
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         w -= STEP * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-12)
@@ -152,8 +174,8 @@ def fit_weights(bag: np.ndarray, sentence: np.ndarray, features: np.ndarray, lab
 
 
 def _bags(docs: DataFrame) -> DataFrame:
-    """doc_id, toxic and the document's sentences as arrays, made on the executors."""
-    schema = "toxic int, sizes array<int>, features array<int>"
+    """toxic, the id's hash and the document's sentences as arrays, made on the executors."""
+    schema = "toxic int, place long, sizes array<int>, features array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +189,24 @@ def _bags(docs: DataFrame) -> DataFrame:
                 for k in range(b - a):
                     sizes.append(size[cut[k] : cut[k + 1]])
                     features.append(feature[at[k] : at[k + 1]].ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], names=["toxic", "sizes", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("place"), pa.array(sizes, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], names=["toxic", "place", "sizes", "features"])
 
-    return docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, schema)
+    return docs.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("place")).mapInArrow(run, schema)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], totals: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """The model of all given rows, as one row."""
+    parts = [(b.column("toxic").to_numpy(), *(x for c in ("sizes", "features") for x in (np.diff(b.column(c).offsets.to_numpy()), b.column(c).flatten().to_numpy()))) for b in batches if b.num_rows]
+    model = Model(np.zeros(1 << BITS, dtype=np.float32), -20.0)
+    y = np.concatenate([p[0] for p in parts]).astype(np.float64) if parts else np.zeros(0)
+    if (y == 1).any() and (y == 0).any():
+        importance = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
+        bag = np.repeat(np.arange(len(y), dtype=np.int32), np.concatenate([p[1] for p in parts]))
+        sentence = np.repeat(np.arange(len(bag), dtype=np.int32), np.concatenate([p[2] for p in parts]))
+        features = np.concatenate([p[4] for p in parts]).reshape(-1, 1 + len(BEGINNINGS))
+        del parts
+        model = fit(bag, sentence, features, y, importance)
+    yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "intercept": [model.intercept], "slope": [model.slope], "shift": [model.shift]})
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -182,17 +219,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
-    # At most 2 * rows ids: bounded by a parameter, so it is broadcast and no text is shuffled.
-    found = _bags(docs.join(F.broadcast(chosen), "doc_id")).toArrow()
-    y = found.column("toxic").to_numpy().astype(np.float64)
-    if not (y == 1).any() or not (y == 0).any():
+    totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    # At most 2 * rows ids: bounded by a parameter, so it is broadcast and no text is shuffled. The sample
+    # meets in one task for the same reason; its features are a few megabytes for each thousand documents.
+    # Rows go by the hash of their ids, so that the result doesn't depend on the order in which they come.
+    bags = _bags(docs.join(F.broadcast(chosen), "doc_id")).repartition(1).sortWithinPartitions("place")
+    found = bags.mapInArrow(lambda batches: _fitted(batches, totals), "weights binary, intercept double, slope double, shift double").first()
+    if found is None:  # no labelled documents at all: nothing was run
         return Model(np.zeros(1 << BITS, dtype=np.float32), -20.0)
-    counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    importance = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    sizes = found.column("sizes").combine_chunks()
-    per_document = np.diff(sizes.offsets.to_numpy())
-    size = sizes.flatten().to_numpy()
-    return fit(np.repeat(np.arange(len(y)), per_document), np.repeat(np.arange(len(size)), size), found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, 1 + len(BEGINNINGS)), y, importance)
+    return Model(np.frombuffer(found["weights"], dtype=np.float32), found["intercept"], found["slope"], found["shift"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
