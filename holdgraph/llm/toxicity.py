@@ -24,7 +24,7 @@ from holdgraph.llm.textkit import LETTER, NUMBER
 #: Words are hashed to so many weights.
 BITS = 18
 #: The fit reads at most so many labelled documents of each class, those with the smallest hashes of their ids.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 #: Besides each word, its beginnings of so many characters are features: inflected and compounded
 #: forms of a stem share them.
 BEGINNINGS = (4, 5)
@@ -194,8 +194,8 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("place")).mapInArrow(run, schema)
 
 
-def _fitted(batches: Iterator[pa.RecordBatch], totals: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """The model of all given rows, as one row."""
+def _fitted(batches: list[pa.RecordBatch], totals: dict[int, int]) -> Model:
+    """The model of all given rows."""
     parts = [(b.column("toxic").to_numpy(), *(x for c in ("sizes", "features") for x in (np.diff(b.column(c).offsets.to_numpy()), b.column(c).flatten().to_numpy()))) for b in batches if b.num_rows]
     model = Model(np.zeros(1 << BITS, dtype=np.float32), -20.0)
     y = np.concatenate([p[0] for p in parts]).astype(np.float64) if parts else np.zeros(0)
@@ -206,7 +206,7 @@ def _fitted(batches: Iterator[pa.RecordBatch], totals: dict[int, int]) -> Iterat
         features = np.concatenate([p[4] for p in parts]).reshape(-1, 1 + len(BEGINNINGS))
         del parts
         model = fit(bag, sentence, features, y, importance)
-    yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "intercept": [model.intercept], "slope": [model.slope], "shift": [model.shift]})
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -220,14 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     order = F.xxhash64("doc_id")
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    # At most 2 * rows ids: bounded by a parameter, so it is broadcast and no text is shuffled. The sample
-    # meets in one task for the same reason; its features are a few megabytes for each thousand documents.
-    # Rows go by the hash of their ids, so that the result doesn't depend on the order in which they come.
-    bags = _bags(docs.join(F.broadcast(chosen), "doc_id")).repartition(1).sortWithinPartitions("place")
-    found = bags.mapInArrow(lambda batches: _fitted(batches, totals), "weights binary, intercept double, slope double, shift double").first()
-    if found is None:  # no labelled documents at all: nothing was run
-        return Model(np.zeros(1 << BITS, dtype=np.float32), -20.0)
-    return Model(np.frombuffer(found["weights"], dtype=np.float32), found["intercept"], found["slope"], found["shift"])
+    # At most 2 * rows ids: bounded by a parameter, so it is broadcast and no text is shuffled. Only the
+    # sample's features come to the driver, a few megabytes for each thousand documents. Rows go by the hash
+    # of their ids, so that the result doesn't depend on the order in which they come.
+    bags = _bags(docs.join(F.broadcast(chosen), "doc_id"))
+    return _fitted(bags.orderBy("place").toArrow().to_batches(), totals)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
