@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdgraph.llm import ngramjoin, packing, substring, toxicity
@@ -22,13 +22,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of Jaccard similarity connect, the one with the smallest id stays; of
-    rows that share its id, the one with the smallest text."""
-    parts = ngramjoin.jaccard_components(docs)
-    stays = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays"))).drop("_stays")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    """Of texts that links of Jaccard similarity connect, one row stays: the one with the smallest id (null
+    first), of rows that share it the one with the smallest checksum. Null and repeated ids link nothing."""
+    return ngramjoin.one_of_each_component(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

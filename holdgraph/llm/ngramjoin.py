@@ -16,14 +16,14 @@ are complete: two similar sets either end in one component or are compared.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdgraph.llm import textkit
@@ -43,6 +43,7 @@ PARITY_WORDS, KEPT_SETS = 8, 512
 LISTED = 256
 _LEAST = -(1 << 63)
 _WORDS = [f"w{k}" for k in range(PARITY_WORDS)]
+_MARKS = ["mark1", "mark2"]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -87,10 +88,15 @@ def _parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(n, PARITY_WORDS)
 
 
-def _checksum(column: pa.Array) -> list[int]:
+def _checksum(text: memoryview) -> int:
+    """64 bits, as all rows without an id share one key and only this tells them apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _checksums(column: pa.Array) -> list[int]:
     data, offsets = _bytes(column)
     view = memoryview(data)
-    return [zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return [_checksum(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +104,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2 = _class_hashes(hashes, at)
         part = batch.slice(a, b - a)
         words = [pa.array(w, pa.int64()) for w in _parities(hashes, at).T]
-        yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(_checksum(part.column("_text")), pa.int64()), pa.array(np.diff(at), pa.int64()), _signed(h1), _signed(h2), *words], names=["key", "crc", "n", "h1", "h2", *_WORDS])
+        marks = [c for c in _MARKS if c in part.schema.names]
+        yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(_checksums(part.column("_text")), pa.int64()), *map(part.column, marks), pa.array(np.diff(at), pa.int64()), _signed(h1), _signed(h2), *words], names=["key", "crc", *marks, "n", "h1", "h2", *_WORDS])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +143,15 @@ def _entries(counts: np.ndarray):
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of a batch that repeat key and text, the first."""
     for batch in batches:
         data, offsets = _bytes(batch.column("_text"))
         view = memoryview(data)
-        pairs = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([zlib.crc32(view[a:b]) for a, b in pairs], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array([pa.compress(view[a:b], codec="zstd", asbytes=True) for a, b in pairs], pa.binary())], names=["key", "crc", "size", "blob"])
+        once = {}
+        for key, a, b in zip(batch.column("_key").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            once.setdefault((key, _checksum(view[a:b])), (a, b))
+        key, crc = zip(*once, strict=True) if once else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(crc, pa.int64()), pa.array([b - a for a, b in once.values()], pa.int64()), pa.array([pa.compress(view[a:b], codec="zstd", asbytes=True) for a, b in once.values()], pa.binary())], names=["key", "crc", "size", "blob"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -160,19 +171,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets.move_to_end(key)
         return sets[key]
 
-    names = ("a_key", "a_crc", "a_size", "a_blob", "b_key", "b_crc", "b_size", "b_blob")
+    names = [f"{s}_{c}" for s in "ab" for c in ("node", "key", "crc", "size", "blob")]
     for batch in batches:
         hit_a, hit_b = [], []
-        for ka, ca, sa, ba, kb, cb, sb, bb in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        for na, ka, ca, sa, ba, nb, kb, cb, sb, bb in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if similar(of((ka, ca), ba, sa), of((kb, cb), bb, sb)):
-                hit_a.append(ka)
-                hit_b.append(kb)
+                hit_a.append(na)
+                hit_b.append(nb)
         yield pa.RecordBatch.from_arrays([pa.array(hit_a, pa.int64()), pa.array(hit_b, pa.int64())], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b: ids) among pairs (left, right: classes)."""
-    side = lambda s, on: texts.select(F.col("cls").alias(on), *(F.col(c).alias(f"{s}_{c}") for c in ("key", "crc", "size", "blob")))
+    """Links (a, b: nodes) among pairs (left, right: classes)."""
+    side = lambda s, on: texts.select(F.col("cls").alias(on), *(F.col(c).alias(f"{s}_{c}") for c in ("node", "key", "crc", "size", "blob")))
     both = pairs.join(side("a", "left"), "left").join(side("b", "right"), "right")
     return both.drop("left", "right").mapInArrow(_verify, "a long, b long")
 
@@ -184,23 +195,26 @@ def _fits(n_a, pos_a, n_b, pos_b):
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * longest >= need)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row by row: doc_id, n_shingles, component_id (the smallest id that links of similarity reach).
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
 
-    Words are what stands between blanks after A-Z are lowered. Fewer than five words are one shingle;
-    texts that are null or without words have no shingle, link with nothing and are components of their
-    own. A null id counts as smaller than all others and shows as null. Rows that share an id are one
-    node: repeated rows get equal results, and each row keeps its own n_shingles. Other columns are
-    ignored; an empty table gives an empty one; texts are read whole."""
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_key"), F.col(text_col).alias("_text"))
-    keys = written(rows.mapInArrow(_keys, ", ".join(f"{c} long" for c in ("key", "crc", "n", "h1", "h2", *_WORDS))), "keys")
-    first = F.min(F.struct("key", "crc"))
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    marks = [c for c in _MARKS if c in rows.columns]
+    return rows.mapInArrow(_keys, ", ".join(f"{c} long" for c in ("key", "crc", *marks, "n", "h1", "h2", *_WORDS)))
+
+
+def _classes(keys: DataFrame, node: Column) -> DataFrame:
+    """cls, h2, n, node, and key, crc and marks of the class's first row."""
+    first = [c for c in ("key", "crc", *_MARKS) if c in keys.columns]
     # Rows of a class have the same set, so any of their parities will do.
-    classes = keys.where("n > 0").groupBy("h1", "h2", "n").agg(first.alias("first"), *(F.max(w).alias(w) for w in _WORDS))
-    classes = written(classes.select(F.col("h1").alias("cls"), "h2", "n", "first.key", "first.crc", *_WORDS), "classes")
+    classes = keys.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct(*first)).alias("first"), *(F.max(w).alias(w) for w in _WORDS))
+    classes = classes.select(F.col("h1").alias("cls"), "h2", "n", *(F.col(f"first.{c}").alias(c) for c in first), *_WORDS)
+    return written(classes.withColumn("node", node), "classes")
+
 
+def _linked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes with component: the smallest node that links of similarity reach. rows: _key, _text."""
     # Rare first: counts over all documents, in a table of fixed size.
     counted = rows.select("_text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << COUNT_BITS, dtype=np.int64)
@@ -215,14 +229,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = written(buckets.select("first.shingle", F.col("cls").alias("p_cls"), F.col("first.pos").alias("p_pos"), F.col("first.n").alias("p_n")), "buckets")
     members = written(entries.join(buckets, "shingle"), "members")
 
-    # Texts of the classes that meet any other, once.
-    involved = members.select("cls").distinct().join(classes, "cls").select("cls", "key", "crc")
-    texts = written(rows.mapInArrow(_blobs, "key long, crc long, size long, blob binary").join(involved, ["key", "crc"]), "texts")
+    # Texts of the classes that meet any other, once: repeated rows of one key would multiply the pairs.
+    involved = members.select("cls").distinct().join(classes, "cls").select("cls", "node", "key", "crc")
+    texts = written(rows.mapInArrow(_blobs, "key long, crc long, size long, blob binary").join(involved, ["key", "crc"]).distinct(), "texts")
 
     near = written(members.where((F.col("cls") != F.col("p_cls")) & _fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"))).select(F.least("cls", "p_cls").alias("left"), F.greatest("cls", "p_cls").alias("right")).distinct(), "near")
     links = written(_verified(near, texts), "links1")
-    found = components(links).withColumnsRenamed({"node": "key", "component": "part"})
-    part = written(texts.select("cls", "key").distinct().join(found, "key", "left").select("cls", F.coalesce("part", "key").alias("part")), "part")
+    found = components(links).withColumnsRenamed({"component": "part"})
+    part = written(texts.select("cls", "node").distinct().join(found, "node", "left").select("cls", F.coalesce("part", "node").alias("part")), "part")
 
     # Where a bucket still holds several components, their classes meet.
     placed = written(members.select("shingle", "cls", "n", "pos").join(part, "cls"), "placed")
@@ -243,9 +257,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = open_.join(other, "shingle").where(apart).select(F.col("cls").alias("left"), F.col("o_cls").alias("right")).distinct().join(near, ["left", "right"], "left_anti")
     links = links.unionByName(written(_verified(rest, texts), "links2"))
 
-    final = components(links).withColumnsRenamed({"node": "key"})
-    of_class = classes.join(final, "key", "left").select(F.col("cls").alias("h1"), "h2", "n", F.coalesce("component", "key").alias("component"))
+    return classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Row by row: doc_id, n_shingles, component_id (the smallest id that links of similarity reach).
+
+    Words are what stands between blanks after A-Z are lowered. Fewer than five words are one shingle;
+    texts that are null or without words have no shingle, link with nothing and are components of their
+    own. A null id counts as smaller than all others and shows as null. Rows that share an id are one
+    node: repeated rows get equal results, and each row keeps its own n_shingles. Other columns are
+    ignored; an empty table gives an empty one; texts are read whole."""
+    id_type = docs.schema[id_col].dataType
+    rows = docs.select(_key(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    keys = written(_keyed(rows), "keys")
+    of_class = _linked(rows, _classes(keys, F.col("key"))).select(F.col("cls").alias("h1"), "h2", "n", "component")
     of_class = written(of_class, "component")
     out = keys.drop(*_WORDS).join(of_class, ["h1", "h2", "n"], "left")
     shown = lambda c: F.when(c != _LEAST, c).cast(id_type)
     return out.select(shown(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "key")).alias("component_id"))
+
+
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns unchanged, less those that a row which stays stands for.
+
+    Here each class of equal sets is a node, whatever the ids of its rows, so rows go only if their texts
+    are linked: of the rows of a component one stays, the one with the smallest id (null first), of rows
+    that share it the one with the smallest checksum. Rows without words link with nothing and all stay."""
+    words = F.coalesce(F.col(text_col).rlike(r"[^\t\n\x0B\f\r ]"), F.lit(False))
+    named = {"_key": _key(id_col), **{m: F.xxhash64(F.lit(k), *docs.columns) for k, m in enumerate(_MARKS)}}
+    rows = docs.where(words).select(*(c.alias(name) for name, c in named.items()), F.col(text_col).alias("_text"))
+    # Any number will do for a node that no other class has; it is written with the class.
+    linked = _linked(rows.select("_key", "_text"), _classes(_keyed(rows), F.monotonically_increasing_id()))
+    stays = linked.groupBy("component").agg(F.min(F.struct("key", "crc", *_MARKS)).alias("first"))
+    stays = written(stays.select(F.col("first.key").alias("_key"), *(F.col(f"first.{m}").alias(m) for m in _MARKS)), "stays")
+    # Rows that repeat another in every column are made one before they are dealt out by their marks.
+    kept = docs.where(words).distinct().withColumns(named).join(stays, list(named), "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(~words))

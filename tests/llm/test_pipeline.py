@@ -52,3 +52,17 @@ def test_pipeline(spark, tmp_path):
     check_packing(rows, left, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 4096)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.length) for r in again.collect()) == sorted((r["doc_id"], r["length"]) for r in rows)
+
+
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    """Rows go only if their texts are linked, whatever their ids."""
+    text = lambda w: " ".join(f"{w}{k}" for k in range(60))
+    x, y, z, u, v = map(text, "xyzuv")
+    rows = [(None, x), (None, x), (None, y), (None, ""), (None, None), (3, x), (5, z), (5, z), (5, u + " more"), (6, u), (7, v), (7, None), (8, v + " more"), (9, y + " more"), (None, text("w"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    key = lambda r: (r[0] or -1, r[1] or "", r[1] is None)
+    want = [(None, x), (None, y), (None, text("w")), (None, ""), (None, None), (5, z), (5, u + " more"), (7, v), (7, None)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), "").count() == 0
