@@ -68,39 +68,59 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 3) -> DataFram
     return seen
 
 
-def longest_chains(edges: DataFrame, most: int = 64) -> DataFrame:
+def on_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of bundles (bundle_id, node) that lie on a cycle or between cycles: what is left after those that
+    nobody owns any more, and those that own nothing any more, are peeled off until all stay."""
+    ends = {"owner_id": F.col("owner_id").alias("node"), "subject_id": F.col("subject_id").alias("node")}
+    left = edges
+    n = left.count()
+    while n:
+        for side, other in (("owner_id", "subject_id"), ("subject_id", "owner_id")):
+            stays = left.select("bundle_id", ends[other]).distinct().withColumnRenamed("node", side)
+            left = left.join(stays, ["bundle_id", side], "left_semi")
+        left = written(left)
+        before, n = n, left.count()
+        if n == before:
+            break
+    held = left.select("bundle_id", ends["owner_id"]).union(left.select("bundle_id", ends["subject_id"])).distinct()
+    return nodes.join(held, ["bundle_id", "node"], "left_semi")
+
+
+def longest_chains(edges: DataFrame) -> DataFrame:
     """bundle_id, layers, path: the longest simple owner-to-subject path of each bundle, in nodes; of equals
-    the smallest path. Paths grow from nodes that nobody owns and, where a cycle leaves no such node, from
-    every node of the cycle's bundle; a node never comes twice on a path."""
+    the smallest path. Paths grow from nodes that nobody owns and from nodes on cycles: a longest path begins
+    at one of them, as all owners of its first node lie on it. A node never comes twice on a path, so the
+    rounds end by themselves."""
     edges = edges.select("bundle_id", "owner_id", "subject_id").where("owner_id <> subject_id").distinct()
     owned = edges.select("bundle_id", F.col("subject_id").alias("node")).distinct()
     nodes = edges.select("bundle_id", F.col("owner_id").alias("node")).union(owned).distinct()
     tops = nodes.join(owned, ["bundle_id", "node"], "left_anti")
-    cyclic = nodes.join(tops.select("bundle_id").distinct(), "bundle_id", "left_anti")
-    front = tops.unionByName(cyclic).select("bundle_id", "node", F.array("node").alias("path"))
+    front = written(tops.unionByName(on_cycles(edges, nodes)).select("bundle_id", "node", F.array("node").alias("path")))
     best = None
     order = Window.partitionBy("bundle_id").orderBy(F.desc("layers"), "path")
-    for _ in range(most):
-        if front.isEmpty():
-            break
+    while not front.isEmpty():
         layer = front.select("bundle_id", F.size("path").alias("layers"), "path")
         best = layer if best is None else best.unionByName(layer)
-        best = best.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+        best = written(best.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k"))
         step = edges.withColumnRenamed("owner_id", "node")
         front = written(front.join(step, ["bundle_id", "node"]).where(~F.array_contains("path", F.col("subject_id"))).select("bundle_id", F.col("subject_id").alias("node"), F.concat("path", F.array("subject_id")).alias("path")))
     return best
 
 
-def layers(edges: DataFrame, most: int = 64) -> DataFrame:
-    """node, layer: nodes that own nothing are 0, others one more than the highest layer they own."""
+def layers(edges: DataFrame) -> DataFrame:
+    """node, layer: nodes that own nothing are 0, others one more than the highest layer they own. On and
+    above a cycle there is no highest layer, so one raises: without cycles a layer is below the number of nodes."""
+    edges = written(edges.select("owner_id", "subject_id").distinct())
     below = edges.select(F.col("subject_id").alias("node")).distinct().join(edges.select(F.col("owner_id").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0))
-    out, front = below, below
-    for d in range(1, most + 1):
+    one = edges.select(F.lit(0).alias("bundle_id"), "owner_id", "subject_id")
+    if not on_cycles(one, one.select("bundle_id", F.col("owner_id").alias("node"))).isEmpty():
+        raise ValueError("layers: the edges hold a cycle")
+    out, front, d = below, below, 0
+    while not front.isEmpty():
+        d += 1
         front = written(front.join(edges.withColumnRenamed("subject_id", "node"), "node").select(F.col("owner_id").alias("node")).distinct().withColumn("layer", F.lit(d)))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out.groupBy("node").agg(F.max("layer").alias("layer"))
+        out = written(out.unionByName(front).groupBy("node").agg(F.max("layer").alias("layer")))
+    return out
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:

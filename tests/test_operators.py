@@ -29,6 +29,24 @@ def test_longest_chain_is_cycle_safe(spark):
     assert graph.longest_chains(edges(spark, [("a", "a")])) is None
 
 
+def test_longest_chain_starts_on_cycles_too(spark):
+    both = graph.longest_chains(edges(spark, [("a", "b"), ("c", "d"), ("d", "e"), ("e", "c")])).first()
+    assert (both.layers, both.path) == (3, ["c", "d", "e"])
+    inside = graph.longest_chains(edges(spark, [("t", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x")])).first()
+    assert (inside.layers, inside.path) == (4, ["a", "b", "c", "x"])
+    entered = graph.longest_chains(edges(spark, [("t", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y")])).first()
+    assert (entered.layers, entered.path) == (5, ["a", "b", "c", "x", "y"])
+
+
+def test_chains_of_more_than_64_nodes(spark):
+    assert graph.longest_chains(edges(spark, [(f"{i:03}", f"{i + 1:03}") for i in range(65)])).first().layers == 66
+
+
+def test_layers_raise_on_cycles(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        graph.layers(edges(spark, [("a", "b"), ("b", "a"), ("b", "c")]))
+
+
 def test_closure_excludes_root_and_ends_on_cycles(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a")])
     roots = spark.createDataFrame([("a",)], "root string")
