@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from holdgraph import components as stars
+
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -123,21 +125,13 @@ def layers(edges: DataFrame) -> DataFrame:
     return out
 
 
-def components(links: DataFrame, most: int = 40) -> DataFrame:
-    """node, component: the smallest node that undirected links (a, b) reach. Labels run along links and
-    jump to their label's label, so rounds grow with the logarithm of the diameter."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
-    for _ in range(most):
-        near = both.join(label.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(near, "node").withColumn("least", F.least("component", "near"))
-        jump = label.select(F.col("node").alias("least"), F.col("component").alias("far"))
-        now = written(step.join(jump, "least", "left").select("node", F.least("least", "far").alias("new"), "component"))
-        changed = not now.where("new < component").isEmpty()
-        label = now.select("node", F.col("new").alias("component"))
-        if not changed:
-            break
-    return label
+def components(links: DataFrame) -> DataFrame:
+    """node, component: the smallest node that undirected links (a, b) reach; nodes whose only link is to
+    themselves are components of their own."""
+    links = written(links.select("a", "b"))
+    found = written(stars.components(links, lambda df, name: written(df)))
+    alone = links.where("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("component", F.col("node")))
 
 
 def remapped(statements: DataFrame, remap: DataFrame, columns: list[str]) -> DataFrame:

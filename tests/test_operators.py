@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from holdgraph import components as stars
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
 from holdgraph.operators import exports, graph, resolution, risk, rollups, selection, timeline
@@ -63,6 +64,20 @@ def test_components_on_a_long_path(spark):
     assert {r.component for r in graph.components(links).collect()} == {"000", "900"}
 
 
+def test_components_on_a_path_against_the_order(spark):
+    """1 - a1 - ... - aL - 2, where ids fall towards 2."""
+    path = ["001", *(f"{i:03}" for i in range(199, 99, -1)), "002"]
+    links = spark.createDataFrame([*zip(path, path[1:]), ("900", "900")], "a string, b string")
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    assert got == {**dict.fromkeys(path, "001"), "900": "900"}
+
+
+def test_components_raise_at_the_bound(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30, 0, -1)], "a long, b long")
+    with pytest.raises(RuntimeError, match="1 rounds"):
+        stars.components(links, lambda df, name: graph.written(df), most=1)
+
+
 def test_layers_take_the_longest_way(spark):
     got = {r.node: r.layer for r in graph.layers(edges(spark, [("a", "b"), ("b", "c"), ("a", "c")])).collect()}
     assert got == {"c": 0, "b": 1, "a": 2}
