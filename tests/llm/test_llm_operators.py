@@ -198,6 +198,26 @@ def test_jaccard_components_of_near_copies(spark):
     assert got == brute_components(data)
 
 
+def test_similar_pairs_are_complete(spark):
+    rng = random.Random(6)
+    data = []
+    for g in range(4):
+        words = [rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(60)]
+        for k in range(12):
+            own = list(words)
+            for _ in range(k % 4):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(9)}"
+            data.append((12 * g + k, " ".join(own)))
+    data += [(100, None), (101, ""), (102, data[0][1]), (None, data[0][1])]
+    pairs, classes = ngramjoin.similar_pairs(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    of = {r["doc_id"]: r["class"] for r in collected(classes)}
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(0, len((t or "").split()) - 4))} for i, t in data}
+    want = {tuple(sorted((of[a], of[b]))) for a in sets for b in sets if a != b and sets[a] and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = [(r["a"], r["b"]) for r in collected(pairs)]
+    assert {tuple(sorted(p)) for p in got} == want and len(got) == len(want)
+    assert of[100] is None and of[101] is None and of[102] == of[0] == of[None]
+
+
 def test_jaccard_null_id(spark):
     got = collected(ngramjoin.jaccard_components(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")))
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, None), (3, None), (4, 4)}

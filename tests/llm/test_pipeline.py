@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_operators import brute_components, brute_repeats, check_packing
+from test_llm_operators import brute_components, brute_repeats, check_packing
 
 
 def planted():
