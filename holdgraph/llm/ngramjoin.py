@@ -6,12 +6,13 @@ table of fixed size, then by hash); two sets of Jaccard 0.8 share a shingle amon
 both, so classes are joined on prefix shingles under the length and positional filters. Prefix shingles
 that exactly the same classes hold are one bucket, of which the first in order stands for all.
 
-Near copies come in groups, so pairs are not all emitted: in a first round each class meets one class
-of each bucket; verified links join them to components; in a second round only classes of a bucket
-that are still in different components meet, in their first common bucket, and under the suffix filter:
-the parities of both sets' shingles in 512 hash ranges differ in at most as many places as the sets do,
-which bounds what they share. Each pair is verified once, on the texts' own shingle sets. Components
-are complete: two similar sets either end in one component or are compared.
+Near copies come in groups, so pairs are not all emitted: in pivot rounds every class meets one class
+of each of its buckets, verified links join them to components, and the next round looks only at buckets
+that still hold several. Once rounds bring little more together, the classes of a bucket that are still in
+different components meet pair by pair, in their first common bucket, and under the suffix filter: both
+sets are partitioned into 1024 hash ranges, and the parities of the parts differ in at most as many places
+as the sets do, which bounds what they share. Each pair is verified once, on the texts' own shingle sets.
+Components are complete: two similar sets either end in one component or are compared.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdgraph.llm import textkit
@@ -37,10 +38,10 @@ WORDS, PERCENT = 5, 80
 #: Buckets of the count table: its size doesn't depend on the corpus.
 COUNT_BITS = 18
 #: 64-bit words of the suffix filter's parities; sets that a task keeps while it verifies pairs.
-PARITY_WORDS, KEPT_SETS = 8, 512
-#: Classes with at most so many open buckets carry their list, so that a pair meets in its first common
-#: bucket alone; pairs of longer lists may meet more than once and are made distinct afterwards.
-LISTED = 256
+PARITY_WORDS, KEPT_SETS = 16, 512
+#: Buckets before its own that an entry carries; pivot rounds go on while each finds a link for at least one
+#: in so many open components.
+BEFORE, FEW = 48, 50
 _LEAST = -(1 << 63)
 _WORDS = [f"w{k}" for k in range(PARITY_WORDS)]
 _MARKS = ["mark1", "mark2"]
@@ -213,53 +214,94 @@ def _classes(keys: DataFrame, node: Column) -> DataFrame:
     return written(classes.withColumn("node", node), "classes")
 
 
-def _linked(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """classes with component: the smallest node that links of similarity reach. rows: _key, _text."""
+def _buckets(rows: DataFrame) -> DataFrame:
+    """shingle, cls, n, pos: prefix shingles that several classes hold; of those that exactly the same
+    classes hold, the first in order stands for all. rows: _text."""
     # Rare first: counts over all documents, in a table of fixed size.
-    counted = rows.select("_text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << COUNT_BITS, dtype=np.int64)
     table[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    entries = rows.select("_text").mapInArrow(_entries(table), "shingle long, cls long, n int, pos int")
+    entries = rows.mapInArrow(_entries(table), "shingle long, cls long, n int, pos int")
     shared = written(entries.groupBy("shingle").count().where("count > 1").select("shingle"), "shared")
     entries = written(entries.join(shared, "shingle").distinct(), "entries")
+    held = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"), F.min("pos").alias("pos")).where("size > 1")
+    # All classes keep one order, so of buckets with the same classes the first has the least place in each.
+    first = held.groupBy("size", "who").agg(F.min(F.struct("pos", "shingle")).alias("first"))
+    return written(entries.join(first.select("first.shingle"), "shingle"), "members")
 
-    # Buckets that the same classes share are one.
-    buckets = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"), F.min(F.struct("cls", "pos", "n")).alias("pivot")).where("size > 1")
-    buckets = buckets.groupBy("size", "who", "pivot.cls").agg(F.min(F.struct(F.col("pivot.pos").alias("pos"), "shingle", F.col("pivot.n").alias("n"))).alias("first"))
-    buckets = written(buckets.select("first.shingle", F.col("cls").alias("p_cls"), F.col("first.pos").alias("p_pos"), F.col("first.n").alias("p_n")), "buckets")
-    members = written(entries.join(buckets, "shingle"), "members")
 
-    # Texts of the classes that meet any other, once: repeated rows of one key would multiply the pairs.
+def _texts(rows: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Texts of the classes that meet any other, once: repeated rows of one key would multiply the pairs."""
     involved = members.select("cls").distinct().join(classes, "cls").select("cls", "node", "key", "crc")
-    texts = written(rows.mapInArrow(_blobs, "key long, crc long, size long, blob binary").join(involved, ["key", "crc"]).distinct(), "texts")
-
-    near = written(members.where((F.col("cls") != F.col("p_cls")) & _fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"))).select(F.least("cls", "p_cls").alias("left"), F.greatest("cls", "p_cls").alias("right")).distinct(), "near")
-    links = written(_verified(near, texts), "links1")
-    found = components(links).withColumnsRenamed({"component": "part"})
-    part = written(texts.select("cls", "node").distinct().join(found, "node", "left").select("cls", F.coalesce("part", "node").alias("part")), "part")
-
-    # Where a bucket still holds several components, their classes meet.
-    placed = written(members.select("shingle", "cls", "n", "pos").join(part, "cls"), "placed")
-    mixed = written(placed.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle"), "mixed")
-    open_ = written(placed.join(mixed, "shingle"), "open")
-    mine = F.sort_array(F.collect_list(F.struct("pos", "shingle")))
-    listed = open_.groupBy("cls").agg(mine.alias("list")).select("cls", F.when(F.size("list") <= LISTED, F.col("list.shingle")).alias("list"))
+    return written(rows.mapInArrow(_blobs, "key long, crc long, size long, blob binary").join(involved, ["key", "crc"]).distinct(), "texts")
+
+
+def _met(members: DataFrame, classes: DataFrame, apart: Column) -> DataFrame:
+    """left, right: classes that meet in a bucket, are `apart` (a condition on part and o_part) and pass
+    every filter. A bucket's entry carries the class's buckets just before it: a pair meets where neither
+    list has the other's, so surely in its first common bucket, and hardly ever in a second."""
+    before = F.collect_list("shingle").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1))
     # Should two sets ever share a class hash, they have no parities and pass the suffix filter.
     parities = classes.groupBy("cls").agg(*(F.when(F.count(F.lit(1)) == 1, F.max(w)).alias(w) for w in _WORDS))
-    open_ = written(open_.join(listed.join(parities, "cls"), "cls"), "listed")
-    other = open_.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("cls", "n", "pos", "part", "list", *_WORDS)))
-    apart_at_least = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in _WORDS))
+    mine = written(members.withColumn("before", before).join(parities, "cls"), "meeting")
+    other = mine.select("shingle", *(F.col(c).alias(f"o_{c}") for c in mine.columns if c != "shingle"))
     both = F.col("n") + F.col("o_n")
-    suffix = F.coalesce((100 + PERCENT) * (both - apart_at_least) >= 2 * PERCENT * both, F.lit(True))
-    # Both lists follow the one order of all shingles, so the first that they share is the pair's first bucket.
-    first_met = F.coalesce(F.get(F.array_intersect("list", "o_list"), F.lit(0)) == F.col("shingle"), F.lit(True))
-    apart = (F.col("cls") < F.col("o_cls")) & (F.col("part") != F.col("o_part")) & _fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")) & suffix & first_met
-    rest = open_.join(other, "shingle").where(apart).select(F.col("cls").alias("left"), F.col("o_cls").alias("right")).distinct().join(near, ["left", "right"], "left_anti")
-    links = links.unionByName(written(_verified(rest, texts), "links2"))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"o_{w}"))) for w in _WORDS))
+    suffix = F.coalesce((100 + PERCENT) * (both - differ) >= 2 * PERCENT * both, F.lit(True))
+    first_met = ~F.arrays_overlap("before", "o_before")
+    kept = (F.col("cls") < F.col("o_cls")) & apart & _fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")) & suffix & first_met
+    return mine.join(other, "shingle").where(kept).select(F.col("cls").alias("left"), F.col("o_cls").alias("right")).distinct()
+
 
+def _linked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes with component: the smallest node that links of similarity reach. rows: _key, _text."""
+    members = _buckets(rows.select("_text"))
+    texts = _texts(rows, members, classes)
+    nodes = written(texts.select("cls", "node").distinct(), "nodes")
+    placed = written(members.join(nodes, "cls").withColumnRenamed("node", "part"), "placed")
+
+    # Pivot rounds: in every bucket that holds several components, the class in which the bucket stands
+    # earliest (it has the fewest rarer shingles, so it is the most like the others) meets all the rest and
+    # leaves the bucket. Rounds go on while they still bring components together in numbers.
+    links, tried, found = None, None, None
+    while True:
+        mixed = placed.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(F.struct("pos", "cls", "n", "part")).alias("pivot")).where("lo < hi")
+        mixed = mixed.select("shingle", *(F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("pos", "cls", "n", "part")))
+        placed = written(placed.join(mixed, "shingle"), "mixed")
+        open_ = placed.agg(F.count(F.lit(1)), F.countDistinct("part")).first()
+        if not open_[0] or found is not None and found.count() * FEW < open_[1]:
+            break
+        near = placed.where((F.col("part") != F.col("p_part")) & _fits(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos")))
+        near = near.select(F.least("cls", "p_cls").alias("left"), F.greatest("cls", "p_cls").alias("right")).distinct()
+        near = written(near if tried is None else near.join(tried, ["left", "right"], "left_anti"), "near")
+        tried = near if tried is None else tried.unionByName(near)
+        found = written(_verified(near, texts), "links")
+        links = found if links is None else links.unionByName(found)
+        part = nodes.join(components(links), "node", "left").select("cls", F.coalesce("component", "node").alias("part"))
+        placed = placed.where("cls <> p_cls").select("shingle", "cls", "n", "pos").join(written(part, "part"), "cls")
+    if links is None:
+        return classes.withColumn("component", F.col("node"))
+
+    # What is still apart in a bucket meets pair by pair.
+    rest = _met(placed.select("shingle", "cls", "n", "pos", "part"), classes, F.col("part") != F.col("o_part"))
+    links = links.unionByName(written(_verified(rest.join(tried, ["left", "right"], "left_anti"), texts), "links"))
     return classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: every pair of different sets above the threshold (a, b: class numbers, each pair
+    once), and doc_id, class for each row (null without words). Copies are one class, so they are not
+    expanded; links inside a group of unlike near copies are all listed."""
+    id_type = docs.schema[id_col].dataType
+    rows = docs.select(_key(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    keys = written(_keyed(rows), "keys")
+    classes = _classes(keys, F.monotonically_increasing_id())
+    members = _buckets(rows.select("_text"))
+    pairs = _verified(_met(members, classes, F.lit(True)), _texts(rows, members, classes))
+    of_row = keys.join(classes.select(F.col("cls").alias("h1"), "h2", "n", "node"), ["h1", "h2", "n"], "left")
+    return written(pairs, "pairs"), of_row.select(F.when(F.col("key") != _LEAST, F.col("key")).cast(id_type).alias("doc_id"), F.col("node").alias("class"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row by row: doc_id, n_shingles, component_id (the smallest id that links of similarity reach).
 
