@@ -29,7 +29,7 @@ from holdgraph.llm.session import id_and_text
 from holdgraph.llm.textkit import ragged_index, span_hashes
 
 #: Bounds of a worker's tables.
-REMEMBERED_WORDS, REMEMBERED_CHUNKS = 1_000_000, 60_000
+REMEMBERED_WORDS, REMEMBERED_CHUNKS = 500_000, 60_000
 #: Code points that decide on a cut; one place in so many is cut; the longest chunk.
 WINDOW, ONE_IN, LONGEST = 16, 512, 4096
 
@@ -156,6 +156,10 @@ class WordCoder:
             for k, text in enumerate(part):
                 yield self.by_library(text) if k in odd else ids[at[k] : at[k + 1]]
 
+    def encode_column(self, column: pa.Array, chunked: bool = False) -> Iterator[np.ndarray]:
+        for _, _, texts in textkit.text_slices(column):
+            yield from self.encode(texts, chunked)
+
 
 def chunk_borders(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where chunks begin, and the end. Texts' borders are among them; else a place is cut where
@@ -192,7 +196,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id
         words = coder(tokenizer_json)
         for batch in batches:
             ids, decoded = [], []
-            for one in words.encode([t or "" for t in batch.column("text").to_pylist()], chunked=True):
+            for one in words.encode_column(batch.column("text"), chunked=True):
                 ids.append(one.astype(np.int32))
                 decoded.append(b" ".join(map(words.strings.__getitem__, one.tolist())).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
@@ -211,7 +215,7 @@ def digest_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id
         words = coder(tokenizer_json)
         for batch in batches:
             n, a, b = [], [], []
-            for one in words.encode([t or "" for t in batch.column("text").to_pylist()], chunked=True):
+            for one in words.encode_column(batch.column("text"), chunked=True):
                 listed = one.tolist()
                 n.append(len(listed))
                 a.append(hashlib.sha256(b" ".join(map(words.decimals.__getitem__, listed))).hexdigest())

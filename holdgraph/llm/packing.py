@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: i
         words = coder(tokenizer_json)
         for batch in batches:
             owner, piece, start, length, crc, kept = [], [], [], [], [], []
-            for k, ids in enumerate(words.encode([t or "" for t in batch.column("text").to_pylist()])):
+            for k, ids in enumerate(words.encode_column(batch.column("text"))):
                 whole = np.append(ids, end_id).astype("<u4")
                 for p, at in enumerate(range(0, len(whole), capacity)):
                     part = whole[at : at + capacity]

@@ -34,7 +34,7 @@ from holdgraph.llm.textkit import Spans, finalise, span_hashes
 LENGTH, GRAM = 20, 5
 PLACES = LENGTH - GRAM + 1
 #: Blocks (or windows) among which a task finds repeats by itself before it sends them on.
-HELD = 400_000
+HELD = 200_000
 #: A block is packed as start | windows | tag of its text.
 COUNT_BITS, TAG_BITS = 5, 23
 

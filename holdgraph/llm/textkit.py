@@ -11,9 +11,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Code points handled at once; a longer text is a slice of its own.
-SLICE_CODEPOINTS = 1 << 20
+#: Code points handled at once; a longer text is a slice of its own. All temporary arrays of a task follow it.
+SLICE_CODEPOINTS = 1 << 18
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
@@ -97,6 +99,13 @@ def slices(lengths: Iterable[int], most: int = SLICE_CODEPOINTS) -> Iterator[tup
         yield start, at + 1
 
 
+def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """First row, row after the last, and texts (null: empty) of each slice of a column, made one by one, so
+    that a batch of long texts never stands in memory as Python strings."""
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every span, end to end."""
     total = int(lengths.sum())

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ from holdgraph.llm.merges import RankMerger
 from holdgraph.llm.session import id_and_text
 
 #: Pre-tokens that a worker remembers; a full table starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 
 
 class TokenCounter:
@@ -80,9 +81,10 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 512, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer_json)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n = counter.count(texts)
-            size = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n = np.zeros(batch.num_rows, dtype=np.int64)
+            for a, b, texts in textkit.text_slices(batch.column("text")):
+                n[a:b] = counter.count(texts)
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from holdgraph.llm.textkit import LETTER, NUMBER
 #: Words are hashed to so many weights.
 BITS = 18
 #: The fit reads at most so many labelled documents of each class, those with the smallest hashes of their ids.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 5000
 #: Besides each word, its beginnings of so many characters are features: inflected and compounded
 #: forms of a stem share them.
 BEGINNINGS = (4, 5)
@@ -179,10 +179,9 @@ def _bags(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             sizes, features = [], []
-            for a, b in textkit.slices(map(len, texts)):
-                where, sentence, feature = sentences(texts[a:b])
+            for a, b, texts in textkit.text_slices(batch.column("text")):
+                where, sentence, feature = sentences(texts)
                 size = np.bincount(sentence, minlength=len(where)).astype(np.int32)
                 cut = np.searchsorted(where[:, 0], np.arange(b - a + 1))
                 at = np.concatenate([[0], np.cumsum(size)])[cut]
@@ -221,9 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     # At most 2 * rows ids: bounded by a parameter, so it is broadcast and no text is shuffled. Only the
-    # sample's features come to the driver, a few megabytes for each thousand documents. Rows go by the hash
+    # sample's features come to the driver, a few megabytes for each thousand documents, of one row for each id
+    # (the one with the smallest text hash). Rows go by the hash
     # of their ids, so that the result doesn't depend on the order in which they come.
-    bags = _bags(docs.join(F.broadcast(chosen), "doc_id"))
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    bags = _bags(sample)
     return _fitted(bags.orderBy("place").toArrow().to_batches(), totals)
 
 
@@ -243,10 +244,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            out, offending = np.zeros(len(texts)), []
-            for a, b in textkit.slices(map(len, texts)):
-                where, sentence, features = sentences(texts[a:b])
+            out, offending = np.zeros(batch.num_rows), []
+            for a, b, texts in textkit.text_slices(batch.column("text")):
+                where, sentence, features = sentences(texts)
                 logits = model.sentence_logits(sentence, features, len(where))
                 out[a:b] = model.bags(logits, where[:, 0], b - a)
                 if spans:
@@ -270,10 +270,9 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(schema.names.index(text_col)).to_pylist()]
-            clean = np.ones(len(texts), dtype=bool)
-            for a, b in textkit.slices(map(len, texts)):
-                where, sentence, features = sentences(texts[a:b])
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for a, b, texts in textkit.text_slices(batch.column(schema.names.index(text_col))):
+                where, sentence, features = sentences(texts)
                 clean[a:b] = shared.value.bags(shared.value.sentence_logits(sentence, features, len(where)), where[:, 0], b - a) < 0.5
             yield batch.filter(pa.array(clean))
 
