@@ -6,28 +6,11 @@ each layer to the shared folder, so that neither lineage nor driver memory grows
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdgraph import components as stars
-
-
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="holdgraph-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def written(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from holdgraph.lineage import written
 
 
 def walks(edges: DataFrame, hops: int) -> DataFrame:
@@ -129,7 +112,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that undirected links (a, b) reach; nodes whose only link is to
     themselves are components of their own."""
     links = written(links.select("a", "b"))
-    found = written(stars.components(links, lambda df, name: written(df)))
+    found = written(stars.components(links, written))
     alone = links.where("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti")
     return found.unionByName(alone.withColumn("component", F.col("node")))
 

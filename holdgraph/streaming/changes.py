@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdgraph.operators.graph import shared_folder
+from holdgraph.lineage import shared_folder
 
 
 def event_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
