@@ -1,11 +1,13 @@
 """Operator 9: exact top-k inner products, by descending length with residual bounds.
 
 Components become integers, so scores are exact. Candidates are dealt into blocks by descending length;
-a query first meets the longest block, which gives it a threshold. By Cauchy-Schwarz no vector of a
-block can score above |query| * (longest of the block), so a query is sent only to blocks that can still
-beat its threshold. Inside a block vectors are taken in descending length, in runs: in coordinates
-rotated by an SVD the first few carry most of the product, the rest is at most the product of the two
-residual lengths, and only pairs whose bound reaches the threshold get their exact integer score.
+a query first meets the longest block, which gives it a threshold, then the longest bands, which raise
+it, then the rest. By Cauchy-Schwarz no vector of a block can score above |query| * (longest of the
+block), so each query needs only blocks from some length on; queries are grouped by that length, and a
+candidate is sent only to the groups that still need it. Inside a block vectors are taken in descending
+length, in runs: in coordinates rotated by an SVD the first few carry most of the product, the rest is
+at most the product of the two residual lengths, and only pairs whose bound reaches the threshold get
+their exact integer score.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from holdgraph.llm.session import written
 from holdgraph.llm.vectors import one_per_id, stacked
 
-#: Candidates and queries of a block, bands of length, rows that the rotation is fitted on, and the run length.
-BLOCK, QUERIES, BANDS, FITTED, RUN = 8192, 4096, 256, 4096, 1024
+#: Candidates of a block, queries of a group and how many of them are compared at once, most bands of length,
+#: the part of them that comes before the rest, rows that the rotation is fitted on, and the run length.
+BLOCK, QUERIES, TOGETHER, BANDS, FIRST_SHARE, FITTED, RUN = 8192, 16384, 2048, 256, 16, 4096, 1024
 _SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -87,8 +90,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     rows = rows.select("vec_id", "v", F.size("v").alias("dims"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("length"))
     rows = written(rows, "vectors")
 
-    # Bands of length: a bounded number of borders and counts.
-    borders = sorted({x for x in (rows.agg(F.percentile_approx("length", [i / BANDS for i in range(1, BANDS)], 2000)).first()[0] or [])}, reverse=True)
+    # Bands of length, of a block at least: a bounded number of borders and counts.
+    bands = max(1, min(BANDS, math.ceil(rows.count() / BLOCK)))
+    borders = sorted({x for x in (bands > 1 and rows.agg(F.percentile_approx("length", [i / bands for i in range(1, bands)], 2000)).first()[0] or [])}, reverse=True)
     band = F.lit(0)
     if borders:
         band = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b > F.col("length")))
@@ -96,35 +100,56 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     sizes = {(r["dims"], r["band"]): r["count"] for r in banded.groupBy("dims", "band").count().collect()}
     many = F.create_map(*(F.lit(x) for key, n in sizes.items() for x in (f"{key[0]}/{key[1]}", math.ceil(n / BLOCK)))) if sizes else F.create_map(F.lit(""), F.lit(1))
     name = F.concat_ws("/", "dims", "band")
-    blocked = written(banded.withColumn("part", F.pmod(F.xxhash64("vec_id"), many[name])), "blocked")
-    blocks = blocked.groupBy("dims", "band", "part").agg(F.max("length").alias("longest"))
-    n_queries = rows.where(is_query).count()
-    groups = max(1, math.ceil(n_queries / QUERIES))
-    query = blocked.where(is_query).select(F.col("vec_id").alias("query_id"), "v", "dims", "length", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("group"))
+    blocked = banded.withColumn("part", F.pmod(F.xxhash64("vec_id"), many[name]))
+    longest = F.max("length").over(Window.partitionBy("dims", "band", "part"))
+    blocked = written(blocked.withColumn("longest", longest), "blocked")
+    query = blocked.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), "dims", "length")
+    groups = max(1, math.ceil(query.count() / QUERIES))
     sample = [np.array(r[0]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FITTED).select("v").collect()]
     turn = spark.sparkContext.broadcast(rotation(np.stack([s for s in sample if len(s) == len(sample[0])])) if sample and len(sample[0]) else np.zeros((0, 0)))
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids = left["query_id"].to_numpy()
-        q, vec_id, score = block_top_k(stacked(left["query"]), ids, left["least"].to_numpy(), stacked(right["v"]), right["vec_id"].to_numpy(), turn.value, k)
-        return pd.DataFrame({"query_id": ids[q], "vec_id": vec_id, "score": score})
-
-    def met(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        """Each query block with each of its candidate blocks."""
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")]
+        if len(left) and len(right):
+            vectors, vec_ids = stacked(right["v"]), right["vec_id"].to_numpy()
+            for a in range(0, len(left), TOGETHER):
+                some = left.iloc[a : a + TOGETHER]
+                ids = some["query_id"].to_numpy()
+                q, vec_id, score = block_top_k(stacked(some["query"]), ids, some["least"].to_numpy(), vectors, vec_ids, turn.value, k)
+                out.append(pd.DataFrame({"query_id": ids[q], "vec_id": vec_id, "score": score}))
+        return pd.concat(out)
+
+    def met(found: DataFrame | None, candidates: DataFrame) -> DataFrame:
+        """The best k of every query among candidates that can still reach what it has found. A query needs
+        candidates of a certain length on; groups are ranges of that length, so the long candidates go to
+        all groups and the short ones to few."""
+        if found is None:
+            asked = query.withColumn("least", F.lit(float("-inf")))
+        else:
+            least = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.get("s", F.lit(k - 1)).cast("double").alias("least"))
+            asked = query.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        need = F.when(F.col("least") > 0, F.col("least") / F.col("length") * (1 - 1e-9) - 1e-6).otherwise(F.lit(-1.0))
+        asked = asked.withColumn("need", need)
+        cuts = [-math.inf]
+        if groups > 1:
+            cuts += [c for c in asked.agg(F.percentile_approx("need", [i / groups for i in range(1, groups)], 10_000)).first()[0] or [] if c > -1]
+        cuts = sorted(set(cuts))
+        at = F.array(*map(F.lit, cuts))
+        group = F.size(F.filter(at, lambda c: c <= F.col("need")))
+        asked = asked.withColumn("group", group)
+        # The least need of a group is at least its lower border.
+        each = candidates.withColumn("group", F.explode(F.sequence(F.lit(1), F.size(F.filter(at, lambda c: c <= F.col("longest"))))))
         keys = ["dims", "band", "part", "group"]
-        asked = queries.select("query_id", F.col("v").alias("query"), "least", *(F.col(c).alias(f"q_{c}") for c in keys))
-        each = candidates.select("vec_id", "v", "dims", "band", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-        return asked.groupBy(*(f"q_{c}" for c in keys)).cogroup(each.groupBy(*keys)).applyInPandas(best, _SCHEMA)
-
-    # The longest block of each dimension first: its k-th score is every query's threshold.
-    longest = blocks.groupBy("dims").agg(F.min(F.struct("band", "part")).alias("first")).select("dims", "first.band", "first.part")
-    start = query.join(longest, "dims").withColumn("least", F.lit(float("-inf")))
-    begun = written(met(start, blocked.join(longest, ["dims", "band", "part"])), "begun")
-    least = begun.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    rest = query.join(least, "query_id", "left").withColumn("least", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
-    rest = rest.join(blocks.join(longest, ["dims", "band", "part"], "left_anti"), "dims").where(F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least"))
-    others = met(rest.drop("longest"), blocked.join(longest, ["dims", "band", "part"], "left_anti"))
+        open_ = candidates.select("dims", "band", "part", "longest").distinct().withColumn("group", F.explode(F.sequence(F.lit(1), F.size(F.filter(at, lambda c: c <= F.col("longest"))))))
+        asked = asked.join(open_, ["dims", "group"]).where(F.col("need") <= F.col("longest")).select("query_id", "query", "least", *(F.col(c).alias(f"q_{c}") for c in keys))
+        return asked.groupBy(*(f"q_{c}" for c in keys)).cogroup(each.select("vec_id", "v", *keys).groupBy(*keys)).applyInPandas(best, _SCHEMA)
+
+    first = blocked.groupBy("dims").agg(F.min(F.struct("band", "part")).alias("first")).select("dims", "first.band", "first.part")
+    found = written(met(None, blocked.join(first, ["dims", "band", "part"])), "begun")
+    others = blocked.join(first, ["dims", "band", "part"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return begun.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    early = F.col("band") <= len(borders) // FIRST_SHARE
+    for part in (others.where(early), others.where(~early)):
+        found = found.unionByName(met(found, part)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = written(found.select("query_id", "rank", "vec_id", "score"), "best").drop("rank")
+    return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
