@@ -4,6 +4,9 @@ Roles and texts are encoded each by itself, so no merge ever crosses a border; t
 reserved ids above the vocabulary, spliced between them; the loss mask is the running sum of +1 at
 each start and -1 at each end of an assistant text. So that the decoded form is unambiguous too,
 control strings inside roles and texts are escaped reversibly.
+
+Turns are dealt by conversation and sorted; what follows goes through them as a stream, so no task ever
+holds a conversation whole, however many turns share one key.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Turn marks; their ids follow the vocabulary's, in this order.
 OPEN, SAYS, CLOSE = MARKS = ("<turn>", "<says>", "</turn>")
 TRAINED_ROLE = "assistant"
+_NONE = object()
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -64,55 +69,93 @@ def assemble(turns: list[tuple[str, str]], encode, first_mark: int) -> tuple[np.
     return ids, np.cumsum(change)[:-1].astype(bool)
 
 
-def format_conversations(turns: DataFrame, ranks_path: str) -> DataFrame:
-    """conv_id, ids (array of int), loss_mask (array of boolean): one row for each conversation.
+def _in_order(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+
+
+def format_turns(turns: DataFrame, ranks_path: str) -> DataFrame:
+    """conv_id, place (from 0 within the conversation), ids (array of int), loss_mask (array of boolean): one
+    row for each turn, its marks included; a conversation is its turns' ids end to end.
 
     turns has conv_id, turn, role, text; other columns are ignored. Turns go by turn, then role and
     text where turns tie (nulls first); repeated rows are turns of their own. A null role or text
-    counts as empty; rows with a null conv_id are one conversation. Texts are never cut. A
-    conversation is the unit of the result, so its own turns meet in one task."""
-    rows = F.struct("turn", "role", "text")
-    grouped = turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.sort_array(F.collect_list(rows)).alias("turns"))
-    schema = T.StructType([turns.schema["conv_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss_mask", T.ArrayType(T.BooleanType()))])
+    counts as empty; rows with a null conv_id are one conversation. Texts are never cut. An empty table
+    gives an empty one."""
+    schema = T.StructType([turns.schema["conv_id"], T.StructField("place", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss_mask", T.ArrayType(T.BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, first = _encoding(ranks_path)
+        last, place = _NONE, -1
         for batch in batches:
-            ids, masks = [], []
-            for one in batch.column("turns").to_pylist():
-                i, m = assemble([(t["role"] or "", t["text"] or "") for t in one], encoding.encode_ordinary, first)
+            places, ids, masks = [], [], []
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                place = place + 1 if conv == last else 0
+                last = conv
+                i, m = assemble([(role or "", text or "")], encoding.encode_ordinary, first)
+                places.append(place)
                 ids.append(i)
                 masks.append(m)
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))], names=["conv_id", "ids", "loss_mask"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(places, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))], names=schema.names)
+
+    ordered = _in_order(turns.select("conv_id", "turn", "role", "text"), "turn", "role", "text")
+    return ordered.mapInArrow(run, schema)
 
-    return grouped.mapInArrow(run, schema)
+
+def format_conversations(turns: DataFrame, ranks_path: str) -> DataFrame:
+    """conv_id, ids, loss_mask: format_turns with one row for each conversation, for conversations that fit
+    into a row."""
+    parts = format_turns(turns, ranks_path).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "loss_mask"))).alias("parts"))
+    return parts.select("conv_id", F.flatten("parts.ids").alias("ids"), F.flatten("parts.loss_mask").alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame, ranks_path: str) -> DataFrame:
     """What ids and masks say, without the input: conv_id, n_turns, turns_sha256 (role, newline, text,
     newline of each turn), loss_chars and loss_sha256 (the text under the mask), formatted_chars (of
-    the decoded form with its marks and escapes)."""
-    schema = T.StructType([formatted.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
+    the decoded form with its marks and escapes). formatted: conv_id, place, ids, loss_mask."""
+    return _read(_in_order(formatted.select("conv_id", "place", "ids", "loss_mask"), "place"), ranks_path)
+
+
+def round_trip(turns: DataFrame, ranks_path: str) -> DataFrame:
+    """read_back of format_turns in one pass: the ids are read where they are made, in their order, and move
+    nowhere."""
+    return _read(format_turns(turns, ranks_path), ranks_path)
+
+
+def _read(ordered: DataFrame, ranks_path: str) -> DataFrame:
+    """ordered: the turns of a conversation stand one after another in a partition."""
+    schema = T.StructType([ordered.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
+    key_type = to_arrow_type(schema.fields[0].dataType)
+    types = [key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, first = _encoding(ranks_path)
+        text = lambda ids: encoding.decode_bytes(ids.tolist()).decode()
+        last, state = _NONE, None
 
-        def text(ids: np.ndarray) -> str:
-            return encoding.decode_bytes(ids.tolist()).decode()
+        def ended() -> tuple:
+            n, turns, chars, loss, formatted = state
+            return last, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
 
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for ids, mask in zip(batch.column("ids"), batch.column("loss_mask"), strict=True):
+            done = []
+            for conv, ids, mask in zip(batch.column("conv_id").to_pylist(), batch.column("ids"), batch.column("loss_mask"), strict=True):
+                if conv != last:
+                    if state is not None:
+                        done.append(ended())
+                    last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 ids, mask = ids.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False)
                 marks = np.flatnonzero(ids >= first)
-                turns, chars = [], sum(len(MARKS[k - first]) for k in ids[marks].tolist())
+                state[4] += sum(len(MARKS[k - first]) for k in ids[marks].tolist())
                 for start, says, end in marks.reshape(-1, 3).tolist():
                     role, said = text(ids[start + 1 : says]), text(ids[says + 1 : end])
-                    chars += len(role) + len(said)
-                    turns.append(f"{unescape(role)}\n{unescape(said)}\n")
+                    state[0] += 1
+                    state[4] += len(role) + len(said)
+                    state[1].update(f"{unescape(role)}\n{unescape(said)}\n".encode())
                 loss = unescape(text(ids[mask]))
-                for column, value in zip(out, (len(turns), hashlib.sha256("".join(turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, f.dataType.typeName() == "long" and pa.int64() or pa.string()) for c, f in zip(out, schema.fields[1:], strict=True))], names=schema.names)
+                state[2] += len(loss)
+                state[3].update(loss.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * len(types), types, strict=True)], names=schema.names)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(ended(), types, strict=True)], names=schema.names)
 
-    return formatted.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, schema)

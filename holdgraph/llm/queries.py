@@ -40,7 +40,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", PLANTED_TEXT), (-7, 1, "assistant", PLANTED_TEXT)], turns.schema)
     ranks = public_tokenizers.path(BYTE_RANKS)
-    return chat.read_back(chat.format_conversations(turns.unionByName(planted), ranks), ranks)
+    return chat.round_trip(turns.unionByName(planted), ranks)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
