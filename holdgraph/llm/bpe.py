@@ -3,9 +3,9 @@
 A rolling hash over the normalised code points cuts each text into chunks whose borders depend on
 the content around them alone, so copies and shared passages give the same chunks wherever they
 stand. A worker encodes each chunk once and takes the ids of known chunks from a bounded table.
-A cut may fall inside a word: each run of non-blank characters that holds a cut is encoded again as
-a whole, and its ids replace those at the chunks' ends, which must agree with the ids of the parts
-when those are encoded alone; a document whose parts disagree is encoded again whole.
+A cut may fall inside a word: the stretch of non-blank characters around it is encoded again as a whole,
+and its ids replace those at the chunks' ends, which must agree with the ids of the parts when those are
+encoded alone; where they don't, the stretch grows until they do.
 
 Ids of words come from the tokenizer file's merges, applied to all new words of a batch at once.
 """
@@ -42,8 +42,13 @@ class WordCoder:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         self.special = [t["content"] for t in whole["added_tokens"]]
+        kinds = [whole["normalizer"]["type"], *(x["type"] for x in whole["normalizer"].get("normalizers", []))]
+        if set(kinds) - {"Sequence", "NFC", "Replace", "Lowercase"}:
+            raise ValueError(f"{path}: a normaliser that isn't known here")
         self.merger = RankMerger.from_json(path)
         size = 1 + max([*whole["model"]["vocab"].values(), *(t["id"] for t in whole["added_tokens"])])
+        if size > 1 << 16:
+            raise ValueError(f"{path}: ids over 65,535")
         self.strings = [b""] * size
         for token, k in [*whole["model"]["vocab"].items(), *((t["content"], t["id"]) for t in whole["added_tokens"])]:
             self.strings[k] = token.encode()
@@ -77,12 +82,11 @@ class WordCoder:
     def encode_pieces(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.encode_spans(cp[ragged_index(starts, ends - starts)], np.concatenate([[0], np.cumsum(ends - starts)]))
 
-    def encode_chunked(self, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As encode_spans, by chunks; last, whether each text's chunk joins agreed."""
+    def encode_chunked(self, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_spans, by chunks."""
         n, texts = len(cp), len(bounds) - 1
-        fine = np.ones(texts, dtype=bool)
         if not n:
-            return np.zeros(0, dtype=np.uint16), np.zeros(texts + 1, dtype=np.int64), fine
+            return np.zeros(0, dtype=np.uint16), np.zeros(texts + 1, dtype=np.int64)
         cuts = chunk_borders(cp, bounds)
         starts, ends = cuts[:-1], cuts[1:]
 
@@ -94,53 +98,65 @@ class WordCoder:
         ids, lengths = self.chunks.gather(rows)
         at = np.cumsum(lengths) - lengths
 
-        # Runs of non-blank characters that hold a cut.
-        inner = starts[~np.isin(starts, bounds)]
+        # Repair: around each cut that parts non-blank characters, the stretch between blanks is encoded anew.
+        # What the two chunks have of it must be what those parts give when encoded alone; where it isn't,
+        # the stretch grows to both sides, at last to the whole text, until all agree.
         blank = textkit.char_classes()[cp] == textkit.SPACE
+        inner = starts[~np.isin(starts, bounds)]
         inner = inner[~blank[inner] & ~blank[inner - 1]]
-        stop = blank.copy()
-        edges = np.union1d(np.flatnonzero(stop), bounds)  # blanks, and where texts begin and end
-        k = np.searchsorted(edges, inner, side="right")
-        before = edges[k - 1]
-        left = np.where((before < n) & blank[np.minimum(before, n - 1)], before + 1, before)
-        right = edges[np.searchsorted(edges, inner, side="left")]
-        run_l, keep = np.unique(left, return_index=True)
-        run_r = right[keep]
-        # What each chunk has of a run at its start and at its end.
-        head_end, tail_start = starts.copy(), ends.copy()
-        if len(run_l):
-            j = np.searchsorted(run_l, starts, side="right") - 1
-            inside = (j >= 0) & (run_l[np.maximum(j, 0)] < starts) & (run_r[np.maximum(j, 0)] > starts)
-            head_end[inside] = np.minimum(run_r[j[inside]], ends[inside])
-            j = np.searchsorted(run_l, ends, side="left") - 1
-            inside = (j >= 0) & (run_r[np.maximum(j, 0)] > ends)
-            tail_start[inside] = np.maximum(run_l[j[inside]], starts[inside])
-        tail_start = np.maximum(tail_start, head_end)
-        head_ids, head_at = self.encode_pieces(cp, starts, head_end)
-        tail_ids, tail_at = self.encode_pieces(cp, tail_start, ends)
-        heads, tails = np.diff(head_at), np.diff(tail_at)
-        ok = heads + tails <= lengths
-        same = np.zeros(len(starts), dtype=bool)
-        same[ok] = True
-        if ok.all():
-            wrong = np.flatnonzero(ids[ragged_index(at, heads)] != head_ids)
-            same[np.searchsorted(head_at, wrong, side="right") - 1] = False
-            wrong = np.flatnonzero(ids[ragged_index(at + lengths - tails, tails)] != tail_ids)
-            same[np.searchsorted(tail_at, wrong, side="right") - 1] = False
-        text_of = np.searchsorted(bounds, starts, side="right") - 1
-        fine[text_of[~same]] = False
-        heads, tails = np.where(same, heads, 0), np.where(same, tails, 0)
-        # Splice: the chunks' middles and the runs, in order of place.
+        edges = np.union1d(np.flatnonzero(blank), bounds)
+        text = np.searchsorted(bounds, inner, side="right") - 1
+        reach = np.zeros(len(inner), dtype=np.int64)
+        while True:
+            run_l, run_r = self._stretches(inner, reach, edges, blank, bounds[text], bounds[text + 1])
+            # What each chunk has of a stretch at its start and at its end.
+            head_end, tail_start = starts.copy(), ends.copy()
+            if len(run_l):
+                j = np.searchsorted(run_l, starts, side="right") - 1
+                inside = (j >= 0) & (run_l[np.maximum(j, 0)] <= starts) & (run_r[np.maximum(j, 0)] > starts)
+                head_end[inside] = np.minimum(run_r[j[inside]], ends[inside])
+                j = np.searchsorted(run_l, ends, side="left") - 1
+                inside = (j >= 0) & (run_r[np.maximum(j, 0)] >= ends)
+                tail_start[inside] = np.maximum(run_l[j[inside]], starts[inside])
+            tail_start = np.maximum(tail_start, head_end)
+            head_ids, head_at = self.encode_pieces(cp, starts, head_end)
+            tail_ids, tail_at = self.encode_pieces(cp, tail_start, ends)
+            heads, tails = np.diff(head_at), np.diff(tail_at)
+            same = heads + tails <= lengths
+            for size, part, first in ((heads, head_ids, at), (tails, tail_ids, at + lengths - tails)):
+                owner = np.repeat(np.arange(len(starts)), size)
+                index = np.clip(ragged_index(first, size), 0, max(0, len(ids) - 1))
+                same[owner[same[owner] & (ids[index] != part)] if len(ids) else owner] = False
+            if same.all():
+                break
+            wrong = np.concatenate([starts[~same], ends[~same]])
+            reach = np.where(np.isin(inner, wrong), 2 * reach + 1, reach)
+        # Splice: the chunks' middles and the stretches, in order of place.
         run_ids, run_at = self.encode_pieces(cp, run_l, run_r)
         place = np.concatenate([head_end, run_l])
         source = np.concatenate([at + heads, len(ids) + run_at[:-1]])
         size = np.concatenate([lengths - heads - tails, np.diff(run_at)])
         is_run = np.concatenate([np.zeros(len(starts), dtype=np.int8), np.ones(len(run_l), dtype=np.int8)])
         order = np.lexsort((is_run, place))
-        # A chunk that lies wholly inside a run has nothing between, so its place doesn't matter.
+        # A chunk that lies wholly inside a stretch has nothing between, so its place doesn't matter.
         place, source, size = place[order], source[order], size[order]
         out = np.concatenate([ids, run_ids])[ragged_index(source, size)]
-        return out, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(place, bounds)], fine
+        return out, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(place, bounds)]
+
+    @staticmethod
+    def _stretches(cuts: np.ndarray, reach: np.ndarray, edges: np.ndarray, blank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Borders of the stretches around cuts, `reach` blanks wider than to the next, inside texts [lo, hi);
+        stretches that overlap are one."""
+        if not len(cuts):
+            return cuts, cuts
+        before = edges[np.maximum(np.searchsorted(edges, cuts, side="right") - 1 - reach, 0)]
+        at_blank = (before < len(blank)) & blank[np.minimum(before, len(blank) - 1)]
+        left = np.maximum(np.where(at_blank, before + 1, before), lo)
+        right = np.minimum(edges[np.minimum(np.searchsorted(edges, cuts, side="left") + reach, len(edges) - 1)], hi)
+        order = np.lexsort((right, left))
+        left, right = left[order], np.maximum.accumulate(right[order])
+        first = np.flatnonzero(np.concatenate([[True], left[1:] >= right[:-1]]))
+        return left[first], right[np.append(first[1:], len(left)) - 1]
 
     def encode(self, texts: list[str], chunked: bool = False) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -148,11 +164,7 @@ class WordCoder:
             part = texts[a:b]
             odd = {k for k, t in enumerate(part) if any(s in t for s in self.special)}
             cp, bounds = textkit.codepoints(["" if k in odd else self.normal(t) for k, t in enumerate(part)])
-            if chunked:
-                ids, at, fine = self.encode_chunked(cp, bounds)
-                odd |= set(np.flatnonzero(~fine).tolist())
-            else:
-                ids, at = self.encode_spans(cp, bounds)
+            ids, at = (self.encode_chunked if chunked else self.encode_spans)(cp, bounds)
             for k, text in enumerate(part):
                 yield self.by_library(text) if k in odd else ids[at[k] : at[k + 1]]
 
