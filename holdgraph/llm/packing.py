@@ -28,6 +28,7 @@ SALTS = 64
 #: Partners tried for each length, the most documents in a fitted pattern, and its most unused tokens.
 PARTNERS, MOST_IN_PATTERN, WASTE = 6, 4, 2
 ROUNDS = 300
+_RANK_BITS = 48
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -165,14 +166,25 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = salted.groupBy("length", "_salt").count()
     before = counts.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
-    rows = plan_rows(solve(histogram, capacity))
-    schema = "length long, _first long, _end long, _sequence long, offset long"
-    plan = spark.createDataFrame(rows, schema) if rows else spark.createDataFrame([], schema)
+    # The plan has a bounded number of rows (it depends on capacity, not on the corpus), so it is broadcast:
+    # slots by length and first rank, in which a piece finds its own by bisection.
+    slots = np.array(sorted(plan_rows(solve(histogram, capacity))), dtype=np.int64).reshape(-1, 5)
+    shared = spark.sparkContext.broadcast(slots)
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(order)).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before") - 1)
-    # The plan has a bounded number of rows (it depends on capacity, not on the corpus), so it is broadcast.
-    placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    return placed.select(*(parts[c] for c in parts.columns), (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), plan["offset"])
+    ranked = salted.withColumn("_rank", F.row_number().over(order)).join(before, ["length", "_salt"]).select(*parts.columns, (F.col("_rank") + F.col("_before") - 1).alias("_rank"))
+    given = parts.columns
+    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = shared.value
+        keys = slots[:, 0] << _RANK_BITS | slots[:, 1]
+        for batch in batches:
+            rank = batch.column("_rank").to_numpy()
+            slot = slots[np.searchsorted(keys, batch.column("length").to_numpy() << _RANK_BITS | rank, side="right") - 1] if len(slots) else slots
+            columns = [batch.column(c) for c in given]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(slot[:, 3] + rank - slot[:, 1], pa.int64()), pa.array(slot[:, 4], pa.int64())], names=schema.names)
+
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
