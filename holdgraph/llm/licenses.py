@@ -25,6 +25,7 @@ class Template:
     base: bool = False
 
 
+# The base phrases, and sentences of well-known public licences.
 TEMPLATES = (
     Template("under the mit license", "mit", True),
     Template("apache license version 2", "apache-2", True),
@@ -32,6 +33,20 @@ TEMPLATES = (
     Template("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
     Template("licensed under the apache license version 2 0", "apache-2"),
     Template("creative commons attribution noncommercial", "cc-by-nc"),
+    Template("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    Template("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
+    Template("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    Template("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3"),
+    Template("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    Template("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    Template("under the terms of the gnu affero general public license", "agpl"),
+    Template("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    Template("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    Template("this is free and unencumbered software released into the public domain", "unlicense"),
+    Template("licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    Template("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    Template("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    Template("boost software license version 1 0", "bsl-1"),
 )
 #: Words in a hashed gram; diagonals at most so far apart are one find; template words that a find must cover.
 GRAM, NEIGHBOURS, COVER = 2, 2, 0.75
