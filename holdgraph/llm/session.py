@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where it is unset
-    (tests, local mode) a folder of our own is made and set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="holdgraph-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+from holdgraph import lineage
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back: what follows neither
     repeats the work before it nor loses it with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return lineage.written(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

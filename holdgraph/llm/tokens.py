@@ -29,7 +29,10 @@ class TokenCounter:
     def __init__(self, path: str):
         self.merger = RankMerger.from_json(path)
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+            whole = json.load(f)
+        if whole["normalizer"] or whole["pre_tokenizer"].get("type") != "ByteLevel" or not whole["pre_tokenizer"]["use_regex"] or whole["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError(f"{path}: not a plain byte-level tokenizer")
+        self.special = [t["content"] for t in whole["added_tokens"]]
         self.known = textkit.WordTable(REMEMBERED, np.int32)
 
     def _count(self, texts: list[str]) -> np.ndarray:
