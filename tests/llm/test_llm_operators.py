@@ -68,6 +68,14 @@ def test_bpe_round_trip_equals_library(docs, empty):
     assert bpe.encode_documents(empty, WORD).count() == 0
 
 
+def test_null_ids_keep_their_rows(spark):
+    docs = spark.createDataFrame([(None, "one two"), (None, "one two"), (None, None), (1, "three")], "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in collected(tokens.count_tokens(docs, BYTE)) if r["doc_id"] is None) == [0, 2, 2]
+    assert sorted(r["n_tokens"] for r in collected(bpe.digest_documents(docs, WORD)) if r["doc_id"] is None) == [0, 2, 2]
+    packed = collected(packing.pack_documents(docs, WORD))
+    assert sorted(r["length"] for r in packed) == [1, 2, 3, 3] and len({r["sequence_id"] for r in packed}) == 1
+
+
 def test_chunk_joins_are_repaired():
     library, coder = Tokenizer.from_file(WORD), bpe.WordCoder(WORD)
     rng = random.Random(5)
@@ -226,20 +234,26 @@ def test_jaccard_null_id(spark):
 def test_chat_round_trip(spark):
     hard = [queries.PLANTED_TEXT, "\\", "\\\\<turn>", "<<turn>says><says></turn>", None, "", "Grüße\n"]
     data = [(c, t, role, hard[(c + t) % len(hard)], 0) for c in range(7) for t, role in enumerate(("system", "user", "assistant", "assistant", None))]
+    data += [(None, k, "assistant", "null key ", 0) for k in range(1, 40)] + [(8, 0, "assistant", "long < \\ text " * 20_000, 0)]
     data += [(None, 0, "assistant", "x", 0), (1, 2, "assistant", "tie", 0), (1, 2, "assistant", "tie", 0)]
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, ids int").repartition(3)
     groups = defaultdict(list)
     for c, t, role, text, _ in data:
         groups[c].append((t, role is not None, role or "", text is not None, text or ""))
-    for r in collected(chat.read_back(chat.format_conversations(turns, ranks), ranks)):
+    got = collected(chat.round_trip(turns, ranks))
+    assert len(got) == len(groups)
+    assert sorted(map(str, got)) == sorted(map(str, collected(chat.read_back(chat.format_turns(turns, ranks), ranks))))
+    whole = {r["conv_id"]: r for r in collected(chat.format_conversations(turns, ranks))}
+    assert all(len(r["ids"]) == len(r["loss_mask"]) for r in whole.values()) and set(whole) == set(groups)
+    for r in got:
         want = [(role, text) for _, _, role, _, text in sorted(groups[r["conv_id"]])]
         loss = "".join(text for role, text in want if role == "assistant")
         assert r["n_turns"] == len(want)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["formatted_chars"] == sum(len(chat.escape(a) + chat.escape(b)) + sum(map(len, chat.MARKS)) for a, b in want)
-    assert chat.read_back(chat.format_conversations(turns.limit(0), ranks), ranks).count() == 0
+    assert chat.round_trip(turns.limit(0), ranks).count() == 0
 
 
 @pytest.mark.parametrize("text", ["\\", "<turn>", "<\\turn>", "a\\<says>b", "</turn>" * 3])
@@ -277,6 +291,50 @@ def test_toxicity_finds_sentences(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_equal_plain_loops(spark):
+    """Noisy-or, its gradient and the calibration, written out document by document."""
+    data = [(i, t, y) for i, (t, y) in enumerate([("bad moon. good rain", 1), ("good rain. good moon", 0), ("bad. bad leaf", 1), ("leaf moon", 0), ("rain", 0), ("bad rain. leaf", 1)] * 6)]
+    docs = [toxicity.sentences([t]) for _, t, _ in data]
+    model = toxicity.train(spark.createDataFrame([(3 * i, t) for i, t, _ in data], "doc_id long, text string").repartition(3), spark.createDataFrame([(3 * i, y) for i, _, y in data], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in collected(toxicity.score(spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string"), model))}
+    for (i, _, _), (where, sentence, features) in zip(data, docs, strict=True):
+        clean = 1.0
+        for s in range(len(where)):
+            logit = model.intercept + sum(float(model.weights[f]) for w in np.flatnonzero(sentence == s) for f in features[w])
+            clean *= 1 - 1 / (1 + np.exp(-logit))
+        p = min(max(1 - clean, 1e-12), 1 - 1e-12)
+        assert abs(got[i] - 1 / (1 + np.exp(-model.slope * np.log(p / (1 - p)) - model.shift))) < 1e-6
+    assert all((got[i] >= 0.5) == (y == 1) for i, _, y in data)
+    # The fit: Adam over the plain gradient of the weighted log loss.
+    bags, y = [d for d in docs], np.array([y for *_, y in data], dtype=float)
+    flat = [(b, s, f) for b, (where, sentence, feats) in enumerate(bags) for s in range(len(where)) for f in [feats[sentence == s].ravel()]]
+    held = Counter(f for b, (_, _, feats) in enumerate(bags) for f in set(feats.ravel().tolist()))
+    used = sorted(f for f, n in held.items() if n >= toxicity.LEAST_DOCUMENTS)
+    at = {f: k for k, f in enumerate(used)}
+    w, m, v = np.append(np.zeros(len(used)), -5.0), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    for t in range(1, toxicity.ROUNDS + 1):
+        logits = [w[-1] + sum(w[at[f]] for f in fs if f in at) for _, _, fs in flat]
+        clean = np.ones(len(bags))
+        for (b, _, _), z in zip(flat, logits, strict=True):
+            clean[b] *= 1 - 1 / (1 + np.exp(-z))
+        p = np.clip(1 - clean, 1e-9, 1 - 1e-9)
+        g = np.zeros_like(w)
+        for (b, _, fs), z in zip(flat, logits, strict=True):
+            d = (1 - y[b] / p[b]) / (1 + np.exp(-z))
+            g[-1] += d
+            for f in fs:
+                if f in at:
+                    g[at[f]] += d
+        g[:-1] += toxicity.PENALTY * np.minimum([held[f] for f in used], 50) * w[:-1]
+        g /= len(bags)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= toxicity.STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
+    bag = np.repeat(np.arange(len(bags)), [len(d[0]) for d in bags])
+    first = np.cumsum([0, *(len(d[0]) for d in bags)])
+    fitted = toxicity.fit_weights(bag, np.concatenate([d[1] + first[k] for k, d in enumerate(bags)]), np.concatenate([d[2] for d in bags]), y, np.ones(len(y)))
+    assert np.allclose(fitted.weights[used], w[:-1], atol=0.02) and abs(fitted.intercept - w[-1]) < 0.05
+
+
 def vectors(spark, n=300, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 8)).astype(np.float32)
@@ -318,6 +376,47 @@ def test_near_duplicates_over_shards(spark, monkeypatch):
     assert 0.9 * true <= got <= true
 
 
+def test_near_duplicates_of_large_and_small_vectors(spark):
+    rows = [(1, [1e200, 1e200, 0.0, 0.0]), (2, [1e200, 1e200, 1.0, 0.0]), (3, [1e-200, 1e-200, 0.0, 0.0]), (4, [0.0, 0.0, 1e-300, 1.0]), (None, [1.0, 1.0, 0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in collected(neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), None: (0, None, True)}
+
+
+@pytest.mark.parametrize("sizes", [(40, 2), (4000, 4096)])
+def test_near_duplicates_of_a_dense_group(spark, monkeypatch, sizes):
+    """Parts that are split once more; the exact comparison of blocks; one dense group of unlike vectors."""
+    monkeypatch.setattr(neardup, "SHARD", sizes[0])
+    monkeypatch.setattr(neardup, "MOST_SHARDS", sizes[1])
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 8))
+    x[:200] = x[0] + 0.02 * rng.normal(size=(200, 8))
+    near = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :] >= 0.9
+    true = dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r for r in collected(neardup.near_duplicates(df))}
+    assert all(got[i]["n_links"] <= true[i] for i in true)
+    assert np.mean([got[i]["n_links"] / n for i, n in true.items() if n]) >= 0.9
+    nodes = df.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"), F.lit(1).cast("long").alias("copies"))
+    exact = Counter()
+    for r in collected(neardup.exact_links(nodes, 0.9)):
+        exact[r["node"]] += r["linked"]
+    assert {i: exact[i] for i in true} == true
+
+
+def test_top_k_ties(spark):
+    """Equal scores at the last place go to the smaller ids; zero vectors tie with all."""
+    rows = [(i, [1.0, 1.0]) for i in range(30)] + [(i, [0.0, 0.0]) for i in range(40, 60)] + [(None, [1.0, 1.0])]
+    got = defaultdict(list)
+    for r in collected(topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0)):
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    ids = [i for i, _ in rows if i is not None]
+    assert set(got) == {0, 20, 40}
+    for q in (0, 20):
+        assert [i for _, i in sorted(got[q])] == [i for i in range(30) if i != q][:20]
+    assert [i for _, i in sorted(got[40])] == [i for i in ids if i != 40][:20]
+
+
 @pytest.mark.parametrize("block", [64, 8192])
 def test_exact_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
@@ -354,4 +453,7 @@ def test_license_scan(spark, docs, empty):
     assert short[5][0] == short[6][0] == short[7][0] == 0
     assert short[8] == (1, 5000, 5000, "apache-2", "apache-2")
     assert licenses.scan(docs).count() == docs.count()
+    clash = [(None, "cc by nc cc by nc", 1, "a"), (None, "cc by nc cc by nc", 1, "a"), (None, None, 2, "b"), (7, "x", 3, "c"), (7, "cc by nc", 3, "c")]
+    got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_base"], r["labels"]) for r in collected(licenses.scan(spark.createDataFrame(clash, "doc_id long, text string, gram long, template string"))))))
+    assert got == sorted(map(str, [(None, 6, 2, "cc-by-nc")] * 2 + [(None, 0, 0, ""), (7, 1, 0, ""), (7, 3, 1, "cc-by-nc")]))
     assert licenses.scan(empty).count() == 0
