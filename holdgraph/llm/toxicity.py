@@ -31,6 +31,8 @@ BEGINNINGS = (4, 5)
 #: Sentences that a document lists as offending, by their own probability.
 OFFENDING = 0.5
 ROUNDS, STEP, PENALTY, LEAST_DOCUMENTS = 80, 0.2, 0.01, 5
+#: Entries of documents and features that a round of the fit holds at once.
+SLICE = 400_000
 _ENDS = np.array([ord(c) for c in ".!?\n。！？"], dtype=np.uint32)
 
 
@@ -125,9 +127,8 @@ def fit(bag: np.ndarray, sentence: np.ndarray, features: np.ndarray, labels: np.
 
 
 def fit_weights(bag: np.ndarray, sentence: np.ndarray, features: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> Model:
-    """Weights by Adam over all given documents; importance undoes the class sampling. Entries are kept in
-    two orders, by sentence and by feature, so that each round is sums over consecutive ranges."""
-    n_sentences, n_bags, width = len(bag), len(labels), features.shape[1]
+    """Weights by Adam over all given documents; importance undoes the class sampling."""
+    n_bags, width = len(labels), features.shape[1]
     # Features that few documents hold are left out before anything of the size of the entries is made.
     documents = np.zeros(1 << BITS, dtype=np.int64)
     of_bag = bag[sentence]
@@ -140,31 +141,38 @@ def fit_weights(bag: np.ndarray, sentence: np.ndarray, features: np.ndarray, lab
     documents = documents[columns]
     number = np.full(1 << BITS, -1, dtype=np.int32)
     number[columns] = np.arange(len(columns), dtype=np.int32)
-    column = number[features].ravel()
-    keep = column >= 0
-    column = column[keep]
-    of = np.repeat(sentence.astype(np.int32), width)[keep]
-    del keep
-    sentence_first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, dtype=np.int64)
-    said = of[sentence_first]
-    at = of[np.argsort(column, kind="stable")]
-    del of
-    entries = np.bincount(column, minlength=len(columns))
-    feature_first = np.cumsum(entries) - entries  # every column has entries
+    # Slices of whole documents: a round goes through them one by one, so its arrays are a slice's.
+    slices, first_of_bag = [], np.searchsorted(bag, np.arange(n_bags + 1))
+    entries_before = np.searchsorted(sentence, first_of_bag) * width
+    lo = 0
+    while lo < n_bags:
+        hi = max(lo + 1, int(np.searchsorted(entries_before, entries_before[lo] + SLICE, side="right")) - 1)
+        a, b = entries_before[lo] // width, entries_before[hi] // width
+        column = number[features[a:b]].ravel()
+        keep = column >= 0
+        of = np.repeat(sentence[a:b] - first_of_bag[lo], width)[keep]
+        slices.append((lo, hi, first_of_bag[lo], first_of_bag[hi], column[keep], np.bincount(of, minlength=first_of_bag[hi] - first_of_bag[lo]).astype(np.int32)))
+        lo = hi
 
     shrink = PENALTY * documents.clip(max=50)
     w = np.zeros(len(columns) + 1)
     w[-1] = -5.0
     moment, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, ROUNDS + 1):
-        logits = np.full(n_sentences, w[-1])
-        if len(said):
-            logits[said] += np.add.reduceat(w[:-1].astype(np.float32)[column], sentence_first)
-        p = np.clip(noisy_or(logits, bag, n_bags), 1e-9, 1 - 1e-9)
-        # The loss falls by 1 - y / P with log(1 - P), and that by -p with a sentence's logit.
-        d = (importance * (1 - labels / p))[bag] / (1 + np.exp(np.minimum(-logits, 500)))
-        slope = np.add.reduceat(d.astype(np.float32)[at], feature_first) if len(columns) else np.zeros(0)
-        gradient = np.append(slope + shrink * w[:-1], d.sum()) / importance.sum()
+        gradient = np.append(shrink * w[:-1], 0.0)
+        known = w[:-1].astype(np.float32)
+        for lo, hi, s, e, column, sizes in slices:
+            logits = np.full(e - s, w[-1])
+            some = np.flatnonzero(sizes)
+            if len(some):
+                logits[some] += np.add.reduceat(known[column], (np.cumsum(sizes) - sizes)[some])
+            of_bag = bag[s:e] - lo
+            p = np.clip(noisy_or(logits, of_bag, hi - lo), 1e-9, 1 - 1e-9)
+            # The loss falls by 1 - y / P with log(1 - P), and that by -p with a sentence's logit.
+            d = (importance[lo:hi] * (1 - labels[lo:hi] / p))[of_bag] / (1 + np.exp(np.minimum(-logits, 500)))
+            gradient[:-1] += np.bincount(column, weights=np.repeat(d, sizes), minlength=len(columns))
+            gradient[-1] += d.sum()
+        gradient /= importance.sum()
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         w -= STEP * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-12)
@@ -174,38 +182,41 @@ def fit_weights(bag: np.ndarray, sentence: np.ndarray, features: np.ndarray, lab
 
 
 def _bags(docs: DataFrame) -> DataFrame:
-    """toxic, the id's hash and the document's sentences as arrays, made on the executors."""
-    schema = "toxic int, place long, sizes array<int>, features array<int>"
+    """toxic, the id's hash and the document's sentences (their number, their sizes, the features of their
+    words) as packed numbers, made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, features = [], []
+            sizes, blobs = [], []
             for a, b, texts in textkit.text_slices(batch.column("text")):
                 where, sentence, feature = sentences(texts)
-                size = np.bincount(sentence, minlength=len(where)).astype(np.int32)
+                size = np.bincount(sentence, minlength=len(where))
                 cut = np.searchsorted(where[:, 0], np.arange(b - a + 1))
                 at = np.concatenate([[0], np.cumsum(size)])[cut]
                 for k in range(b - a):
-                    sizes.append(size[cut[k] : cut[k + 1]])
-                    features.append(feature[at[k] : at[k + 1]].ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("place"), pa.array(sizes, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], names=["toxic", "place", "sizes", "features"])
+                    packed = np.concatenate([[cut[k + 1] - cut[k]], size[cut[k] : cut[k + 1]], feature[at[k] : at[k + 1]].ravel()]).astype(np.int32).tobytes()
+                    sizes.append(len(packed))
+                    blobs.append(pa.compress(packed, codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["toxic", "place", "size", "blob"])
 
-    return docs.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("place")).mapInArrow(run, schema)
+    return docs.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("place")).mapInArrow(run, "toxic int, place long, size long, blob binary")
 
 
-def _fitted(batches: list[pa.RecordBatch], totals: dict[int, int]) -> Model:
+def _fitted(rows: pa.Table, totals: dict[int, int]) -> Model:
     """The model of all given rows."""
-    parts = [(b.column("toxic").to_numpy(), *(x for c in ("sizes", "features") for x in (np.diff(b.column(c).offsets.to_numpy()), b.column(c).flatten().to_numpy()))) for b in batches if b.num_rows]
-    model = Model(np.zeros(1 << BITS, dtype=np.float32), -20.0)
-    y = np.concatenate([p[0] for p in parts]).astype(np.float64) if parts else np.zeros(0)
-    if (y == 1).any() and (y == 0).any():
-        importance = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-        bag = np.repeat(np.arange(len(y), dtype=np.int32), np.concatenate([p[1] for p in parts]))
-        sentence = np.repeat(np.arange(len(bag), dtype=np.int32), np.concatenate([p[2] for p in parts]))
-        features = np.concatenate([p[4] for p in parts]).reshape(-1, 1 + len(BEGINNINGS))
-        del parts
-        model = fit(bag, sentence, features, y, importance)
-    return model
+    y = rows.column("toxic").to_numpy().astype(np.float64)
+    if not (y == 1).any() or not (y == 0).any():
+        return Model(np.zeros(1 << BITS, dtype=np.float32), -20.0)
+    importance = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
+    sizes, features = [], []
+    for blob, size in zip(rows.column("blob"), rows.column("size").to_pylist(), strict=True):
+        packed = np.frombuffer(pa.decompress(blob.as_buffer(), decompressed_size=size, codec="zstd"), dtype=np.int32)
+        sizes.append(packed[1 : 1 + packed[0]])
+        features.append(packed[1 + packed[0] :])
+    bag = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in sizes])
+    sentence = np.repeat(np.arange(len(bag), dtype=np.int32), np.concatenate(sizes))
+    features = np.concatenate(features).reshape(-1, 1 + len(BEGINNINGS))
+    return fit(bag, sentence, features, y, importance)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -225,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     # of their ids, so that the result doesn't depend on the order in which they come.
     sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     bags = _bags(sample)
-    return _fitted(bags.orderBy("place").toArrow().to_batches(), totals)
+    return _fitted(bags.orderBy("place").toArrow(), totals)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
