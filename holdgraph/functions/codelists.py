@@ -14,6 +14,16 @@ EU_HIGH_RISK = ("AF", "DZ", "AO", "BO", "VG", "CM", "CI", "CD", "HT", "KE", "LA"
 TRUST_FRAGMENTS = ("trust", "foundation", "stiftung", "anstalt", "fideicomiso", "treuhand")
 NOMINEE_FRAGMENTS = ("nominee", "nomineeshareholder", "nominee shareholder", "nomineedirector", "nominee director", "prête-nom", "prete-nom", "fiduciaire")
 
+# Filed natures of control that state a nominee arrangement.
+NOMINEE_NATURES = (
+    "registered-owner-as-nominee-person-england-wales-registered-overseas-entity",
+    "registered-owner-as-nominee-person-scotland-registered-overseas-entity",
+    "registered-owner-as-nominee-person-northern-ireland-registered-overseas-entity",
+    "registered-owner-as-nominee-another-entity-england-wales-registered-overseas-entity",
+    "registered-owner-as-nominee-another-entity-scotland-registered-overseas-entity",
+    "registered-owner-as-nominee-another-entity-northern-ireland-registered-overseas-entity",
+)
+
 # Topics of screening lists and the signal each family gives.
 PEP_TOPICS = ("role.pep", "role.rca", "role.spouse", "role.family")
 SANCTION_TOPICS = {"sanction": "SANCTIONED", "sanction.counter": "COUNTER_SANCTIONED", "sanction.control": "SANCTIONS_CONTROLLED", "sanction.linked": "SANCTIONS_LINKED"}

@@ -6,6 +6,8 @@ each layer to the shared folder, so that neither lineage nor driver memory grows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,25 +73,71 @@ def on_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(held, ["bundle_id", "node"], "left_semi")
 
 
+def _best(layers_: list[DataFrame]) -> DataFrame:
+    every = reduce(lambda x, y: x.unionByName(y), layers_).select("bundle_id", F.size("path").alias("layers"), "path")
+    first = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("layers"), "path"))
+    return every.withColumn("k", first).where("k = 1").drop("k")
+
+
+def _grown(edges: DataFrame, starts: DataFrame, every: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Layers of simple paths (bundle_id, node, path) from the starts on, and the bundles in which a path came
+    back to itself, by layer. Unless `every`, a node keeps of a layer's paths the smallest, which is enough
+    where there are no cycles, and bundles that came back drop out."""
+    step = edges.withColumnRenamed("owner_id", "node")
+    front = written(starts.select("bundle_id", "node", F.array("node").alias("path")), "paths")
+    out, back = [], []
+    while not front.isEmpty():
+        out.append(front)
+        if len(out) % 16 == 0:  # a long chain isn't a plan of as many scans
+            out = [written(reduce(lambda x, y: x.unionByName(y), out), "layers")]
+        to = front.join(step, ["bundle_id", "node"]).select("bundle_id", F.col("subject_id").alias("node"), "path", F.array_contains("path", F.col("subject_id")).alias("again"))
+        on = F.concat("path", F.array("node"))
+        if every:
+            front = written(to.where("NOT again").select("bundle_id", "node", on.alias("path")), "paths")
+            continue
+        to = written(to.groupBy("bundle_id", "node").agg(F.min(F.when(~F.col("again"), on)).alias("path"), F.max("again").alias("again")), "steps")
+        ringed = to.where("again").select("bundle_id").distinct()
+        back.append(ringed)
+        front = to.where("path IS NOT NULL").join(ringed, "bundle_id", "left_anti").select("bundle_id", "node", "path")
+    return out, back
+
+
 def longest_chains(edges: DataFrame) -> DataFrame:
     """bundle_id, layers, path: the longest simple owner-to-subject path of each bundle, in nodes; of equals
-    the smallest path. Paths grow from nodes that nobody owns and from nodes on cycles: a longest path begins
-    at one of them, as all owners of its first node lie on it. A node never comes twice on a path, so the
-    rounds end by themselves."""
-    edges = edges.select("bundle_id", "owner_id", "subject_id").where("owner_id <> subject_id").distinct()
+    the smallest path. A longest path begins at a node that nobody owns or on a cycle, as all owners of its
+    first node lie on it. Bundles without cycles take one path a node and layer, so their work is that of
+    their edges; where a path comes back to itself, or nodes are left that no path reached, every simple
+    path is followed. A node never comes twice on a path, so the rounds end by themselves."""
+    edges = written(edges.select("bundle_id", "owner_id", "subject_id").where("owner_id <> subject_id").distinct(), "edges")
     owned = edges.select("bundle_id", F.col("subject_id").alias("node")).distinct()
     nodes = edges.select("bundle_id", F.col("owner_id").alias("node")).union(owned).distinct()
     tops = nodes.join(owned, ["bundle_id", "node"], "left_anti")
-    front = written(tops.unionByName(on_cycles(edges, nodes)).select("bundle_id", "node", F.array("node").alias("path")))
-    best = None
-    order = Window.partitionBy("bundle_id").orderBy(F.desc("layers"), "path")
-    while not front.isEmpty():
-        layer = front.select("bundle_id", F.size("path").alias("layers"), "path")
-        best = layer if best is None else best.unionByName(layer)
-        best = written(best.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k"))
-        step = edges.withColumnRenamed("owner_id", "node")
-        front = written(front.join(step, ["bundle_id", "node"]).where(~F.array_contains("path", F.col("subject_id"))).select("bundle_id", F.col("subject_id").alias("node"), F.concat("path", F.array("subject_id")).alias("path")))
-    return best
+    plain, back = _grown(edges, tops, every=False)
+    reached = reduce(lambda x, y: x.unionByName(y), (d.select("bundle_id", "node") for d in plain)) if plain else tops
+    ringed = nodes.join(reached.distinct(), ["bundle_id", "node"], "left_anti").select("bundle_id")
+    ringed = written(reduce(lambda x, y: x.unionByName(y), [*back, ringed]).distinct(), "ringed")
+    if ringed.isEmpty():
+        return _best(plain or [tops.select("bundle_id", "node", F.array("node").alias("path"))])
+    odd = written(edges.join(ringed, "bundle_id", "left_semi"), "ringed")
+    starts = tops.join(ringed, "bundle_id", "left_semi").unionByName(on_cycles(odd, nodes))
+    paths, _ = _grown(odd, starts, every=True)
+    even = [d.join(ringed, "bundle_id", "left_anti") for d in plain]
+    return _best([*even, *paths])
+
+
+def deepest(edges: DataFrame, hops: int, most: int) -> DataFrame:
+    """bundle_id, start, depth, place: how many owners stand above each node on its longest simple way up, to
+    `hops`; the `most` deepest of each bundle, ties to the smaller node."""
+    up = edges.select("bundle_id", F.col("subject_id").alias("node"), F.col("owner_id").alias("next")).where("node <> next").distinct()
+    front = up.select("bundle_id", F.col("node").alias("start"), F.col("next").alias("node"), F.array("node", "next").alias("path"))
+    for _ in range(1, hops):
+        # A way that goes no further stays as it is, so one chain of joins has them all.
+        u = up.withColumnsRenamed({"bundle_id": "_bundle", "node": "_node"})
+        front = front.join(u, (F.col("bundle_id") == F.col("_bundle")) & (F.col("node") == F.col("_node")) & ~F.array_contains("path", F.col("next")), "left")
+        front = front.select("bundle_id", "start", F.col("next").alias("node"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"))
+    per = front.groupBy("bundle_id", "start").agg((F.max(F.size("path")) - 1).alias("depth"))
+    place = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("depth"), "start"))
+    return per.withColumn("place", place).where(F.col("place") <= most)
 
 
 def layers(edges: DataFrame) -> DataFrame:
@@ -108,10 +156,13 @@ def layers(edges: DataFrame) -> DataFrame:
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component: the smallest node that undirected links (a, b) reach; nodes whose only link is to
-    themselves are components of their own."""
-    links = written(links.select("a", "b"))
+    themselves, and those of `nodes` (node) without a link, are components of their own."""
+    links = links.select("a", "b")
+    if nodes is not None:
+        links = links.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    links = written(links)
     found = written(stars.components(links, written))
     alone = links.where("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti")
     return found.unionByName(alone.withColumn("component", F.col("node")))

@@ -17,15 +17,31 @@ def edges(spark, sf_dir):
 EDGES = derived.SQL + ", edge AS (SELECT bundle_id, party_id AS owner_id, subject_id, type, share, key FROM relationship WHERE party_id IS NOT NULL)"
 
 
-@query(f"""WITH RECURSIVE {EDGES}, walk AS (
-  SELECT bundle_id, owner_id AS node, 1 AS layers, [owner_id] AS path FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge x WHERE x.subject_id = e.owner_id)
-  UNION SELECT w.bundle_id, e.subject_id, w.layers + 1, list_append(w.path, e.subject_id) FROM walk w JOIN edge e ON e.owner_id = w.node AND e.bundle_id = w.bundle_id
-) SELECT bundle_id, CAST(layers AS INTEGER) AS layers, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY layers DESC, path) AS k FROM walk) WHERE k = 1""")
+CHAINS = """link AS (SELECT DISTINCT bundle_id, owner_id, subject_id FROM edge WHERE owner_id <> subject_id), walk AS (
+  SELECT DISTINCT bundle_id, owner_id AS node, 1 AS layers, [owner_id] AS path FROM link
+  UNION ALL SELECT w.bundle_id, e.subject_id, w.layers + 1, list_append(w.path, e.subject_id) FROM walk w JOIN link e ON e.owner_id = w.node AND e.bundle_id = w.bundle_id WHERE NOT list_contains(w.path, e.subject_id)
+), chain AS (SELECT bundle_id, layers, path FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY layers DESC, path) AS k FROM walk) WHERE k = 1)"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {CHAINS} SELECT bundle_id, CAST(layers AS INTEGER) AS layers, array_to_string(path, '>') AS path FROM chain""")
 def chain_depth(spark, sf_dir):
-    """Longest entity chain of each bundle (GR3, GR5)."""
+    """Longest entity chain of each bundle, over diamonds and cycles (GR5)."""
     return graph.longest_chains(edges(spark, sf_dir)).select("bundle_id", "layers", F.concat_ws(">", "path").alias("path"))
 
 
+DEEPEST = 5
+
+
+@query(f"""WITH RECURSIVE {EDGES}, held AS (SELECT DISTINCT bundle_id, owner_id, subject_id FROM edge WHERE type = 'shareholding' AND owner_id <> subject_id), walk AS (
+  SELECT bundle_id, subject_id AS start, owner_id AS node, 1 AS depth, [subject_id, owner_id] AS path FROM held
+  UNION ALL SELECT w.bundle_id, w.start, e.owner_id, w.depth + 1, list_append(w.path, e.owner_id) FROM walk w JOIN held e ON e.subject_id = w.node AND e.bundle_id = w.bundle_id WHERE w.depth < 8 AND NOT list_contains(w.path, e.owner_id)
+), per AS (SELECT bundle_id, start, max(depth) AS depth FROM walk GROUP BY bundle_id, start)
+SELECT bundle_id, start, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY depth DESC, start) AS place FROM per) WHERE place <= {DEEPEST}""")
+def deepest_holdings(spark, sf_dir):
+    """The deepest shareholding chains upwards, to eight hops, the first five of each bundle (GR3, WN2)."""
+    return graph.deepest(edges(spark, sf_dir).where("type = 'shareholding'"), 8, DEEPEST)
+
+
 @query(f"""WITH {EDGES}, one AS (SELECT subject_id AS start, owner_id AS node, 1 AS depth FROM edge),
 two AS (SELECT start, e.owner_id AS node, 2 AS depth FROM one JOIN edge e ON e.subject_id = one.node),
 three AS (SELECT start, e.owner_id AS node, 3 AS depth FROM two JOIN edge e ON e.subject_id = two.node)
@@ -36,16 +52,17 @@ def upward_3hop(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {EDGES}, reach(root, node) AS (
-  SELECT owner_id, subject_id FROM edge UNION SELECT r.root, e.subject_id FROM reach r JOIN edge e ON e.owner_id = r.node
+  SELECT owner_id, subject_id FROM edge UNION SELECT r.root, e.subject_id FROM reach r JOIN edge e ON e.owner_id = r.node WHERE e.subject_id <> r.root
 ) SELECT root, count(DISTINCT node) AS n_owned, count(DISTINCT o_orderkey) AS n_assets, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END) AS n_urgent
-FROM reach LEFT JOIN orders ON 'e' || o_custkey = node GROUP BY root""")
+FROM reach LEFT JOIN orders ON 'e' || o_custkey = node WHERE node <> root GROUP BY root""")
 def closure_assets(spark, sf_dir):
     """Distinct assets over everything an entity owns, to 25 hops (GR2, JN18, AG13)."""
     e = edges(spark, sf_dir)
     reach = graph.closure(e, e.select(F.col("owner_id").alias("root")).distinct())
-    orders = derived.table(spark, sf_dir, "orders").select(F.concat(F.lit("e"), F.col("o_custkey").cast("string")).alias("node"), "o_orderkey", "o_orderpriority")
-    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))
-    return reach.join(orders, "node", "left").groupBy("root").agg(F.countDistinct("node").alias("n_owned"), F.countDistinct("o_orderkey").alias("n_assets"), F.countDistinct(urgent).alias("n_urgent"))
+    # An asset has one owner and reach holds a node once a root, so assets are counted before the join.
+    orders = derived.table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("e"), F.col("o_custkey").cast("string")).alias("node")).agg(F.countDistinct("o_orderkey").alias("n"), F.countDistinct(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))).alias("urgent"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return reach.join(orders, "node", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n_owned"), total("n").alias("n_assets"), total("urgent").alias("n_urgent"))
 
 
 @query(f"""WITH {EDGES} SELECT statement_id AS node, 'owners' AS side FROM entity WHERE statement_id NOT IN (SELECT subject_id FROM edge)
@@ -56,13 +73,13 @@ def frontier_nodes(spark, sf_dir):
     return graph.frontier(e, nodes, "subject_id").withColumn("side", F.lit("owners")).unionByName(graph.frontier(e, nodes, "owner_id").withColumn("side", F.lit("subsidiaries")))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, up(node, layer) AS (
-  SELECT DISTINCT subject_id, 0 FROM edge WHERE subject_id NOT IN (SELECT owner_id FROM edge)
-  UNION SELECT e.owner_id, u.layer + 1 FROM up u JOIN edge e ON e.subject_id = u.node
+@query(f"""WITH RECURSIVE {EDGES}, down AS (SELECT * FROM edge WHERE type <> 'votingRights' OR share <> 5), up(node, layer) AS (
+  SELECT DISTINCT subject_id, 0 FROM down WHERE subject_id NOT IN (SELECT owner_id FROM down)
+  UNION SELECT e.owner_id, u.layer + 1 FROM up u JOIN down e ON e.subject_id = u.node
 ) SELECT node, CAST(max(layer) AS INTEGER) AS layer FROM up GROUP BY node""")
 def diagram_layers(spark, sf_dir):
-    """Longest-path layers from the sinks (GR6)."""
-    return graph.layers(edges(spark, sf_dir))
+    """Longest-path layers from the sinks, of the links that lead down (GR6)."""
+    return graph.layers(edges(spark, sf_dir).where("type <> 'votingRights' OR share <> 5"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, two AS (SELECT owner_id AS a, subject_id AS b FROM edge UNION SELECT subject_id, owner_id FROM edge),
@@ -77,12 +94,12 @@ def neighbourhood_3hop(spark, sf_dir):
 @query(f"""WITH RECURSIVE {EDGES}, link AS (
   SELECT owner_id AS a, subject_id AS b FROM edge WHERE type <> 'boardMember'
 ), two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
-reach(node, r) AS (SELECT a, a FROM two UNION SELECT t.a, reach.r FROM reach JOIN two t ON t.b = reach.node)
+reach(node, r) AS (SELECT statement_id, statement_id FROM entity UNION SELECT t.a, reach.r FROM reach JOIN two t ON t.b = reach.node)
 SELECT node, min(r) AS component FROM reach GROUP BY node""")
 def components(spark, sf_dir):
-    """Connected parts of the graph of ownership and control, without offices (GR7, GR8)."""
+    """Connected parts of the graph of ownership and control, without offices; entities without a link stand alone (GR7, GR8)."""
     e = edges(spark, sf_dir).where("type <> 'boardMember'")
-    return graph.components(e.select(F.col("owner_id").alias("a"), F.col("subject_id").alias("b")))
+    return graph.components(e.select(F.col("owner_id").alias("a"), F.col("subject_id").alias("b")), derived.entities(spark, sf_dir).select(F.col("statement_id").alias("node")))
 
 
 @query(f"""WITH {EDGES} SELECT node, CAST(count(DISTINCT o) AS BIGINT) AS n_owners, CAST(count(DISTINCT s) AS BIGINT) AS n_owned FROM (

@@ -10,9 +10,13 @@ from holdgraph import schema
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """One statement a line, one file a bundle: bundle_id (the file's name), line, raw as a variant."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.jsonl?)?$", 1)
-    return lines.select(name.alias("bundle_id"), F.try_parse_json("value").alias("raw")).where("raw IS NOT NULL")
+    return parsed(spark.read.text(path).select(name.alias("bundle_id"), "value"))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """bundle_id, raw (variant) of lines (bundle_id, value); blank lines and lines that aren't JSON are left out."""
+    return lines.where(F.trim("value") != "").select("bundle_id", F.try_parse_json("value").alias("raw")).where("raw IS NOT NULL")
 
 
 def _text(raw: str | Column, *paths: str) -> Column:
@@ -35,7 +39,7 @@ def endpoint(raw: str, field: str) -> tuple[Column, Column, Column, Column]:
     base = f"$.recordDetails.{field}"
     kind_of = F.schema_of_variant(F.try_variant_get(F.col(raw), base, "variant"))
     plain = F.when(kind_of == "STRING", _text(raw, base))
-    entity = _text(raw, f"{base}.describedByEntityStatement")
+    entity = _text(raw, f"{base}.describedByEntityStatement", f"{base}.describedByAnonymousEntityStatement")
     person = _text(raw, f"{base}.describedByPersonStatement")
     reason = _text(raw, f"{base}.reason", f"{base}.unspecifiedReason", f"{base}.unspecified.reason")
     description = _text(raw, f"{base}.description", f"{base}.unspecified.description")
@@ -50,9 +54,12 @@ def _common(raw: str = "raw") -> list[Column]:
 
 def entities(statements: DataFrame) -> DataFrame:
     d = "$.recordDetails"
-    country = _text("raw", f"{d}.jurisdiction.code", f"{d}.incorporatedInJurisdiction.code")
+    country = _text("raw", f"{d}.jurisdiction.code", f"{d}.incorporatedInJurisdiction.code", "$.incorporatedInJurisdiction.code")
     identifiers = F.try_variant_get(F.col("raw"), f"{d}.identifiers", f"array<{schema.IDENTIFIER}>")
-    form = F.array_compact(F.array(*(_text("raw", f"{d}.entityType.{f}") for f in ("details", "subtype")), _text("raw", f"{d}.legalForm")))
+    # A legal form is a text or an object of texts, under any of these names; the entity's name is none of them.
+    forms = [f"{d}.{f}" for f in ("legalForm", "legalFormLabel", "entitySubtype", "details", "entityType.subtype", "entityType.details")]
+    parts = lambda f: F.coalesce(F.map_values(F.try_variant_get(F.col("raw"), f, "map<string,string>")), F.array(_text("raw", f)))
+    form = F.filter(F.array_compact(F.concat(*map(parts, forms))), lambda f: f != "")
     return statements.where(statement_kind() == "entity").select(*_common(), _text("raw", f"{d}.name").alias("name"), F.coalesce(_text("raw", f"{d}.entityType.type"), _text("raw", f"{d}.entityType")).alias("entity_type"), form.alias("legal_form"), country.alias("jurisdiction"), _text("raw", f"{d}.foundingDate").alias("founding_date"), identifiers.alias("identifiers"))
 
 
@@ -63,7 +70,8 @@ def persons(statements: DataFrame) -> DataFrame:
     name = F.coalesce(best["fullName"], F.nullif(F.concat_ws(" ", best["givenName"], best["familyName"]), F.lit("")))
     nationalities = F.try_variant_get(F.col("raw"), f"{d}.nationalities", f"array<{schema.COUNTRY}>")
     identifiers = F.try_variant_get(F.col("raw"), f"{d}.identifiers", f"array<{schema.IDENTIFIER}>")
-    return statements.where(statement_kind() == "person").select(*_common(), name.alias("name"), _text("raw", f"{d}.personType").alias("person_type"), _text("raw", f"{d}.birthDate").alias("birth_date"), nationalities.alias("nationalities"), identifiers.alias("identifiers"))
+    said = F.concat_ws(" ", F.flatten(F.transform(names, lambda n: F.array(n["fullName"], n["givenName"], n["familyName"]))), _text("raw", f"{d}.details", f"{d}.publicationDetails"))
+    return statements.where(statement_kind() == "person").select(*_common(), said.alias("words"), name.alias("name"), _text("raw", f"{d}.personType").alias("person_type"), _text("raw", f"{d}.birthDate").alias("birth_date"), nationalities.alias("nationalities"), identifiers.alias("identifiers"))
 
 
 def relationships(statements: DataFrame) -> DataFrame:
@@ -71,3 +79,15 @@ def relationships(statements: DataFrame) -> DataFrame:
     party, kind, reason, description = endpoint("raw", "interestedParty")
     interests = F.try_variant_get(F.col("raw"), "$.recordDetails.interests", f"array<{schema.INTEREST}>")
     return statements.where(statement_kind() == "relationship").select(*_common(), subject.alias("subject_id"), party.alias("party_id"), kind.alias("party_kind"), reason.alias("unspecified_reason"), description.alias("unspecified_description"), interests.alias("interests"))
+
+
+def interest_rows(relationships: DataFrame) -> DataFrame:
+    """One row an interest, one for a relationship without any: the grain that rules and exports read."""
+    one = relationships.select("*", F.explode_outer("interests").alias("i")).drop("interests")
+    share = F.coalesce(F.col("i.share.exact"), F.col("i.share.minimum"), F.col("i.share.exclusiveMinimum"))
+    return one.select("bundle_id", "statement_id", "record_status", "subject_id", "party_id", "party_kind", F.col("unspecified_reason").alias("reason"), F.col("unspecified_description").alias("description"), F.col("i.type").alias("type"), F.col("i.details").alias("details"), share.alias("share"), F.col("i.startDate").alias("start_date"), F.col("i.endDate").alias("end_date"))
+
+
+def typed(statements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, persons and interests of parsed statements, as the rules take them."""
+    return entities(statements), persons(statements), interest_rows(relationships(statements))
