@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdgraph.llm import bpe, chat, licenses, neardup, ngramjoin, packing, substring, tokens, topk, toxicity
-from holdgraph.llm.session import table
+from holdgraph.llm.session import table, with_small_batches
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -66,16 +66,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_counts": op1_token_counts,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-    "op5_chat_format": op5_chat_format,
-    "op6_toxicity": op6_toxicity,
-    "op7_embedding_near_dedup": op7_embedding_near_dedup,
-    "op8_bpe_round_trip": op8_bpe_round_trip,
-    "op9_exact_top_k": op9_exact_top_k,
-    "op10_license_scan": op10_license_scan,
+    f.__name__: with_small_batches(f)
+    for f in (
+        op1_token_counts,
+        op2_substring_dedup,
+        op3_best_fit_packing,
+        op4_ngram_jaccard_join,
+        op5_chat_format,
+        op6_toxicity,
+        op7_embedding_near_dedup,
+        op8_bpe_round_trip,
+        op9_exact_top_k,
+        op10_license_scan,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

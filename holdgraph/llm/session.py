@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return lineage.written(df, name)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch stands several times in an executor's memory.
+BATCH_ROWS = 2000
+
+
+def with_small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, after the session is told to hand BATCH_ROWS rows at once to Python."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
