@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
-from holdgraph.operators import graph
+from holdgraph.operators import graph, screening
 from holdgraph.operators import resolution as R
 from holdgraph.plans.registry import query
+from holdgraph.plans.selection import _DICE
 from holdgraph.sources import derived
 
 
@@ -92,17 +93,39 @@ def name_screening(spark, sf_dir):
     return R.screened(R.blocked_pairs(block(c, "a_name"), block(s, "b_name"), "block")).select("a", "b", F.round("score", 6).alias("score"), "confidence")
 
 
-@query("""WITH p AS (SELECT s_suppkey, s_nationkey, 1940 + s_suppkey % 60 AS birth FROM supplier),
-x AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.birth = b.birth AS year, a.s_suppkey % 5 = b.s_suppkey % 5 AS shared FROM p a JOIN p b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.birth - b.birth) <= 1)
-SELECT a, b, round(CASE WHEN shared THEN 0.95 ELSE 0.65 + CASE WHEN year THEN 0.1 ELSE 0 END END, 6) AS score FROM x""")
+def _persons(spark, sf_dir):
+    """Persons of small bundles: every one stands twice, the second time under another form of its name."""
+    k = F.col("c_custkey")
+    base = derived.table(spark, sf_dir, "customer").select(k, F.floor(k / 4).alias("bundle"), F.concat_ws(" ", F.lower("c_mktsegment"), (k % 100).cast("string"), F.lit("von"), F.lower("c_mktsegment")).alias("name"), (k % 5).alias("step"))
+    second = F.when(k % 3 == 0, F.regexp_replace("name", "^([a-z])[a-z]+", "$1")).when(k % 3 == 1, F.regexp_replace("name", " von", "")).otherwise(F.col("name"))
+    row = lambda n, name, born: F.struct((k * 2 + n).alias("id"), name.alias("name"), born.cast("int").alias("birth_year"), F.array((k % 7).cast("string")).alias("companies"), F.array(F.concat(F.lit("id"), (k + n * (k % 2)).cast("string"))).alias("keys"))
+    return base.select("bundle", F.inline(F.array(row(0, F.col("name"), 1950 + k % 50), row(1, second, 1950 + k % 50 + F.col("step") % 3)))).withColumn("nationality", F.lit("xx"))
+
+
+_PERSONS = """base AS (SELECT c_custkey AS k, c_custkey // 4 AS bundle, lower(c_mktsegment) || ' ' || (c_custkey % 100) || ' von ' || lower(c_mktsegment) AS name FROM customer),
+person_ AS (SELECT bundle, k * 2 AS id, name, 1950 + k % 50 AS born, [CAST(k % 7 AS VARCHAR)] AS companies, ['id' || k] AS keys FROM base
+  UNION ALL SELECT bundle, k * 2 + 1, CASE k % 3 WHEN 0 THEN regexp_replace(name, '^([a-z])[a-z]+', '\\1') WHEN 1 THEN regexp_replace(name, ' von', '') ELSE name END, 1950 + k % 50 + k % 5 % 3, [CAST(k % 7 AS VARCHAR)], ['id' || (k + k % 2)] FROM base),
+pair AS (SELECT x.id AS i, y.id AS j, x.name AS a, y.name AS b, abs(x.born - y.born) AS years, list_has_any(x.companies, y.companies) AS company, list_has_any(x.keys, y.keys) AS shared FROM person_ x JOIN person_ y ON x.bundle = y.bundle AND x.id < y.id),
+tok AS (SELECT *, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb, """ + _DICE + """ AS dice FROM pair),
+few AS (SELECT *, CASE WHEN len(ta) <= len(tb) THEN ta ELSE tb END AS few, CASE WHEN len(ta) <= len(tb) THEN tb ELSE ta END AS many FROM tok),
+rung AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN list_sort(ta) = list_sort(tb) THEN 0.97
+  WHEN len(few) >= 2 AND few[1][1] = many[1][1] AND few[-1] = many[-1] AND len(list_filter(few, lambda x: len(list_filter(many, lambda m: m = x OR (length(x) = 1 AND m[1] = x) OR (length(m) = 1 AND x[1] = m))) > 0)) = len(few) THEN 0.9
+  WHEN dice >= 0.8 THEN 0.8 WHEN dice >= 0.6 THEN 0.6 ELSE dice END AS ladder FROM few),
+score_ AS (SELECT i, j, years > 1 AS conflict, CASE WHEN shared THEN greatest(raw, 0.95) ELSE raw END AS score FROM (SELECT *, CASE WHEN years > 1 THEN least(total, 0.7) ELSE least(total, 1.0) END AS raw FROM (SELECT *, ladder + CASE WHEN years = 0 THEN 0.1 ELSE 0 END + 0.05 + CASE WHEN company THEN 0.05 ELSE 0 END AS total FROM rung)))"""
+
+
+@query(f"WITH {_PERSONS} SELECT i AS a, j AS b, round(score, 6) AS score, score >= 0.9 AND NOT conflict AS high FROM score_ WHERE score >= 0.62")
 def person_scores(spark, sf_dir):
-    """Pair scores of persons: a band of birth years as an equi-join, bonuses, caps and floors (ER11, ER16,
-    JN14, JN15)."""
-    p = derived.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), "s_nationkey", (1940 + F.col("s_suppkey") % 60).alias("birth"))
-    near = p.select(F.col("a").alias("b"), "s_nationkey", F.col("birth").alias("birth_b"), F.explode(F.array(F.col("birth") - 1, F.col("birth"), F.col("birth") + 1)).alias("birth"))
-    j = p.join(near, ["s_nationkey", "birth"]).where("a < b")
-    score = R.person_pair_score(F.lit(0.6), F.col("birth") == F.col("birth_b"), F.lit(True), F.lit(False), F.abs(F.col("birth") - F.col("birth_b")) > 1, F.col("a") % 5 == F.col("b") % 5)
-    return j.select("a", "b", F.round(score, 6).alias("score"))
+    """Pair scores of a bundle's persons: the ladder, bonuses, caps and floors (ER11, ER16, ER18, JN14, JN15)."""
+    return screening.person_pairs(_persons(spark, sf_dir), "bundle").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH RECURSIVE {_PERSONS}, kept AS (SELECT i AS a, j AS b, score >= 0.9 AND NOT conflict AS high FROM score_ WHERE score >= 0.62), two AS (SELECT a, b FROM kept UNION SELECT b, a FROM kept),
+reach(node, r) AS (SELECT a, a FROM two UNION SELECT two.a, reach.r FROM reach JOIN two ON two.b = reach.node), part AS (SELECT node, min(r) AS cluster FROM reach GROUP BY node)
+SELECT p.node, p.cluster, s.high FROM part p JOIN (SELECT cluster, bool_or(high) AS high FROM kept JOIN part ON part.node = kept.a GROUP BY cluster) s USING (cluster)""")
+def person_clusters(spark, sf_dir):
+    """Persons clustered over kept pairs, sure where any pair is (ER17)."""
+    return screening.person_clusters(screening.person_pairs(_persons(spark, sf_dir), "bundle"))
 
 
 @query(r"""WITH p AS (SELECT p_partkey, p_size, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda t: t <> '')) AS a, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda t: t <> '')) AS b FROM part)
@@ -132,15 +155,17 @@ def vote_rank(spark, sf_dir):
     return R.votes(h, 5)
 
 
-@query(r"""WITH q(query) AS (VALUES ('customer 000000007'), ('Customer 00000001')), e AS (SELECT c_custkey, unnest(string_split(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM customer),
-t AS (SELECT query, unnest(string_split(lower(query), ' ')) AS token FROM q)
-SELECT query, c_custkey, count(DISTINCT t.token) AS matched, place FROM (SELECT *, 0 AS place FROM t) t JOIN e ON starts_with(e.token, t.token) GROUP BY query, c_custkey, place HAVING count(DISTINCT t.token) = 2""")
+@query(r"""WITH q AS (SELECT r_regionkey AS query_id, unnest(['customer 000000' || (r_regionkey + 11), 'Customer', '00000001' || r_regionkey || ' cust', 'customer 9999999']) AS query FROM region),
+e AS (SELECT c_custkey, c_name, unnest(string_split(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM customer),
+t AS (SELECT query_id, query, unnest(list_distinct(string_split(trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')), ' '))) AS token FROM q),
+m AS (SELECT t.query_id, t.query, e.c_custkey, e.c_name, count(DISTINCT t.token) AS matched FROM t JOIN e ON starts_with(e.token, t.token) GROUP BY ALL),
+n AS (SELECT query_id, query, count(*) AS n FROM t GROUP BY ALL)
+SELECT query_id, query, c_custkey, CAST(place AS INTEGER) AS place FROM (SELECT m.*, row_number() OVER (PARTITION BY query_id, query ORDER BY c_name, c_custkey) AS place FROM m JOIN n USING (query_id, query) WHERE matched = n.n) WHERE place <= 20""")
 def prefix_search(spark, sf_dir):
-    """Token-prefix search over a name index (SC5-SC7). Prefixes are explored as an equi-join on the index's
-    own prefixes."""
-    q = spark.createDataFrame([("customer 000000007",), ("Customer 00000001",)], "query string")
-    tokens = derived.table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.split(F.trim(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", " ")), " ")).alias("token"))
-    prefixes = tokens.select("c_custkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.substr(F.col("token"), F.lit(1), n))).alias("token")).distinct()
-    asked = q.select("query", F.explode(F.split(F.lower("query"), " ")).alias("token"))
-    out = prefixes.join(asked, "token").groupBy("query", "c_custkey").agg(F.countDistinct("token").alias("matched")).where("matched = 2")
-    return out.withColumn("place", F.lit(0))
+    """Token-prefix search over a name index: every token of a question begins a token of the name, the first
+    twenty of each question (SC5-SC7)."""
+    k = F.col("r_regionkey")
+    asked = F.array(F.concat(F.lit("customer 000000"), (k + 11).cast("string")), F.lit("Customer"), F.concat(F.lit("00000001"), k.cast("string"), F.lit(" cust")), F.lit("customer 9999999"))
+    q = derived.table(spark, sf_dir, "region").select(k.alias("query_id"), F.explode(asked).alias("query"))
+    c = derived.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return R.prefix_search(q, c, 20).select("query_id", "query", F.col("id").alias("c_custkey"), "place")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdgraph.functions import codelists as C
 from holdgraph.functions import scalars as S
-from holdgraph.operators import graph
+from holdgraph.operators import graph, screening
 from holdgraph.operators import selection as L
 from holdgraph.plans.ownership import EDGES, edges
 from holdgraph.plans.registry import query
@@ -101,13 +101,20 @@ def percolated_names(spark, sf_dir):
     return L.contained(h, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("name")))
 
 
-@query("""WITH p AS (SELECT p_partkey, lower(p_type) AS a, lower(p_type || ' ' || p_brand) AS b, p_size FROM part),
-x AS (SELECT p_partkey, string_split(CASE p_size % 4 WHEN 0 THEN a ELSE b END, ' ') AS ta, string_split(b, ' ') AS tb, CASE p_size % 4 WHEN 0 THEN a ELSE b END = b AS same FROM p)
-SELECT p_partkey, same OR list_sort(ta) = list_sort(tb) AS close FROM x""")
+_GRAMS = lambda c: f"list_transform(range(1, length({c})), lambda i: {c}[i:i + 1])"
+_PLAIN = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9_]+', ' ', 'g'))"
+_DICE = f"""CASE WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE 2.0 * list_sum(list_transform(list_distinct({_GRAMS('a')}), lambda g: least(len(list_filter({_GRAMS('a')}, lambda h: h = g)), len(list_filter({_GRAMS('b')}, lambda h: h = g))))) / (length(a) + length(b) - 2) END"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_PLAIN("CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN p_brand || ' ' || p_type WHEN 2 THEN p_type || ' ' || p_brand ELSE p_name END")} AS a, {_PLAIN("p_type || ' ' || p_brand")} AS b FROM part),
+t AS (SELECT *, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb, {_DICE} AS dice FROM p),
+s AS (SELECT *, CASE WHEN len(ta) <= len(tb) THEN ta ELSE tb END AS few, CASE WHEN len(ta) <= len(tb) THEN tb ELSE ta END AS many FROM t)
+SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 WHEN list_sort(ta) = list_sort(tb) THEN 0.97 WHEN len(few) >= 2 AND few[1][1] = many[1][1] AND few[-1] = many[-1] AND len(list_filter(few, lambda x: list_contains(many, x))) = len(few) THEN 0.9 WHEN dice >= 0.8 THEN 0.8 WHEN dice >= 0.6 THEN 0.6 ELSE dice END, 6) AS score FROM s""")
 def name_ladders(spark, sf_dir):
-    """Rungs of the name ladder (SF29, SF30)."""
-    a, b = F.lower("p_type"), F.lower(F.concat_ws(" ", "p_type", "p_brand"))
-    return table(spark, sf_dir, "part").select("p_partkey", (L.name_ladder(F.when(F.col("p_size") % 4 == 0, a).otherwise(b), b) >= 0.97).alias("close"))
+    """The rungs of the name ladder (SF29, SF30, ER18)."""
+    size = F.col("p_size") % 4
+    a = F.when(size == 0, F.col("p_type")).when(size == 1, F.concat_ws(" ", "p_brand", "p_type")).when(size == 2, F.concat_ws(" ", "p_type", "p_brand")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(screening.name_ladder(S.plain_name(a), S.plain_name(F.concat_ws(" ", "p_type", "p_brand"))), 6).alias("score"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_orderstatus = 'O' AS a, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_custkey % 3 = 0 END AS b FROM orders)
