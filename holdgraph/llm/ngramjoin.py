@@ -37,8 +37,8 @@ from holdgraph.llm.textkit import Spans, finalise
 WORDS, PERCENT = 5, 80
 #: Buckets of the count table: its size doesn't depend on the corpus.
 COUNT_BITS = 18
-#: 64-bit words of the suffix filter's parities; sets that a task keeps while it verifies pairs.
-PARITY_WORDS, KEPT_SETS = 16, 512
+#: 64-bit words of the suffix filter's parities; shingles of sets that a task keeps while it verifies pairs.
+PARITY_WORDS, KEPT_SHINGLES = 16, 1 << 21
 #: Buckets before its own that an entry carries; pivot rounds go on while each finds a link for at least one
 #: in so many open components.
 BEFORE, FEW = 48, 50
@@ -162,13 +162,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets: OrderedDict[tuple, np.ndarray] = OrderedDict()
+    held = 0
 
     def of(key: tuple, blob: bytes, size: int) -> np.ndarray:
+        nonlocal held
         if key not in sets:
             text = np.frombuffer(_unpacked(blob, size), dtype=np.uint8)
             sets[key], _ = shingle_sets(text, np.array([0, len(text)]))
-            if len(sets) > KEPT_SETS:
-                sets.popitem(last=False)
+            held += len(sets[key])
+            while held > KEPT_SHINGLES and len(sets) > 1:
+                held -= len(sets.popitem(last=False)[1])
         sets.move_to_end(key)
         return sets[key]
 
