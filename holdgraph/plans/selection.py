@@ -74,15 +74,6 @@ def collapsed_collections(spark, sf_dir):
     return out.select("user_id", "survivor.event_id", F.col("copies").alias("n_copies"), "n_labels")
 
 
-@query("""WITH c AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderstatus = 'P' THEN [] ELSE [o_custkey, o_custkey + 1] END AS cited FROM orders)
-SELECT claim_id, len(cited) > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(cited) AS id) WHERE id NOT IN (SELECT c_custkey FROM customer)) AS kept FROM c""")
-def narrative_claims(spark, sf_dir):
-    """Claims kept if all they cite is evidence (RK26)."""
-    k = F.col("o_custkey")
-    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderstatus") == "P", F.array().cast("array<bigint>")).otherwise(F.array(k, k + 1)).alias("cited"))
-    return L.validated(claims, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
-
-
 @query("""SELECT s_suppkey AS id, s_name AS name, 'entity' AS kind FROM supplier UNION ALL SELECT c_custkey, c_name, 'person' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def kind_fallthrough(spark, sf_dir):
     """Entity first, then person (SC2, SC28)."""
@@ -91,14 +82,13 @@ def kind_fallthrough(spark, sf_dir):
     return L.fallthrough(a, b, "id")
 
 
-@query(r"""WITH h AS (SELECT item_id AS hit_id, array_to_string(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')[1:4], ' ') AS form FROM benchmark),
-t AS (SELECT doc_id AS target_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS name FROM documents)
+@query(r"""WITH h AS (SELECT p_partkey AS hit_id, trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')) AS form FROM part WHERE p_partkey % 3 = 0),
+t AS (SELECT p_partkey AS target_id, ' ' || trim(regexp_replace(lower(p_type || ' ' || p_name || ' ' || p_brand), '[^a-z0-9_]+', ' ', 'g')) || ' ' AS name FROM part)
 SELECT hit_id, target_id FROM h JOIN t ON contains(t.name, ' ' || h.form || ' ') WHERE form <> ''""")
 def percolated_names(spark, sf_dir):
-    """Forms found inside names, as an equi-join on word runs (ER14)."""
-    words = F.split(S.plain_name(F.col("text")), " ")
-    h = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("hit_id"), F.array_join(F.slice(words, 1, 4), " ").alias("form"))
-    return L.contained(h, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("name")))
+    """Whole forms found inside names, as an equi-join on word runs (ER14)."""
+    p = table(spark, sf_dir, "part")
+    return L.contained(p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("hit_id"), F.col("p_name").alias("form")), p.select(F.col("p_partkey").alias("target_id"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("name")))
 
 
 _GRAMS = lambda c: f"list_transform(range(1, length({c})), lambda i: {c}[i:i + 1])"
@@ -142,17 +132,6 @@ def leak_collections(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(hit).groupBy(F.col("source").alias("source_id")).agg(F.countDistinct("doc_id").alias("n_leads"))
 
 
-@query(f"""WITH {derived.SQL}, f AS (SELECT bundle_id, statement_id, 0 AS part FROM entity WHERE place < 3 UNION ALL SELECT bundle_id, statement_id, 1 FROM relationship WHERE share >= 75)
-SELECT bundle_id, statement_id, 'f' || row_number() OVER (PARTITION BY bundle_id ORDER BY part, statement_id) AS fact_id FROM f""")
-def evidence_packet(spark, sf_dir):
-    """Facts of a bundle with stable ids (RK23, RK25)."""
-    from pyspark.sql import Window
-
-    f = derived.entities(spark, sf_dir).where("place < 3").select("bundle_id", "statement_id", F.lit(0).alias("part")).unionByName(derived.relationships(spark, sf_dir).where("share >= 75").select("bundle_id", "statement_id", F.lit(1).alias("part")))
-    k = F.row_number().over(Window.partitionBy("bundle_id").orderBy("part", "statement_id"))
-    return f.select("bundle_id", "statement_id", F.concat(F.lit("f"), k.cast("string")).alias("fact_id"))
-
-
 @query(f"""WITH {derived.SQL}, bad AS (SELECT statement_id, 'unreferenced' AS issue FROM entity WHERE statement_id NOT IN (SELECT subject_id FROM relationship) AND statement_id NOT IN (SELECT party_id FROM relationship WHERE party_id IS NOT NULL)
 UNION ALL SELECT statement_id, 'share_out_of_range' FROM relationship WHERE share > 90 OR share < 0 UNION ALL SELECT statement_id, 'party_missing' FROM relationship WHERE party_id IS NULL AND reason IS NULL UNION ALL SELECT statement_id, 'unknown_type' FROM relationship WHERE type NOT IN ('shareholding', 'votingRights', 'appointmentOfBoard'))
 SELECT issue, count(*) AS n FROM bad GROUP BY issue""")

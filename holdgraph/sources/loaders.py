@@ -61,3 +61,25 @@ def xml_rows(df: DataFrame, column: str, path: str, schema: str) -> DataFrame:
     other = [c for c in df.columns if c != column]
     parsed = F.from_xml(F.col(column), schema)
     return df.select(*other, F.explode(parsed[path]).alias("_e")).select(*other, "_e.*")
+
+
+def group_register(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and heads of a register of company groups, a row an LEI (the first by seq). rows: seq, lei, name,
+    parent_name, head (boolean), alternative_names (between semicolons). Heads have how many members their
+    group has, and how many of them have an LEI."""
+    clean = rows.withColumn("lei", F.upper(F.trim("lei"))).withColumn("alternative_names", F.array_except(F.array_distinct(F.filter(F.transform(F.split("alternative_names", ";"), lambda n: F.trim(n)), lambda n: n != "")), F.array("name")))
+    count = clean.where("NOT head").groupBy("parent_name").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.coalesce("lei", F.lit("")) != "", 1)).alias("members_with_lei"))
+    first = clean.where("coalesce(lei, '') <> ''").groupBy("head", "lei").agg(F.min(F.struct("seq", "name", "parent_name", "alternative_names")).alias("r")).select("head", "lei", "r.name", "r.parent_name", "r.alternative_names")
+    heads = first.where("head").join(count, "parent_name", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("members", "members_with_lei")})
+    return first.where("NOT head").drop("head"), heads.drop("head")
+
+
+def stacked_sheets(sheets: dict[str, DataFrame], columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows of several sheets under one set of columns, each the first of its names that a sheet has (null where it
+    has none), with the sheet's name."""
+    out = None
+    for name, sheet in sheets.items():
+        pick = [next((F.col(f"`{c}`") for c in names_ if c in sheet.columns), F.lit(None)).cast("string").alias(to) for to, names_ in columns.items()]
+        one = sheet.select(F.lit(name).alias("sheet"), *pick)
+        out = one if out is None else out.unionByName(one)
+    return out
