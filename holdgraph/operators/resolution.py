@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
+from holdgraph.lineage import written
+from holdgraph.operators import graph
 
 
 #: Letters of a token under which it is looked up.
 HEAD = 8
 
 
-def strong_bridges(hits: DataFrame, least: dict[str, int]) -> DataFrame:
-    """hits (hit_id, identifiers map): key, value and the hits that share it; least: how many a key needs."""
-    pairs = hits.select("hit_id", F.explode("identifiers").alias("key", "value")).where(F.col("key").isin(*least) & F.col("value").isNotNull() & (F.col("value") != ""))
+# Identifiers that stand for nothing.
+PLACEHOLDERS = ("Q0", "STUB000000000000LEI0", "00000000")
+
+
+def strong_bridges(hits: DataFrame, least: dict[str, int], check_lei: bool = False) -> DataFrame:
+    """hits (hit_id, identifiers map): place, key, value, n and hits that share it, keys in the order of `least`, which says
+    how many hits a key needs. Placeholders, entity numbers that have no such shape and, if asked for, LEIs with a
+    wrong check digit bridge nothing. Hits are counted, whatever their sources."""
+    pairs = hits.select("hit_id", F.explode("identifiers").alias("key", "value")).where(F.col("key").isin(*least) & (F.coalesce("value", F.lit("")) != "") & ~F.upper("value").isin(*PLACEHOLDERS))
+    pairs = pairs.where((F.col("key") != "wikidata_qid") | S.qid_ok(F.col("value")))
+    if check_lei:
+        pairs = pairs.where((F.col("key") != "lei") | S.lei_ok(F.col("value")))
     need = F.create_map(*(F.lit(x) for kv in least.items() for x in kv))
-    return pairs.groupBy("key", "value").agg(F.array_sort(F.collect_set("hit_id")).alias("hits")).where(F.size("hits") >= need[F.col("key")])
+    place = F.array_position(F.array(*map(F.lit, least)), F.col("key")).cast("int")
+    found = pairs.distinct().groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("hit_id")).alias("hits"))
+    return found.where(F.col("n") >= need[F.col("key")]).select(place.alias("place"), "key", "value", "n", "hits")
 
 
 def weak_bridges(hits: DataFrame, linked: DataFrame) -> DataFrame:
@@ -28,19 +41,58 @@ def weak_bridges(hits: DataFrame, linked: DataFrame) -> DataFrame:
     return open_.groupBy("key").agg(F.array_sort(F.collect_set("hit_id")).alias("hits"), F.max(F.col("is_stub").cast("int")).alias("stub")).where("size(hits) >= 2 AND stub = 0").drop("stub")
 
 
+# Parts of identifier schemes that aren't registers of companies.
+NOT_REGISTERS = ("VAT", "UID", "TVA", "MOMS", "MWST", "KMKR", "DIC", "NIP", "OIB", "BN", "EIN", "FEIN", "UTR", "TAX", "CIK", "ISIN", "CUSIP", "NACE", "SIC", "TOL")
+
+
 def merge_keys(identifiers: Column, jurisdiction: Column) -> Column:
-    """Keys that say 'the same entity': a global LEI, scheme with value, and jurisdiction with value."""
-    of = lambda i: F.array(
-        F.when(i["scheme"].contains("LEI"), F.concat(F.lit("LEI:"), F.upper(i["id"]))),
-        F.concat(i["scheme"], F.lit(":"), F.upper(i["id"])),
-        F.when(~i["scheme"].contains("VAT") & ~i["id"].contains("/") & ~i["scheme"].contains("LEI"), F.concat(F.lit("JUR:"), jurisdiction, F.lit(":"), F.upper(i["id"]))),
-    )
-    return F.array_distinct(F.array_compact(F.flatten(F.transform(identifiers, of))))
+    """Keys that say 'the same entity': a global LEI, told by its shape; scheme with value; and jurisdiction with value for
+    numbers without a scheme or under one of the jurisdiction's registers, unless the number is composite."""
+    jur = F.upper(F.get(F.split(F.trim(F.coalesce(jurisdiction, F.lit(""))), "-"), F.lit(0)))
+
+    def of(i: Column) -> Column:
+        value = F.upper(F.trim(F.coalesce(i["id"], F.lit(""))))
+        scheme = F.upper(F.trim(F.coalesce(i["scheme"], F.lit("?"))))
+        lei = value.rlike("^[A-Z0-9]{18}[0-9]{2}$")
+        parts = F.split(scheme, "[-_]")
+        register = (scheme == "") | (scheme.startswith(F.concat(jur, F.lit("-"))) & ~F.arrays_overlap(F.slice(parts, 2, 100), F.array(*map(F.lit, NOT_REGISTERS))))
+        return F.when(
+            value != "",
+            F.array(
+                F.when(lei, F.concat(F.lit("LEI:"), value)).otherwise(F.concat(scheme, F.lit(":"), value)),
+                F.when(~lei & (jur != "") & register & ~value.contains("/"), F.concat(F.lit("JUR:"), jur, F.lit(":"), value)),
+            ),
+        )
+
+    return F.array_distinct(F.array_compact(F.flatten(F.array_compact(F.transform(F.coalesce(identifiers, F.array().cast("array<struct<id:string,scheme:string>>")), of)))))
+
+
+def merged_network(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities that share a key are one, and relationships between them once. entities: seq, statement_id, name,
+    jurisdiction, entity_type, founding_date, identifiers, source; relationships: seq, subject_id, party_id, types, source.
+    The one is called after its LEI, else its smallest key, else its smallest statement; of every attribute the first
+    that is there counts (by seq); sources gather. Gives entities (canonical_id, ..., n_members, sources) and
+    relationships (subject_id, party_id, types, sources)."""
+    keyed = entities.select("statement_id", F.explode_outer(merge_keys(F.col("identifiers"), F.col("jurisdiction"))).alias("key"))
+    node, key = F.concat(F.lit("1"), "statement_id"), F.coalesce(F.concat(F.lit("0"), "key"), F.concat(F.lit("1"), "statement_id"))
+    part = graph.components(keyed.select(node.alias("a"), key.alias("b")))
+    of = part.where("node LIKE '1%'").select(F.expr("substring(node, 2)").alias("statement_id"), "component")
+    lei = F.min(F.when(F.col("node").startswith("0LEI:"), F.expr("substring(node, 2)")))
+    name = part.groupBy("component").agg(F.concat(F.lit("recon:"), F.coalesce(lei, F.min(F.when(F.col("node").startswith("0"), F.expr("substring(node, 2)"))), F.min(F.expr("substring(node, 2)")))).alias("canonical_id"))
+    remap = written(of.join(name, "component").select("statement_id", "canonical_id"), "remap")
+    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col("seq"))).alias(c)
+    all_ = entities.join(remap, "statement_id")
+    one = all_.groupBy("canonical_id").agg(*(first(c) for c in ("name", "jurisdiction", "entity_type", "founding_date")), F.countDistinct("statement_id").alias("n_members"), F.array_sort(F.collect_set("source")).alias("sources"))
+    to = lambda df, c: df.join(remap.select(F.col("statement_id").alias(c), F.col("canonical_id").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    links = to(to(relationships, "subject_id"), "party_id").groupBy("subject_id", "party_id", "types").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return one.withColumn("name", F.coalesce("name", "canonical_id")), links
 
 
 def possibly_same(entities: DataFrame) -> DataFrame:
     """a, b (a < b): one name in one jurisdiction, founding years that don't conflict, no shared key.
-    entities: id, name_key, jurisdiction, year (null: unknown), keys array."""
+    entities: id, name_keys (the name as compared and without its blanks: one that agrees is enough), jurisdiction,
+    year (null: unknown), keys array. Names or jurisdictions that are missing agree with nothing."""
+    entities = entities.withColumn("name_key", F.explode(F.array_distinct("name_keys"))).where("name_key <> '' AND jurisdiction <> ''")
     b = entities.select(F.col("id").alias("b"), "name_key", "jurisdiction", F.col("year").alias("year_b"), F.col("keys").alias("keys_b"))
     j = entities.withColumnRenamed("id", "a").join(b, ["name_key", "jurisdiction"]).where("a < b")
     years = F.col("year").isNull() | F.col("year_b").isNull() | (F.col("year") == F.col("year_b"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdgraph.functions import codelists as C
 
@@ -52,21 +56,31 @@ def transitions(states: DataFrame, key: list[str], value: str, order: list, only
     return out.where(F.col("old") != F.col(value)) if only_differing else out
 
 
+def anchored(events: DataFrame, key: list[str], date: str, window_days: int = 400) -> DataFrame:
+    """key, day, anchor: each dated event of a key with the first event of its cluster; an event joins the cluster whose
+    first event is within the window, else opens one. Events are sorted within their keys and gone through as a
+    stream, so no task holds a key whole."""
+    epoch = F.lit("1970-01-01").cast("date")
+    rows = events.where(F.col(date).isNotNull()).select(*key, F.datediff(F.col(date), epoch).alias("day"), F.to_json(F.struct(*key)).alias("_key"))
+    schema = T.StructType([*(rows.schema[k] for k in key), T.StructField("day", T.IntegerType()), T.StructField("anchor", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor = None, 0
+        for batch in batches:
+            out = []
+            for k, day in zip(batch.column("_key").to_pylist(), batch.column("day").to_pylist(), strict=True):
+                if k != last or day - anchor > window_days:
+                    last, anchor = k, day
+                out.append(anchor)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), batch.column("day"), pa.array(out, pa.int32())], names=schema.names)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "day").mapInArrow(run, schema)
+
+
 def anchored_clusters(events: DataFrame, key: list[str], date: str, window_days: int = 400) -> DataFrame:
-    """key, anchor, n: events of a key join the first cluster whose first event is within the window, else
-    open one. Clusters hang on their first event, so this is a fold over the sorted dates, not a session."""
-    days = F.array_sort(F.collect_list(F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))))
-    grouped = events.where(F.col(date).isNotNull()).groupBy(*key).agg(days.alias("_days"))
-    empty = F.array().cast("array<struct<anchor:int,n:int>>")
-
-    def fold(acc, d):
-        # Dates ascend, so only the last cluster can still take the next one.
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (d - F.coalesce(F.try_element_at(acc, F.lit(-1))["anchor"], d) <= window_days)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["anchor"].alias("anchor"), (last["n"] + 1).alias("n"))))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(d.alias("anchor"), F.lit(1).alias("n")))))
-
-    return grouped.select(*key, F.explode(F.aggregate("_days", empty, fold)).alias("c")).select(*key, F.date_add(F.lit("1970-01-01").cast("date"), F.col("c.anchor")).alias("anchor"), F.col("c.n").alias("n"))
+    """key, anchor, n: how many events each cluster of `anchored` has."""
+    n = anchored(events, key, date, window_days).groupBy(*key, "anchor").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return n.withColumn("anchor", F.date_add(F.lit("1970-01-01").cast("date"), F.col("anchor")))
 
 
 def owner_intervals(rows: DataFrame, key: list[str], start: str, end: str) -> DataFrame:

@@ -13,13 +13,16 @@ from holdgraph.plans.selection import _DICE
 from holdgraph.sources import derived
 
 
-@query("""WITH p AS (SELECT p_partkey AS hit_id, unnest([struct_pack(key := 'lei', value := p_brand || '-' || p_size), struct_pack(key := 'wikidata_qid', value := 'Q' || (p_partkey % 900 + 1)), struct_pack(key := 'other', value := p_type)]) AS i FROM part)
-SELECT i.key AS key, i.value AS value, count(*) AS n, array_to_string(list_sort(list(hit_id)), ',') AS hits FROM p WHERE i.key IN ('lei', 'wikidata_qid') GROUP BY 1, 2 HAVING count(*) >= CASE i.key WHEN 'lei' THEN 2 ELSE 1 END""")
+@query("""WITH p AS (SELECT p_partkey AS hit_id, unnest([struct_pack(key := 'lei', value := CASE WHEN p_size = 1 THEN '00000000' ELSE p_brand || '-' || p_size END), struct_pack(key := 'wikidata_qid', value := CASE WHEN p_partkey % 5 = 0 THEN 'q' ELSE 'Q' END || (p_partkey % 900)), struct_pack(key := 'other', value := p_type)]) AS i FROM part)
+SELECT CASE i.key WHEN 'wikidata_qid' THEN 1 ELSE 2 END AS place, i.key AS key, i.value AS value, count(*) AS n, array_to_string(list_sort(list(hit_id)), ',') AS hits FROM p
+WHERE i.key IN ('lei', 'wikidata_qid') AND upper(i.value) NOT IN ('Q0', '00000000') AND (i.key <> 'wikidata_qid' OR regexp_matches(i.value, '^Q[1-9][0-9]*$')) GROUP BY 1, 2, 3 HAVING count(*) >= CASE i.key WHEN 'lei' THEN 2 ELSE 1 END""")
 def identifier_bridge(spark, sf_dir):
-    """Hits that share a strong identifier (ER1, JN11)."""
-    m = F.create_map(F.lit("lei"), F.concat_ws("-", "p_brand", "p_size"), F.lit("wikidata_qid"), F.concat(F.lit("Q"), (F.col("p_partkey") % 900 + 1).cast("string")), F.lit("other"), F.col("p_type"))
-    hits = derived.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hit_id"), m.alias("identifiers"))
-    return R.strong_bridges(hits, {"lei": 2, "wikidata_qid": 1}).select("key", "value", F.size("hits").cast("long").alias("n"), F.array_join(F.transform("hits", lambda h: h.cast("string")), ",").alias("hits"))
+    """Hits that share a strong identifier, without placeholders and misshapen numbers (ER1, JN11)."""
+    k = F.col("p_partkey")
+    qid = F.concat(F.when(k % 5 == 0, "q").otherwise("Q"), (k % 900).cast("string"))
+    m = F.create_map(F.lit("lei"), F.when(F.col("p_size") == 1, "00000000").otherwise(F.concat_ws("-", "p_brand", "p_size")), F.lit("wikidata_qid"), qid, F.lit("other"), F.col("p_type"))
+    hits = derived.table(spark, sf_dir, "part").select(k.alias("hit_id"), m.alias("identifiers"))
+    return R.strong_bridges(hits, {"wikidata_qid": 1, "lei": 2}).select("place", "key", "value", "n", F.array_join(F.transform("hits", lambda h: h.cast("string")), ",").alias("hits"))
 
 
 @query("""WITH h AS (SELECT p_partkey AS hit_id, lower(p_type || ' ' || p_brand) AS name, p_partkey % 50 = 3 AS stub FROM part WHERE p_partkey % 7 <> 0),
@@ -34,12 +37,13 @@ def weak_bridge(spark, sf_dir):
     return out.select("key", F.size("hits").cast("long").alias("n"), F.array_min("hits").alias("first"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS id, p_type AS name_key, p_brand AS jurisdiction, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 10 END AS year, ['K:' || (p_partkey % 11)] AS keys FROM part)
-SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.name_key = y.name_key AND x.jurisdiction = y.jurisdiction AND x.id < y.id AND (x.year IS NULL OR y.year IS NULL OR x.year = y.year) AND NOT list_has_any(x.keys, y.keys)""")
+@query("""WITH e AS (SELECT p_partkey AS id, unnest(list_distinct([lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN ' x' ELSE '' END, replace(lower(p_type), ' ', '')])) AS name_key, p_brand AS jurisdiction, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 10 END AS year, ['K:' || (p_partkey % 11)] AS keys FROM part)
+SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.name_key = y.name_key AND x.jurisdiction = y.jurisdiction AND x.id < y.id AND (x.year IS NULL OR y.year IS NULL OR x.year = y.year) AND NOT list_has_any(x.keys, y.keys)""")
 def same_name_pairs(spark, sf_dir):
-    """Possibly the same: name and jurisdiction agree, nothing conflicts (ER3, JN12)."""
+    """Possibly the same: a name and the jurisdiction agree, nothing conflicts (ER3, JN12)."""
     k = F.col("p_partkey")
-    e = derived.table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_type").alias("name_key"), F.col("p_brand").alias("jurisdiction"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 10).alias("year"), F.array(F.concat(F.lit("K:"), (k % 11).cast("string"))).alias("keys"))
+    names_ = F.array(F.concat(F.lower("p_type"), F.when(k % 2 == 0, " x").otherwise("")), F.regexp_replace(F.lower("p_type"), " ", ""))
+    e = derived.table(spark, sf_dir, "part").select(k.alias("id"), names_.alias("name_keys"), F.col("p_brand").alias("jurisdiction"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 10).alias("year"), F.array(F.concat(F.lit("K:"), (k % 11).cast("string"))).alias("keys"))
     return R.possibly_same(e)
 
 
@@ -56,16 +60,43 @@ def entity_merge(spark, sf_dir):
     return parts.where("node NOT LIKE '%:%'").select(F.col("node").cast("long").alias("id"), F.col("component").cast("long").alias("canonical"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS id, [struct_pack(scheme := 'XI-LEI', id := 'l' || (p_partkey % 500)), struct_pack(scheme := 'GB-COH', id := 'c' || p_size), struct_pack(scheme := 'GB-VAT', id := 'v' || p_size)] AS ids FROM part),
-k AS (SELECT id, unnest(list_distinct(flatten(list_transform(ids, lambda i: list_filter([CASE WHEN contains(i.scheme, 'LEI') THEN 'LEI:' || upper(i.id) END, i.scheme || ':' || upper(i.id), CASE WHEN NOT contains(i.scheme, 'VAT') AND NOT contains(i.scheme, 'LEI') THEN 'JUR:GB:' || upper(i.id) END], lambda x: x IS NOT NULL))))) AS key FROM e)
-SELECT key, count(*) AS n FROM k GROUP BY key""")
+_IDS = """ids AS (SELECT p_partkey AS id, unnest([struct_pack(scheme := 'XI-LEI', id := printf('L%017d00', p_partkey % 500)), struct_pack(scheme := 'GB-COH', id := 'c' || p_size), struct_pack(scheme := 'GB-VAT', id := 'v' || p_size), struct_pack(scheme := '', id := CASE WHEN p_partkey % 3 = 0 THEN 'gb/' || p_size ELSE 'c' || p_size END)]) AS i FROM part),
+keyed AS (SELECT id, 'LEI:' || upper(i.id) AS key FROM ids WHERE i.scheme = 'XI-LEI' UNION SELECT id, i.scheme || ':' || upper(i.id) FROM ids WHERE i.scheme <> 'XI-LEI' UNION SELECT id, 'JUR:GB:' || upper(i.id) FROM ids WHERE i.scheme IN ('GB-COH', '') AND NOT contains(i.id, '/'))"""
+
+
+def _identified(spark, sf_dir):
+    ident = lambda scheme, c: F.struct(c.alias("id"), F.lit(scheme).alias("scheme"))
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    ids = F.array(ident("XI-LEI", F.format_string("L%017d00", k % 500)), ident("GB-COH", F.concat(F.lit("c"), size)), ident("GB-VAT", F.concat(F.lit("v"), size)), ident("", F.when(k % 3 == 0, F.concat(F.lit("gb/"), size)).otherwise(F.concat(F.lit("c"), size))))
+    return derived.table(spark, sf_dir, "part").withColumn("ids", ids)
+
+
+@query(f"WITH {_IDS} SELECT key, count(*) AS n FROM keyed GROUP BY key")
 def merge_keys(spark, sf_dir):
-    """Merge keys of identifiers (ER4)."""
-    ident = lambda scheme, c: F.struct(F.lit(scheme).alias("scheme"), c.alias("id"))
-    p = derived.table(spark, sf_dir, "part")
-    size = F.col("p_size").cast("string")
-    ids = F.array(ident("XI-LEI", F.concat(F.lit("l"), (F.col("p_partkey") % 500).cast("string"))), ident("GB-COH", F.concat(F.lit("c"), size)), ident("GB-VAT", F.concat(F.lit("v"), size)))
-    return p.select(F.explode(R.merge_keys(ids, F.lit("GB"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """Merge keys of identifiers, without those that aren't registers (ER4)."""
+    return _identified(spark, sf_dir).select(F.explode(R.merge_keys(F.col("ids"), F.lit("gb"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS k, 'e' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS name, 's' || (c_custkey % 4) AS source, ['GB-COH:' || (c_custkey // 3), 'GB-VAT:' || (c_custkey // 7)] AS keys, CASE WHEN c_custkey % 9 = 0 THEN ['LEI:' || printf('A%017d00', c_custkey)] ELSE [] END AS lei FROM customer),
+x AS (SELECT k, id, unnest(list_concat([keys[1], 'JUR:GB:' || split_part(keys[1], ':', 2)], lei)) AS key FROM e), link AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.key = b.key),
+reach(id, r) AS (SELECT id, id FROM e UNION SELECT link.a, reach.r FROM reach JOIN link ON link.b = reach.id), part AS (SELECT id, min(r) AS p FROM reach GROUP BY id),
+name_ AS (SELECT p, 'recon:' || coalesce(min(CASE WHEN starts_with(key, 'LEI:') THEN key END), min(key)) AS canonical FROM part JOIN x USING (id) GROUP BY p), of AS (SELECT id, canonical FROM part JOIN name_ USING (p)),
+one AS (SELECT canonical, coalesce(min_by(name, k) FILTER (name <> ''), canonical) AS name, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM e JOIN of USING (id) GROUP BY canonical),
+r AS (SELECT 'e' || o_custkey AS subject, 'e' || (o_custkey + 1) AS party, o_orderstatus AS types, 's' || (o_orderkey % 3) AS source FROM orders),
+l AS (SELECT coalesce(s.canonical, subject) AS subject, coalesce(p.canonical, party) AS party, types, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM r LEFT JOIN of s ON s.id = subject LEFT JOIN of p ON p.id = party GROUP BY 1, 2, 3)
+SELECT 'entity' AS kind, canonical AS a, name AS b, n, sources FROM one UNION ALL SELECT 'link', subject, party || ' ' || types, 1, sources FROM l""")
+def merged_network(spark, sf_dir):
+    """Entities merged over their keys with attributes and sources, relationships between them once (ER5)."""
+    k = F.col("c_custkey")
+    ident = lambda scheme, c: F.struct(c.alias("id"), F.lit(scheme).alias("scheme"))
+    ids = F.array_compact(F.array(ident("GB-COH", F.floor(k / 3).cast("string")), F.when(k % 9 == 0, ident("XI-LEI", F.format_string("A%017d00", k)))))
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    e = derived.table(spark, sf_dir, "customer").select(k.alias("seq"), text("e", k).alias("statement_id"), F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("name"), F.lit("GB").alias("jurisdiction"), F.lit("registeredEntity").alias("entity_type"), F.lit("").alias("founding_date"), ids.alias("identifiers"), text("s", k % 4).alias("source"))
+    o = F.col("o_custkey")
+    r = derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), text("e", o).alias("subject_id"), text("e", o + 1).alias("party_id"), F.col("o_orderstatus").alias("types"), text("s", F.col("o_orderkey") % 3).alias("source"))
+    one, links = R.merged_network(e, r)
+    out = one.select(F.lit("entity").alias("kind"), F.col("canonical_id").alias("a"), F.col("name").alias("b"), F.col("n_members").alias("n"), F.array_join("sources", ",").alias("sources"))
+    return out.unionByName(links.select(F.lit("link").alias("kind"), F.col("subject_id").alias("a"), F.concat_ws(" ", "party_id", "types").alias("b"), F.lit(1).cast("long").alias("n"), F.array_join("sources", ",").alias("sources")))
 
 
 _A, _B = "list_filter(string_split(lower(x.p_name), ' '), lambda t: t <> '')", "list_filter(string_split(lower(y.p_name), ' '), lambda t: t <> '')"

@@ -19,8 +19,7 @@ table = derived.table
 def current_connections(spark, sf_dir):
     """Connections with a role that has not ended (PF8)."""
     end = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("string"))
-    roles = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderstatus").alias("label"), end.alias("endDate"))).alias("roles"))
-    return roles.select("o_custkey", L.current(F.col("roles")).alias("is_current"))
+    return L.current_of(table(spark, sf_dir, "orders").withColumn("end", end), ["o_custkey"], "end")
 
 
 @query(f"""WITH {derived.SQL}, w AS (SELECT statement_id FROM person WHERE nationality IN ('IR', 'KP', 'SY'))
@@ -66,12 +65,15 @@ def screenable_names(spark, sf_dir):
 
 
 @query("""WITH h AS (SELECT user_id, event_type, event_id, CAST(event_id % 3 AS INTEGER) AS r, floor(value / 10) AS score FROM events)
-SELECT user_id, event_id, n_copies, n_labels FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n_copies, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, score DESC, event_id) AS k FROM h) JOIN (SELECT user_id, count(DISTINCT event_type) AS n_labels FROM h GROUP BY user_id) USING (user_id) WHERE k = 1""")
+SELECT user_id, event_id, n_copies, n_labels, corroborations FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n_copies, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, score DESC, event_id) AS k FROM h)
+JOIN (SELECT user_id, count(DISTINCT event_type) AS n_labels, array_to_string(list_sort(list(DISTINCT CASE r WHEN 0 THEN 'birth_year' WHEN 1 THEN 'nationality' ELSE 'none' END)), ',') AS corroborations FROM h GROUP BY user_id) USING (user_id) WHERE k = 1""")
 def collapsed_collections(spark, sf_dir):
-    """Copies of one finding across collections, the best survives (WN7)."""
-    h = table(spark, sf_dir, "events").withColumn("score", F.floor(F.col("value") / 10))
-    out = L.collapsed(h, ["user_id"], F.col("event_id") % 3, "score", "event_id", "event_type")
-    return out.select("user_id", "survivor.event_id", F.col("copies").alias("n_copies"), "n_labels")
+    """Copies of one finding across collections: the best survives, corroborations unite (WN7)."""
+    r = F.col("event_id") % 3
+    also = F.array(F.when(r == 0, "birth_year").when(r == 1, "nationality").otherwise("none"))
+    h = table(spark, sf_dir, "events").withColumn("score", F.floor(F.col("value") / 10)).withColumn("also", also)
+    out = L.collapsed(h, ["user_id"], r, "score", "event_id", "event_type", "also")
+    return out.select("user_id", "survivor.event_id", F.col("copies").alias("n_copies"), "n_labels", F.array_join("corroborations", ",").alias("corroborations"))
 
 
 @query("""SELECT s_suppkey AS id, s_name AS name, 'entity' AS kind FROM supplier UNION ALL SELECT c_custkey, c_name, 'person' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
@@ -133,6 +135,7 @@ def leak_collections(spark, sf_dir):
 
 
 @query(f"""WITH {derived.SQL}, bad AS (SELECT statement_id, 'unreferenced' AS issue FROM entity WHERE statement_id NOT IN (SELECT subject_id FROM relationship) AND statement_id NOT IN (SELECT party_id FROM relationship WHERE party_id IS NOT NULL)
+UNION ALL SELECT min(statement_id), 'duplicate_name' FROM entity GROUP BY bundle_id, legal_form, jurisdiction HAVING count(*) > 1
 UNION ALL SELECT statement_id, 'share_out_of_range' FROM relationship WHERE share > 90 OR share < 0 UNION ALL SELECT statement_id, 'party_missing' FROM relationship WHERE party_id IS NULL AND reason IS NULL UNION ALL SELECT statement_id, 'unknown_type' FROM relationship WHERE type NOT IN ('shareholding', 'votingRights', 'appointmentOfBoard'))
 SELECT issue, count(*) AS n FROM bad GROUP BY issue""")
 def validation_issues(spark, sf_dir):
@@ -140,7 +143,8 @@ def validation_issues(spark, sf_dir):
     e, r = derived.entities(spark, sf_dir), derived.relationships(spark, sf_dir)
     used = r.select(F.col("subject_id").alias("statement_id")).unionByName(r.where("party_id IS NOT NULL").select(F.col("party_id").alias("statement_id"))).distinct()
     issue = lambda df, what: df.select("statement_id", F.lit(what).alias("issue"))
-    bad = issue(e.join(used, "statement_id", "left_anti"), "unreferenced").unionByName(issue(r.where("share > 90 OR share < 0"), "share_out_of_range")).unionByName(issue(r.where("party_id IS NULL AND reason IS NULL"), "party_missing")).unionByName(issue(r.where(~F.col("type").isin("shareholding", "votingRights", "appointmentOfBoard")), "unknown_type"))
+    twice = e.groupBy("bundle_id", "legal_form", "jurisdiction").agg(F.min("statement_id").alias("statement_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    bad = issue(e.join(used, "statement_id", "left_anti"), "unreferenced").unionByName(issue(twice, "duplicate_name")).unionByName(issue(r.where("share > 90 OR share < 0"), "share_out_of_range")).unionByName(issue(r.where("party_id IS NULL AND reason IS NULL"), "party_missing")).unionByName(issue(r.where(~F.col("type").isin("shareholding", "votingRights", "appointmentOfBoard")), "unknown_type"))
     return bad.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
