@@ -216,3 +216,38 @@ def verdicts(subjects: DataFrame, signals: DataFrame, degraded: DataFrame) -> Da
     base = F.when(F.col("structure").isNotNull() & (F.size("codes") > 0), F.concat(F.lit("The records show "), "structure")).when(F.col("structure").isNotNull(), F.concat(F.lit("No risk signals surfaced, over "), "structure")).when(F.col("missing") > 0, "No risk signals surfaced").otherwise("No risk signals surfaced across the sources that answered")
     said = all_.withColumn("head", head).withColumn("structure", structure).withColumn("unread", unread)
     return said.select("bundle_id", F.when(F.col("head") != "", found).when(F.col("unread") & F.col("structure").isNull(), None).otherwise(F.concat(base, suffix, F.lit("."))).alias("verdict"))
+
+
+def open_positions(positions: DataFrame, key: str, ended: Column) -> DataFrame:
+    """key, n_positions of persons with a position that has not ended: politically exposed, medium."""
+    per = positions.groupBy(key).agg(F.count(F.lit(1)).alias("n_positions"), F.bool_or(~ended).alias("pep"))
+    return per.where("pep").withColumn("confidence", F.lit("medium"))
+
+
+def leak_collections(hits: DataFrame, prefixes: tuple[str, ...], fragments: tuple[str, ...]) -> DataFrame:
+    """bundle_id, hit_id of hits from a leak collection: told by how its foreign id begins, else by its label. One signal a
+    hit, medium. hits: bundle_id, hit_id, foreign_id, label."""
+    begins = reduce(lambda a, b: a | b, (F.col("foreign_id").startswith(p) for p in prefixes))
+    named = contains_any(F.col("label"), fragments)
+    hit = F.coalesce(begins, F.lit(False)) | F.coalesce(named, F.lit(False))
+    return hits.where(hit).select("bundle_id", "hit_id", F.lit("OFFSHORE_LEAKS").alias("code"), F.lit("medium").alias("confidence")).distinct()
+
+
+def signal_kind(kind: Column) -> Column:
+    return F.coalesce(kind, F.lit("risk"))
+
+
+def redacted(payload: Column, licence: Column, withheld: tuple[str, ...]) -> Column:
+    """The payload, or a note in its place where its licence doesn't allow to show it."""
+    return F.when(licence.isin(*withheld), "withheld by licence").otherwise(payload)
+
+
+def degraded(failures: DataFrame, names: DataFrame, affected: dict[str, tuple[str, ...]]) -> DataFrame:
+    """bundle_id, source, n_failed, n_names, reason, codes: screens that failed for some of a bundle's names, with the reason
+    that counts most and the signals that may be missing. A failure before any source was reached has no source and
+    is a record of its own, over all codes. failures: bundle_id, source, reason; names: bundle_id, n_names."""
+    order = F.when(F.col("reason") == "rate_limited", 1).when(F.col("reason") == "timeout", 2).otherwise(3)
+    every = sorted({c for cs in affected.values() for c in cs})
+    codes = F.create_map(*(x for s, cs in affected.items() for x in (F.lit(s), F.array(*map(F.lit, cs)))))
+    per = failures.withColumn("source", F.coalesce("source", F.lit("upstream"))).groupBy("bundle_id", "source").agg(F.count(F.lit(1)).alias("n_failed"), F.min_by("reason", order).alias("reason"))
+    return per.join(names, "bundle_id", "left").withColumn("codes", F.coalesce(codes[F.col("source")], F.array(*map(F.lit, every))))

@@ -52,3 +52,32 @@ def gate_quality(pairs: DataFrame, score: str, label: str, thresholds: list[floa
     hit = F.col(score) >= F.col("threshold")
     t = pairs.where(F.col(label).isNotNull()).select(score, label, at.alias("threshold")).groupBy("threshold").agg(F.sum((hit & F.col(label)).cast("long")).alias("tp"), F.sum(hit.cast("long")).alias("picked"), F.sum(F.col(label).cast("long")).alias("positive"))
     return t.select("threshold", F.try_divide("tp", "picked").alias("precision"), F.try_divide("tp", "positive").alias("recall"))
+
+
+def confirmed(hits: DataFrame, key: list[str], source: str, least: int = 2) -> DataFrame:
+    """key, n_sources, confirmed: distinct sources that name it, and whether they are enough."""
+    return hits.groupBy(*key).agg(F.countDistinct(source).alias("n_sources")).withColumn("confirmed", F.col("n_sources") >= least)
+
+
+def busiest(rows: DataFrame, person: str, company: str, most: int) -> DataFrame:
+    """The persons with most distinct companies, ties to the smaller person: person, n."""
+    return rows.groupBy(F.col(person).alias("person")).agg(F.countDistinct(company).alias("n")).orderBy(F.desc("n"), "person").limit(most)
+
+
+def associations(rows: DataFrame, key: list[str], role: str, grade: Column, share: str, order: str) -> DataFrame:
+    """key, n_roles, grade (the strongest), roles, first_share (the first that is there): rows of one association collapsed.
+    grade: 1 low to 3 high."""
+    level = F.max(grade)
+    roles = rows.select(*key, role).distinct().groupBy(*key).agg(F.array_sort(F.collect_list(role)).alias("roles"))
+    per = rows.groupBy(*key).agg(level.alias("_level"), F.min_by(share, F.when(F.col(share).isNotNull(), F.col(order))).alias("first_share"))
+    return per.join(roles, key).select(*key, F.size("roles").cast("long").alias("n_roles"), F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("_level")).alias("confidence"), F.array_join("roles", ",").alias("roles"), "first_share")
+
+
+def tallied(events: DataFrame, by: list, ceased: Column) -> DataFrame:
+    """Events and how many of them have ceased, by type and kind."""
+    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ceased, 1)).alias("n_ceased"))
+
+
+def paid(rows: DataFrame, year: Column, amount: str, apart: Column) -> DataFrame:
+    """year, total, and the total of the payments that count apart (of one currency, say)."""
+    return rows.groupBy(year.alias("year")).agg(F.sum(amount).alias("total"), F.sum(F.when(apart, F.col(amount)).otherwise(0.0)).alias("total_apart"))

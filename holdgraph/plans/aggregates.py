@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdgraph.operators import rollups as U
 from holdgraph.plans.registry import query
 from holdgraph.sources import derived
+from holdgraph.sources import loaders as B
 
 table = derived.table
 
@@ -104,14 +105,14 @@ def conditional_pivot(spark, sf_dir):
 def busiest_people(spark, sf_dir):
     """The five with most companies (AG19)."""
     j = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person")).join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey")
-    return j.groupBy("person").agg(F.countDistinct("l_suppkey").alias("n")).orderBy(F.desc("n"), "person").limit(5)
+    return U.busiest(j, "person", "l_suppkey", 5)
 
 
 @query("""SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS kind, count(*) AS n, count(CASE WHEN value > 50 THEN 1 END) AS n_ceased FROM events GROUP BY 1, 2""")
 def event_mix(spark, sf_dir):
     """Event mix by type and kind (AG29)."""
     kind = F.get_json_object("props", "$.k").cast("long") % 10
-    return table(spark, sf_dir, "events").groupBy("event_type", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") > 50, 1)).alias("n_ceased"))
+    return U.tallied(table(spark, sf_dir, "events"), ["event_type", kind.alias("kind")], F.col("value") > 50)
 
 
 @query("""WITH t AS (SELECT threshold FROM (VALUES (0.2), (0.5), (0.8)) AS v(threshold)), p AS (SELECT value / 100 AS score, event_type = 'purchase' AS good FROM events WHERE event_type <> 'error')
@@ -125,8 +126,8 @@ def gate_quality(spark, sf_dir):
 @query("""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice), 2) AS total, round(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END), 2) AS total_urgent FROM orders GROUP BY 1""")
 def payments_by_year(spark, sf_dir):
     """Payments by year, one kind apart (AG14, AG11)."""
-    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")).otherwise(0.0)
-    return table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.sum(urgent), 2).alias("total_urgent"))
+    out = U.paid(table(spark, sf_dir, "orders"), F.year("o_orderdate"), "o_totalprice", F.col("o_orderpriority") == "1-URGENT")
+    return out.select("year", F.round("total", 2).alias("total"), F.round("total_apart", 2).alias("total_urgent"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '), lambda t: t <> ''))) AS token FROM documents)
@@ -142,8 +143,8 @@ SELECT user_id, count(DISTINCT event_type) AS n_roles, CASE max(CASE WHEN value
 def association_summary(spark, sf_dir):
     """A person's other companies: role sets, strongest confidence, first share that is there (AG7-AG10, WN10)."""
     level = F.when(F.col("value") > 90, 3).when(F.col("value") > 50, 2).otherwise(1)
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_roles"), F.max(level).alias("level"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("roles"), F.min(F.when(F.col("event_id") % 2 == 1, F.col("event_id"))).alias("first_share"))
-    return g.select("user_id", "n_roles", F.when(F.col("level") == 3, "high").when(F.col("level") == 2, "medium").otherwise("low").alias("confidence"), "roles", "first_share")
+    e = table(spark, sf_dir, "events").withColumn("share", F.when(F.col("event_id") % 2 == 1, F.col("event_id")))
+    return U.associations(e, ["user_id"], "event_type", level, "share", "event_id")
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem), x AS (SELECT DISTINCT p_brand, p_type FROM part)
@@ -173,10 +174,9 @@ def identifier_forms(spark, sf_dir):
 SELECT m.lei, (list(m.name ORDER BY m.pos DESC))[1] AS name, (SELECT (list(parent ORDER BY pos DESC))[1] FROM p WHERE p.lei = m.lei AND kind = 'direct') AS direct_parent, (SELECT (list(parent ORDER BY pos DESC))[1] FROM p WHERE p.lei = m.lei AND kind = 'ultimate') AS ultimate_parent FROM m GROUP BY m.lei""")
 def master_upsert(spark, sf_dir):
     """Upserts by key: the last row wins, and the last published parent of each kind (SC11, SC12, SC20)."""
-    o = table(spark, sf_dir, "orders")
-    m = o.groupBy(F.col("o_custkey").alias("lei")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("name"))
-    parent = lambda s, name: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("lei")).agg(F.max_by("o_totalprice", "o_orderkey").alias(name))
-    return m.join(parent("O", "direct_parent"), "lei", "left").join(parent("F", "ultimate_parent"), "lei", "left")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("parent"), F.when(F.col("o_orderstatus") == "O", "direct").otherwise("ultimate").alias("kind"), F.when(F.col("o_orderstatus") == "P", "LAPSED").otherwise("published").alias("status"))
+    master = B.upserted(o.select("key", "seq", "name"), "key", "seq")
+    return master.join(B.parent_links(o), "key", "left").select(F.col("key").alias("lei"), "name", "direct_parent", "ultimate_parent")
 
 
 @query("""WITH s AS (SELECT p_partkey, p_brand AS lei, string_split(p_name, ' ') AS cells, p_size % 4 = 0 AS sanctioned FROM part),
@@ -184,9 +184,8 @@ x AS (SELECT lei, sanctioned, p_partkey, unnest(list_filter(cells, lambda c: c <
 SELECT lei, count(DISTINCT isin) AS n_isins, bool_or(sanctioned) AS sanctioned, min(p_partkey) AS first_row FROM x GROUP BY lei""")
 def securities_index(spark, sf_dir):
     """Multi-valued cells exploded and merged by key (SC21, JN17, SF25)."""
-    p = table(spark, sf_dir, "part").withColumn("sanctioned", F.col("p_size") % 4 == 0).where("sanctioned OR p_partkey % 2 = 0")
-    x = p.select(F.col("p_brand").alias("lei"), "sanctioned", "p_partkey", F.explode(F.filter(F.split("p_name", " "), lambda c: c != "")).alias("isin"))
-    return x.groupBy("lei").agg(F.countDistinct("isin").alias("n_isins"), F.bool_or("sanctioned").alias("sanctioned"), F.min("p_partkey").alias("first_row"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("lei"), F.col("p_name").alias("isins"), F.col("p_type").alias("name"), (F.col("p_size") % 4 == 0).alias("sanctioned"), (F.col("p_partkey") % 2 == 0).alias("blocked"))
+    return B.securities_index(p).select("lei", "n_isins", "sanctioned", "first_row")
 
 
 @query("""WITH n AS (SELECT o_custkey AS enterprise, o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN 'fr' WHEN 'F' THEN 'nl' ELSE 'de' END AS lang, o_orderpriority AS denomination FROM orders),
@@ -196,15 +195,19 @@ def bilingual_names(spark, sf_dir):
     """By language the name of the lowest denomination, first row of ties (SC13, SC14)."""
     o = table(spark, sf_dir, "orders")
     lang = F.when(F.col("o_orderstatus") == "O", "fr").when(F.col("o_orderstatus") == "F", "nl").otherwise("de")
-    b = o.select(F.col("o_custkey").alias("enterprise"), lang.alias("lang"), "o_orderpriority", "o_orderkey").groupBy("enterprise", "lang").agg(F.min_by("o_orderkey", F.struct("o_orderpriority", "o_orderkey")).alias("seq"))
-    return b.groupBy("enterprise").pivot("lang", ["fr", "nl", "de"]).agg(F.max("seq"))
+    rows = o.select(F.col("o_custkey").alias("key"), lang.alias("lang"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("name"))
+    return B.preferred_names(rows, ["fr", "nl", "de"]).withColumnRenamed("key", "enterprise")
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS n_links, len(regexp_extract_all(html, '<p[^>]*>')) AS n_paragraphs, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages""")
 def html_scrape(spark, sf_dir):
     """Fields scraped from pages (SC30)."""
-    n = lambda p, k: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(k))).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", n(r'<a[^>]*href="([^"]*)"', 1).alias("n_links"), n("<p[^>]*>", 0).alias("n_paragraphs"), F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
+    pages = table(spark, sf_dir, "pages")
+    found = B.scraped(pages, "page_id", "html", {"link": (r'<a[^>]*href="([^"]*)"', 1), "paragraph": ("<p[^>]*>", 0), "title": ("<title>([^<]*)</title>", 1)})
+    of = lambda f: F.col("field") == f
+    per = found.groupBy("page_id").agg(F.count(F.when(of("link"), 1)).alias("n_links"), F.count(F.when(of("paragraph"), 1)).alias("n_paragraphs"), F.min_by("value", F.when(of("title"), F.col("place"))).alias("title"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return pages.select("page_id").join(per, "page_id", "left").select("page_id", zero("n_links"), zero("n_paragraphs"), F.nullif("title", F.lit("")).alias("title"))
 
 
 @query("""WITH b AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), x AS (SELECT c_custkey AS id, c_name AS name FROM customer)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from holdgraph.operators import risk, rollups
 from holdgraph.plans.registry import query
 from holdgraph.sources import derived
 from holdgraph.sources import loaders as B
@@ -80,28 +81,29 @@ def company_map(spark, sf_dir):
 def confirming_sources(spark, sf_dir):
     """How many sources confirm an identifier (AG24)."""
     j = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey")
-    return j.groupBy("c_custkey").agg(F.countDistinct("l_suppkey").alias("n_suppliers")).withColumn("confirmed", F.col("n_suppliers") >= 2)
+    return rollups.confirmed(j, ["c_custkey"], "l_suppkey").withColumnRenamed("n_sources", "n_suppliers")
 
 
 @query("""SELECT user_id, event_id, place FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events) WHERE place <= 3""")
 def latest_answers(spark, sf_dir):
     """The latest three answers of a subject (WN13)."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("place", k).where("place <= 3").select("user_id", "event_id", "place")
+    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    top = rollups.top_per(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 3)
+    return top.select("user_id", "event_id", F.row_number().over(order).alias("place"))
 
 
 @query("""WITH f AS (SELECT user_id, event_id, user_id // 4 AS canonical FROM events) SELECT canonical, min(event_id) AS event_id FROM f GROUP BY canonical""")
 def frontier_once(spark, sf_dir):
     """Frontier nodes by canonical id, the first wins (WN17)."""
-    return table(spark, sf_dir, "events").groupBy(F.floor(F.col("user_id") / 4).alias("canonical")).agg(F.min("event_id").alias("event_id"))
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 4).alias("canonical"), "event_id")
+    return rollups.first_per(e, ["canonical"], ["event_id"]).select("canonical", "event_id")
 
 
 @query("""SELECT user_id, count(*) AS n_positions, bool_or(value > 50) AS pep FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id HAVING bool_or(value > 50)""")
 def open_positions(spark, sf_dir):
     """Persons with a position that has not ended (RK5)."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase"))
-    roles = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_positions"), F.collect_list(F.when(F.col("value") <= 50, F.lit("ended")).otherwise("open")).alias("ends"))
-    return roles.where(F.array_contains("ends", "open")).select("user_id", "n_positions", F.lit(True).alias("pep"))
+    return risk.open_positions(e, "user_id", F.col("value") <= 50).select("user_id", "n_positions", "pep")
 
 
 @query("""SELECT o_orderkey, o_custkey, p_brand IS NOT NULL AS sanctioned FROM orders LEFT JOIN (SELECT DISTINCT p_size AS k, min(p_brand) AS p_brand FROM part WHERE contains(p_type, 'STEEL') OR p_size % 7 = 0 GROUP BY p_size) s ON s.k = o_custkey % 50""")
@@ -116,10 +118,10 @@ def sanctioned_overlay(spark, sf_dir):
 def signal_kinds(spark, sf_dir):
     """Signals by kind, a missing kind counts as risk (PF10)."""
     kind = F.when(F.col("event_type") == "view", "context").when(F.col("event_type") != "error", "risk")
-    return table(spark, sf_dir, "events").groupBy(F.coalesce(kind, F.lit("risk")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "events").groupBy(risk.signal_kind(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'withheld by licence' ELSE lang END AS shown FROM documents""")
 def redacted_payloads(spark, sf_dir):
     """Payloads withheld by licence (PF11)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source").isin("src0", "src1"), "withheld by licence").otherwise(F.col("lang")).alias("shown"))
+    return table(spark, sf_dir, "documents").select("doc_id", risk.redacted(F.col("lang"), F.col("source"), ("src0", "src1")).alias("shown"))

@@ -149,11 +149,14 @@ def signal_dedupe(spark, sf_dir):
     return risk.merged(s, ["bundle_id", "code"], [F.desc("rank"), F.col("seq")])
 
 
-@query("""WITH s AS (SELECT user_id, event_type AS source, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'error' END AS reason FROM events)
-SELECT user_id AS bundle_id, source, count(*) AS n_failed, CASE min(CASE reason WHEN 'rate_limited' THEN 1 WHEN 'timeout' THEN 2 ELSE 3 END) WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'timeout' ELSE 'error' END AS reason FROM s WHERE reason IS NOT NULL GROUP BY user_id, source""")
+@query("""WITH s AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN event_type ELSE 'upstream' END AS source, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'error' END AS reason FROM events),
+n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT s.user_id AS bundle_id, source, count(*) AS n_failed, n.n AS n_names, CASE min(CASE reason WHEN 'rate_limited' THEN 1 WHEN 'timeout' THEN 2 ELSE 3 END) WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'timeout' ELSE 'error' END AS reason,
+  CASE source WHEN 'click' THEN 'RELATED_SANCTIONED,RELATED_PEP' WHEN 'view' THEN 'RELATED_PEP' ELSE 'RELATED_PEP,RELATED_SANCTIONED' END AS codes FROM s JOIN n USING (user_id) WHERE reason IS NOT NULL GROUP BY s.user_id, source, n.n""")
 def degraded_sources(spark, sf_dir):
-    """Screens that did not run, with the headline reason (RK21, AG4, AG25)."""
-    k = F.col("event_id") % 4
-    s = derived.table(spark, sf_dir, "events").select(F.col("user_id").alias("bundle_id"), F.col("event_type").alias("source"), F.when(k == 0, "timeout").when(k == 1, "rate_limited").when(k == 2, "error").alias("reason")).where("reason IS NOT NULL")
-    order = F.when(F.col("reason") == "rate_limited", 1).when(F.col("reason") == "timeout", 2).otherwise(3)
-    return s.groupBy("bundle_id", "source").agg(F.count(F.lit(1)).alias("n_failed"), F.min_by("reason", order).alias("reason"))
+    """Screens that did not run: for how many names, why, and which signals may be missing (RK21, AG4, AG25)."""
+    e, k = derived.table(spark, sf_dir, "events"), F.col("event_id") % 4
+    failures = e.select(F.col("user_id").alias("bundle_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("source"), F.when(k == 0, "timeout").when(k == 1, "rate_limited").when(k == 2, "error").alias("reason")).where("reason IS NOT NULL")
+    names = e.groupBy(F.col("user_id").alias("bundle_id")).agg(F.count(F.lit(1)).alias("n_names"))
+    out = risk.degraded(failures, names, {"click": ("RELATED_SANCTIONED", "RELATED_PEP"), "view": ("RELATED_PEP",)})
+    return out.withColumn("codes", F.array_join("codes", ","))

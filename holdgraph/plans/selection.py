@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdgraph.functions import codelists as C
 from holdgraph.functions import scalars as S
-from holdgraph.operators import graph, screening
+from holdgraph.operators import graph, risk, screening
 from holdgraph.operators import selection as L
 from holdgraph.plans.ownership import EDGES, edges
 from holdgraph.plans.registry import query
@@ -127,11 +127,12 @@ def corporate_recursion(spark, sf_dir):
     return graph.walks(e, 3).groupBy(F.col("start").alias("root"), "node").agg(F.min("depth").alias("depth"))
 
 
-@query("""SELECT source_id, n_leads FROM (SELECT source AS source_id, count(DISTINCT doc_id) AS n_leads FROM documents WHERE contains(lower(text), 'http') OR starts_with(lower(text), 'the ') GROUP BY source)""")
+@query("""SELECT source AS source_id, count(DISTINCT doc_id) AS n_leads FROM documents WHERE starts_with(source, 'src1') OR contains(lower(text), 'http') GROUP BY source""")
 def leak_collections(spark, sf_dir):
-    """Collections told by prefix, else by fragment (RK4)."""
-    hit = F.lower("text").contains("http") | F.lower("text").startswith("the ")
-    return table(spark, sf_dir, "documents").where(hit).groupBy(F.col("source").alias("source_id")).agg(F.countDistinct("doc_id").alias("n_leads"))
+    """Collections told by how their id begins, else by a fragment of their label (RK4)."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("bundle_id"), F.col("doc_id").alias("hit_id"), F.col("source").alias("foreign_id"), F.col("text").alias("label"))
+    hits = risk.leak_collections(d, ("src1",), ("http",))
+    return hits.groupBy(F.col("bundle_id").alias("source_id")).agg(F.countDistinct("hit_id").alias("n_leads"))
 
 
 @query(f"""WITH {derived.SQL}, bad AS (SELECT statement_id, 'unreferenced' AS issue FROM entity WHERE statement_id NOT IN (SELECT subject_id FROM relationship) AND statement_id NOT IN (SELECT party_id FROM relationship WHERE party_id IS NOT NULL)

@@ -83,3 +83,39 @@ def stacked_sheets(sheets: dict[str, DataFrame], columns: dict[str, tuple[str, .
         one = sheet.select(F.lit(name).alias("sheet"), *pick)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def upserted(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """One row a key, the last by seq."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("r")).select(key, *(F.col("r")[c].alias(c) for c in rest))
+
+
+def parent_links(rows: DataFrame, kinds: tuple[str, ...] = ("direct", "ultimate")) -> DataFrame:
+    """key and, of each kind, the parent of its last published row (a blank status counts as published). rows: key, seq,
+    kind, parent, status."""
+    published = rows.where(F.upper(F.coalesce(F.trim("status"), F.lit(""))).isin("", "PUBLISHED"))
+    last = lambda kind: F.max_by("parent", F.when(F.col("kind") == kind, F.col("seq"))).alias(f"{kind}_parent")
+    return published.groupBy("key").agg(*map(last, kinds))
+
+
+def preferred_names(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """key and a column for each language: the name of the lowest priority, the first row of ties; blanks count for
+    nothing. rows: key, lang, priority, seq, name."""
+    best = rows.where(F.coalesce(F.trim(F.col("name").cast("string")), F.lit("")) != "").groupBy("key", "lang").agg(F.min_by("name", F.struct("priority", "seq")).alias("name"))
+    return best.groupBy("key").pivot("lang", languages).agg(F.first("name"))
+
+
+def securities_index(rows: DataFrame) -> DataFrame:
+    """lei, n_isins, sanctioned, name, first_row of rows (seq, lei, isins: cell of several, name, sanctioned, blocked) of
+    which a mark says that trade is barred."""
+    barred = rows.where(F.col("sanctioned") | F.col("blocked"))
+    each = barred.select("lei", "sanctioned", "seq", "name", F.explode(F.filter(F.split("isins", "[; ]"), lambda c: F.trim(c) != "")).alias("isin"))
+    return each.groupBy("lei").agg(F.countDistinct("isin").alias("n_isins"), F.bool_or("sanctioned").alias("sanctioned"), F.min_by("name", "seq").alias("name"), F.min("seq").alias("first_row"))
+
+
+def scraped(pages: DataFrame, key: str, html: str, patterns: dict[str, tuple[str, int]]) -> DataFrame:
+    """key, field, place, value: what each pattern (with the group that counts) finds on a page, in order."""
+    found = F.array(*(F.struct(F.lit(name).alias("field"), F.regexp_extract_all(html, F.lit(p), F.lit(g)).alias("values")) for name, (p, g) in patterns.items()))
+    each = pages.select(key, F.inline(found))
+    return each.select(key, "field", F.posexplode("values").alias("place", "value"))
