@@ -55,6 +55,25 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 3) -> DataFram
     return seen
 
 
+def expansion(edges: DataFrame, roots: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Layers of owners above each root, every node once: root, node, depth; and root, truncated. A layer takes at most `most`
+    nodes of a root (the first by id) and goes on from these; what is left out is said, not lost in silence.
+    edges: owner_id, subject_id, ended (edges that have ended lead nowhere). roots: root."""
+    up = edges.where("NOT ended").select(F.col("subject_id").alias("node"), F.col("owner_id").alias("next")).where("next IS NOT NULL").distinct()
+    front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
+    seen, cut = front, None
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("node"))
+    for d in range(1, depth + 1):
+        reached = front.join(up, "node").select("root", F.col("next").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        layer = written(reached.withColumn("depth", F.lit(d)).withColumn("place", rank), "layer")
+        front = layer.where(F.col("place") <= most).drop("place")
+        over = layer.where(F.col("place") > most).select("root")
+        cut = over if cut is None else cut.unionByName(over)
+        seen = seen.unionByName(front)
+    truncated = roots.select("root").distinct().join(cut.distinct().withColumn("truncated", F.lit(True)), "root", "left").select("root", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    return seen.where("depth > 0"), truncated
+
+
 def on_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes of bundles (bundle_id, node) that lie on a cycle or between cycles: what is left after those that
     nobody owns any more, and those that own nothing any more, are peeled off until all stay."""

@@ -119,12 +119,21 @@ def match_probability(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(p, 9).alias("p"))
 
 
-@query(f"""WITH {EDGES}, hop1 AS (SELECT subject_id AS root, owner_id AS node FROM edge WHERE type = 'shareholding'), hop2 AS (SELECT h.root, e.owner_id AS node FROM hop1 h JOIN edge e ON e.subject_id = h.node AND e.type = 'shareholding'), hop3 AS (SELECT h.root, e.owner_id AS node FROM hop2 h JOIN edge e ON e.subject_id = h.node AND e.type = 'shareholding')
-SELECT root, node, CAST(min(d) AS INTEGER) AS depth FROM (SELECT *, 1 AS d FROM hop1 UNION ALL SELECT *, 2 FROM hop2 UNION ALL SELECT *, 3 FROM hop3) GROUP BY root, node""")
+def _layer(d: int, most: int) -> str:
+    """The d-th layer: what the one before leads to, less what is known, ranked; its first `most` go on."""
+    known = " AND ".join(f"NOT EXISTS (SELECT 1 FROM keep{k} s WHERE s.root = x.root AND s.node = x.node)" for k in range(d))
+    return f"""next{d} AS (SELECT DISTINCT k.root, e.owner_id AS node FROM keep{d - 1} k JOIN live e ON e.subject_id = k.node), rank{d} AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY node) AS place FROM next{d} x WHERE {known}), keep{d} AS (SELECT root, node FROM rank{d} WHERE place <= {most})"""
+
+
+@query(f"""WITH {derived.SQL}, live AS (SELECT subject_id, party_id AS owner_id FROM relationship WHERE party_id IS NOT NULL AND status <> 'closed'), keep0 AS (SELECT statement_id AS root, statement_id AS node FROM entity), {_layer(1, 1)}, {_layer(2, 1)}, {_layer(3, 1)},
+cut AS (SELECT DISTINCT root FROM (SELECT root FROM rank1 WHERE place > 1 UNION ALL SELECT root FROM rank2 WHERE place > 1 UNION ALL SELECT root FROM rank3 WHERE place > 1))
+SELECT e.statement_id AS root, u.node, u.depth, c.root IS NOT NULL AS truncated FROM entity e LEFT JOIN (SELECT root, node, 1 AS depth FROM keep1 UNION ALL SELECT root, node, 2 FROM keep2 UNION ALL SELECT root, node, 3 FROM keep3) u ON u.root = e.statement_id LEFT JOIN cut c ON c.root = e.statement_id""")
 def corporate_recursion(spark, sf_dir):
-    """Corporate holders to depth three, each once (GR11-GR13, GR15)."""
-    e = edges(spark, sf_dir).where("type = 'shareholding'")
-    return graph.walks(e, 3).groupBy(F.col("start").alias("root"), "node").agg(F.min("depth").alias("depth"))
+    """Owners in layers to depth three, each once, ended links left out; a bounded layer says when it was cut (GR11-GR13, GR15)."""
+    e, r = derived.entities(spark, sf_dir), derived.relationships(spark, sf_dir)
+    edges_ = r.select(F.col("party_id").alias("owner_id"), "subject_id", (F.col("status") == "closed").alias("ended"))
+    nodes, cut = graph.expansion(edges_, e.select(F.col("statement_id").alias("root")), 3, 1)
+    return cut.join(nodes, "root", "left").select("root", "node", "depth", "truncated")
 
 
 @query("""SELECT source AS source_id, count(DISTINCT doc_id) AS n_leads FROM documents WHERE starts_with(source, 'src1') OR contains(lower(text), 'http') GROUP BY source""")
