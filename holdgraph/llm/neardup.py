@@ -215,20 +215,31 @@ def _found(nodes: DataFrame, overlap: int, threshold: float) -> DataFrame:
     component, or itself); a node may have more rows, with 0 in linked. nodes: node, v, copies."""
     dealt = _shards(nodes, overlap)
     shard = ["part", "shard"]
+    # Two nodes within the threshold of one query are at most twice that angle apart, so no way of a range
+    # search takes an edge that is longer.
+    apart = 2 * threshold**2 - 1 - 1e-9 if threshold > 0 else -1.0
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        source, target = robust_prune(unit(stacked(pdf["v"])))
+        x = unit(stacked(pdf["v"]))
+        source, target = robust_prune(x)
         ids = pdf["node"].to_numpy()
         order = np.argsort(source, kind="stable")
         source, target = source[order], target[order]
-        cut = np.searchsorted(source, np.arange(len(ids) + 1))
-        return pd.DataFrame({"node": ids, "to": [ids[target[cut[i] : cut[i + 1]]] for i in range(len(ids))]})
-
-    lists = dealt.select(*shard, "node", "v").groupBy(*shard).applyInPandas(build, "node long, to array<long>")
-    edges = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")), "edges")
-    # A shard searches its own nodes, and those that their lists lead to outside of it.
-    own = dealt.join(edges, "node").select(*shard, "node", "v", "copies", "to", "home")
-    outside = own.select(*shard, F.explode("to").alias("node")).distinct().join(dealt.select(*shard, "node"), [*shard, "node"], "left_anti")
+        wide = np.zeros(len(source), dtype=bool)
+        for a in range(0, len(source), 50_000):
+            wide[a : a + 50_000] = np.einsum("ij,ij->i", x[source[a : a + 50_000]], x[target[a : a + 50_000]]) >= apart
+        lists = []
+        for some in (np.ones(len(source), dtype=bool), wide):
+            cut = np.searchsorted(source[some], np.arange(len(ids) + 1))
+            lists.append([ids[target[some][cut[i] : cut[i + 1]]] for i in range(len(ids))])
+        return pd.DataFrame({"node": ids, "to": lists[0], "wide": lists[1]})
+
+    lists = dealt.select(*shard, "node", "v").groupBy(*shard).applyInPandas(build, "node long, to array<long>, wide array<long>")
+    united = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    edges = written(lists.groupBy("node").agg(united("to"), united("wide")), "edges")
+    # A shard searches its own nodes, and those that their wide lists lead to outside of it.
+    own = dealt.join(edges, "node").select(*shard, "node", "v", "copies", "to", "home", "wide")
+    outside = own.select(*shard, F.explode("wide").alias("node")).distinct().join(dealt.select(*shard, "node"), [*shard, "node"], "left_anti")
     halo = outside.join(nodes, "node").join(edges, "node").select(*shard, "node", "v", "copies", "to", F.lit(False).alias("home"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +271,7 @@ def _found(nodes: DataFrame, overlap: int, threshold: float) -> DataFrame:
         rows = np.flatnonzero(home | (parent != np.arange(len(ids))))
         return pd.DataFrame({"node": ids[rows], "linked": np.where(home, linked, 0)[rows], "root": ids[parent[rows]]})
 
-    return written(own.unionByName(halo).groupBy(*shard).applyInPandas(search, _COUNTED), "found")
+    return written(own.drop("wide").unionByName(halo).groupBy(*shard).applyInPandas(search, _COUNTED), "found")
 
 
 def exact_links(nodes: DataFrame, threshold: float) -> DataFrame:
