@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from holdgraph import components as stars
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
-from holdgraph.operators import exports, graph, resolution, risk, rollups, selection, timeline
+from holdgraph.operators import exports, graph, narrative, resolution, risk, rollups, screening, selection, timeline
 from holdgraph.sources import statements
 from holdgraph.streaming import changes
 
@@ -27,7 +27,7 @@ def test_longest_chain_is_cycle_safe(spark):
     assert (got.layers, got.path) == (3, ["a", "b", "c"])
     ring = graph.longest_chains(edges(spark, [("a", "b"), ("b", "c"), ("c", "a")])).first()
     assert (ring.layers, ring.path) == (3, ["a", "b", "c"])
-    assert graph.longest_chains(edges(spark, [("a", "a")])) is None
+    assert graph.longest_chains(edges(spark, [("a", "a")])).count() == 0
 
 
 def test_longest_chain_starts_on_cycles_too(spark):
@@ -172,8 +172,8 @@ def test_anchored_clusters_hang_on_the_first_event(spark):
 
 
 def test_possibly_same_treats_missing_years_as_compatible(spark):
-    rows = [(1, "n", "GB", 2000, ["a"]), (2, "n", "GB", None, ["b"]), (3, "n", "GB", 2001, ["c"]), (4, "n", "GB", 2000, ["a"])]
-    df = spark.createDataFrame(rows, "id int, name_key string, jurisdiction string, year int, keys array<string>")
+    rows = [(1, ["n"], "GB", 2000, ["a"]), (2, ["n", "x"], "GB", None, ["b"]), (3, ["n"], "GB", 2001, ["c"]), (4, ["n"], "GB", 2000, ["a"]), (5, ["n"], "", None, [])]
+    df = spark.createDataFrame(rows, "id int, name_keys array<string>, jurisdiction string, year int, keys array<string>")
     assert {(r.a, r.b) for r in resolution.possibly_same(df).collect()} == {(1, 2), (2, 3), (2, 4)}
 
 
@@ -205,10 +205,76 @@ def test_contained_forms_of_any_length(spark):
 
 def test_validated_claims(spark):
     claims = spark.createDataFrame([(1, ["f1"]), (2, ["f1", "f9"]), (3, []), (4, None)], "claim_id int, cited array<string>")
-    evidence = spark.createDataFrame([("f1",)], "id string")
-    assert {r.claim_id for r in selection.validated(claims, evidence).where("kept").collect()} == {1}
+    claims = claims.withColumn("bundle_id", F.lit("b"))
+    evidence = spark.createDataFrame([("b", "f1", "f", "s1"), ("b", "g1", "g", "icij"), ("c", "f9", "f", "s2")], "bundle_id string, evidence_id string, part string, ref string")
+    judged, summaries, gaps = narrative.validated(claims, evidence)
+    assert {(r.claim_id, r.kept, r.unknown) for r in judged.collect()} == {(1, True, 0), (2, False, 1), (3, False, 0), (4, False, 0)}
+    assert [(r.bundle_id, r.stands) for r in summaries.collect()] == [("b", False)]
+    assert [(r.evidence_id, r.ref) for r in gaps.collect()] == [("g1", "icij")]
+
+
+def statement(sid, kind, **details):
+    return ("b", json.dumps({"statementId": sid, "recordType": kind, "recordDetails": details}))
+
+
+def assessed(spark, *lines, filings=None):
+    got = risk.assessed(*statements.typed(statements.parsed(spark.createDataFrame(list(lines), "bundle_id string, value string"))), filings)
+    return {r.code: (r.confidence, r.kind, r.n_matches, r.detail) for r in got.collect()}
+
+
+def entity(sid, **more):
+    return statement(sid, "entity", **({"name": sid, "entityType": {"type": "registeredEntity"}} | more))
+
+
+def owns(sid, owner, subject, **more):
+    return statement(sid, "relationship", subject=subject, interestedParty=owner, **({"interests": [{"type": "shareholding"}]} | more))
+
+
+def test_rules_on_statements_as_published(spark):
+    chain = [entity("a", jurisdiction={"code": "DE"}), entity("b", jurisdiction={"code": "kp"}), entity("c", legalForm="Family Foundation"), owns("r1", "a", "b"), owns("r2", {"describedByEntityStatement": "b"}, {"describedByEntityStatement": "c"}), "not json"]
+    lines = [x if isinstance(x, tuple) else ("b", x) for x in chain]
+    lines += [statement("p", "person", personType="anonymousPerson", names=[{"type": "individual", "fullName": "Smith Nominees"}]), owns("r3", {"reason": "interestedPartyHasNotProvidedInformation"}, "a", interests=[])]
+    got = assessed(spark, *lines)
+    assert got["FATF_BLACK_LIST"] == ("high", "risk", 1, "KP") and got["EU_HIGH_RISK_THIRD_COUNTRY"][0] == "high"
+    assert got["TRUST_OR_ARRANGEMENT"][:3] == ("high", "risk", 1) and got["NON_EU_JURISDICTION"] == ("low", "context", 1, "KP")
+    assert got["OPAQUE_OWNERSHIP"][:3] == ("high", "risk", 2) and got["NOMINEE"][:3] == ("medium", "risk", 1)
+    assert got["COMPLEX_OWNERSHIP_LAYERS"] == ("medium", "risk", 3, "a>b>c")
+    assert got["COMPLEX_CORPORATE_STRUCTURE"] == ("high", "risk", 3, "trust/arrangement, non-EU jurisdiction, nominee")
+    assert got["POSSIBLE_OBFUSCATION"][0] == "low"
+
+
+def test_rules_stay_silent(spark):
+    """Names say nothing of the form, persons end a chain, parties without a duty to answer aren't opaque."""
+    got = assessed(spark, entity("a", name="Global Trust Foundation", jurisdiction={"code": "FR"}), entity("b"), statement("p", "person", personType="unknownPerson"), owns("r1", "p", "a"), owns("r2", "a", "b"), owns("r3", {"reason": "noBeneficialOwners"}, "b", interests=[]))
+    assert got == {}
+
+
+def test_filed_nominees_count_alone(spark):
+    nature = "registered-owner-as-nominee-person-scotland-registered-overseas-entity"
+    filings = spark.createDataFrame([("b", nature, None), ("b", nature, "2020-01-01"), ("b", "voting-rights", None)], "bundle_id string, nature string, ceased_on string")
+    got = assessed(spark, owns("r1", "x", "a", interests=[{"type": "shareholding", "details": "as nominee shareholder"}]), filings=filings)
+    assert got["NOMINEE"] == ("high", "risk", 1, nature)
+
+
+def test_verdicts(spark):
+    signals = spark.createDataFrame([("a", "PEP", "risk", 1), ("a", "SANCTIONED", "risk", 1), ("a", "STATE_CONTROLLED", "risk", 1), ("a", "COMPLEX_OWNERSHIP_LAYERS", "risk", 4), ("b", "COMPLEX_OWNERSHIP_LAYERS", "risk", 3), ("c", "NEW_CODE", "risk", 1), ("d", "GLEIF_REPORTING_EXCEPTION", "context", 1)], "bundle_id string, code string, kind string, n_matches long")
+    lost = spark.createDataFrame([("d", "x"), ("e", "x"), ("e", "y"), ("a", "x")], "bundle_id string, source string")
+    subjects = spark.createDataFrame([(c,) for c in "abcdef"], "bundle_id string")
+    got = {r.bundle_id: r.verdict for r in risk.verdicts(subjects, signals, lost).collect()}
+    assert got["a"] == "Sanctions findings on the company itself, and a politically exposed person among the parties named, over an ownership chain 4 layers deep."
+    assert got["b"] == "The records show an ownership chain 3 layers deep." and got["c"] is None
+    assert got["d"] == "No risk signals surfaced, over no parent filed with GLEIF, under a permitted exception, but one check did not run — an empty result there is not a clean screen."
+    assert got["e"] == "No risk signals surfaced, but 2 checks did not run — an empty result there is not a clean screen."
+    assert got["f"] == "No risk signals surfaced across the sources that answered."
+
+
+def test_expansion_says_what_it_leaves_out(spark):
+    e = spark.createDataFrame([("o1", "s", False), ("o2", "s", False), ("o3", "s", True), ("t", "o1", False), ("s", "t", False)], "owner_id string, subject_id string, ended boolean")
+    nodes, cut = graph.expansion(e, spark.createDataFrame([("s",), ("z",)], "root string"), 3, 1)
+    assert {(r.node, r.depth) for r in nodes.collect()} == {("o1", 1), ("t", 2)}
+    assert {(r.root, r.truncated) for r in cut.collect()} == {("s", True), ("z", False)}
 
 
 def test_split_values_and_ladder(spark):
-    got = spark.createDataFrame([(" a; ;b ;", "ann lee", "lee ann")], "c string, a string, b string").select(S.split_values(F.col("c")).alias("v"), selection.name_ladder(F.col("a"), F.col("b")).alias("l")).first()
+    got = spark.createDataFrame([(" a; ;b ;", "ann lee", "lee ann")], "c string, a string, b string").select(S.split_values(F.col("c")).alias("v"), screening.name_ladder(F.col("a"), F.col("b")).alias("l")).first()
     assert (got.v, got.l) == (["a", "b"], 0.97)
