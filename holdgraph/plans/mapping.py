@@ -95,7 +95,7 @@ def nested_identifiers(spark, sf_dir):
     text = lambda p: F.concat(F.lit(p), k.cast("string"))
     feature = F.struct(F.when(k % 4 < 2, F.element_at(F.array(F.lit("LEI"), F.lit("bq_lei")), (k % 2 + 1).cast("int"))).otherwise("DUNS").alias("OTHER_ID_TYPE"), text("N").alias("OTHER_ID_NUMBER"), F.when(k % 4 == 2, text("D")).alias("LEI"))
     raw = _landing(table(spark, sf_dir, "part"), k, F.struct(F.when(k % 4 == 0, text("T")).alias("bq_lei"), F.array(F.struct(*(F.lit(None).cast("string").alias(c) for c in ("OTHER_ID_TYPE", "OTHER_ID_NUMBER", "LEI"))), feature).alias("FEATURES")))
-    return raw.select(F.col("key").cast("int").alias("p_partkey"), G.nested_lei().alias("lei"))
+    return raw.select(F.col("key").cast("long").alias("p_partkey"), G.nested_lei().alias("lei"))
 
 
 _CLASSES = ("Q5", "Q7275", "Q157031", "Q7188", "Q1", "Q8436", "Q193076")
