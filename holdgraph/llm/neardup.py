@@ -230,8 +230,8 @@ def _found(nodes: DataFrame, overlap: int, threshold: float) -> DataFrame:
             wide[a : a + 50_000] = np.einsum("ij,ij->i", x[source[a : a + 50_000]], x[target[a : a + 50_000]]) >= apart
         lists = []
         for some in (np.ones(len(source), dtype=bool), wide):
-            cut = np.searchsorted(source[some], np.arange(len(ids) + 1))
-            lists.append([ids[target[some][cut[i] : cut[i + 1]]] for i in range(len(ids))])
+            to, cut = ids[target[some]], np.searchsorted(source[some], np.arange(len(ids) + 1))
+            lists.append([to[cut[i] : cut[i + 1]] for i in range(len(ids))])
         return pd.DataFrame({"node": ids, "to": lists[0], "wide": lists[1]})
 
     lists = dealt.select(*shard, "node", "v").groupBy(*shard).applyInPandas(build, "node long, to array<long>, wide array<long>")
