@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdgraph.llm import bpe, chat, licenses, neardup, ngramjoin, packing, substring, tokens, topk, toxicity
+from holdgraph.llm import bpe, chat, codes, licenses, mixing, neardup, negatives, ngramjoin, packing, substring, tokens, topk, toxicity
 from holdgraph.llm.session import table, with_small_batches
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id's label is moved on by one, so that labels and vectors disagree there."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: with_small_batches(f)
     for f in (
@@ -78,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_exact_top_k,
         op10_license_scan,
+        op11_source_mix,
+        op12_hard_negatives,
+        op13_vector_codes,
     )
 }
 
@@ -98,6 +115,9 @@ part AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN part ON d.doc_id = part.doc_id""",
     "op10_license_scan": licenses.SCAN_SQL,
+    "op11_source_mix": mixing.MIX_SQL,
+    "op12_hard_negatives": negatives.MINE_SQL,
+    "op13_vector_codes": codes.CODES_SQL,
     "op4_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -22,3 +22,11 @@ def one_per_id(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def stacked(column) -> np.ndarray:
     """Rows of a column of arrays as a matrix of doubles."""
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
+
+
+def labelled_per_id(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """vec_id, v, label: of usable rows that share an id the one with the smallest vector, then label (null
+    first); no null ids."""
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
+    v = v.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("row"))
+    return v.select("vec_id", "row.v", "row.label")
