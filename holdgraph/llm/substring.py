@@ -11,17 +11,19 @@ words; every word under one of them goes.
 
 Hashes of words and windows are made in numpy over Arrow batches; a batch sends each of its distinct
 blocks once, so a passage that a third of all rows hold costs one row for each batch in the join.
+A text is known by its id and 64 bits of its content: rows that have both are the same text, whose blocks
+and windows a task sends once, however often the row is repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,8 @@ LENGTH, GRAM = 20, 5
 PLACES = LENGTH - GRAM + 1
 #: Blocks (or windows) among which a task finds repeats by itself before it sends them on.
 HELD = 200_000
-#: A block is packed as start | windows | tag of its text.
-COUNT_BITS, TAG_BITS = 5, 23
+#: A block is packed as start | windows. A task remembers so many texts to skip their copies.
+COUNT_BITS, REMEMBERED = 5, 100_000
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -51,10 +53,25 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)), offsets
 
 
-def _tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each text's checksum: they tell apart rows that share an id."""
+def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits of each text's content: with the id they say which rows are the same text."""
     view = memoryview(data)
-    return np.array([zlib.crc32(view[a:b]) & ((1 << TAG_BITS) - 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+
+
+class _Copies:
+    """Whether a text was met before. What is forgotten only costs repeated work."""
+
+    def __init__(self) -> None:
+        self.met: set[tuple[int, int]] = set()
+
+    def new(self, key: int, mark: int) -> bool:
+        if (key, mark) in self.met:
+            return False
+        if len(self.met) >= REMEMBERED:
+            self.met.clear()
+        self.met.add((key, mark))
+        return True
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,16 +117,20 @@ def blocks(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _block_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Arrays of doc, packed place, anchor, words; as many as HELD at once, or one slice's."""
-    held, count = [], 0
+    """Arrays of doc, packed place, anchor, words, content; as many as HELD at once, or one slice's."""
+    held, count, copies = [], 0, _Copies()
     for batch in batches:
-        data, offsets = _bytes(batch.column("_text"))
-        ids = batch.column("_key").to_numpy(zero_copy_only=False)
-        tags = _tags(data, offsets)
+        texts, ids = batch.column("_text"), batch.column("_key").to_numpy(zero_copy_only=False)
+        data, offsets = _bytes(texts)
+        marks = _marks(data, offsets)
+        first = [i for i, (k, m) in enumerate(zip(ids.tolist(), marks.tolist(), strict=True)) if copies.new(k, m)]
+        if len(first) < len(ids):
+            data, offsets = _bytes(texts.take(pa.array(first, pa.int64())))
+            ids, marks = ids[first], marks[first]
         for a, b in textkit.slices(np.diff(offsets).tolist()):
             words, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1])
             text, start, n, anchor, whole = blocks(words, bounds)
-            held.append([ids[a + text], start << (COUNT_BITS + TAG_BITS) | n << TAG_BITS | tags[a + text], anchor, whole])
+            held.append([ids[a + text], start << COUNT_BITS | n, anchor, whole, marks[a + text]])
             count += len(text)
             if count >= HELD:
                 yield [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -137,7 +158,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every anchor of a batch once: how often, and the least and greatest hash of its blocks' words."""
-    for _, _, anchor, whole in _block_arrays(batches):
+    for _, _, anchor, whole, _ in _block_arrays(batches):
         order = np.lexsort((whole, anchor))
         anchor, whole = anchor[order], whole[order].view(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
@@ -145,11 +166,11 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc, packed, anchor, whole in _block_arrays(batches):
-        again = ~_first_of_equals([whole, anchor], doc, packed >> (COUNT_BITS + TAG_BITS))
+    for doc, packed, anchor, whole, mark in _block_arrays(batches):
+        again = ~_first_of_equals([whole, anchor], doc, packed >> COUNT_BITS)
         # Known repeats need no partner any more: they travel with the others under keys of their own.
         anchor = np.where(again, finalise(anchor + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + packed.astype(np.uint64)), anchor)
-        yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(whole), pa.array(doc, pa.int64()), pa.array(packed, pa.int64()), pa.array(again, pa.bool_())], names=["anchor", "whole", "doc", "packed", "again"])
+        yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(whole), *(pa.array(x, pa.int64()) for x in (doc, mark, packed)), pa.array(again, pa.bool_())], names=["anchor", "whole", "doc", "mark", "packed", "again"])
 
 
 def _packed_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +180,7 @@ def _packed_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = memoryview(data)
         size = np.diff(offsets)
         texts = [pa.compress(view[a:b], codec="zstd", asbytes=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), pa.array(_tags(data, offsets), pa.int64()), pa.array(size, pa.int64()), pa.array(texts, pa.binary())], names=["_row", "_key", "_tag", "_size", "_blob"])
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), pa.array(_marks(data, offsets), pa.int64()), pa.array(size, pa.int64()), pa.array(texts, pa.binary())], names=["_row", "_key", "_mark", "_size", "_blob"])
 
 
 def _unpacked(blob: bytes, size: int) -> bytes:
@@ -168,25 +189,25 @@ def _unpacked(blob: bytes, size: int) -> bytes:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the blocks that still have to be compared window by window."""
-    held, count = [], 0
+    held, count, copies = [], 0, _Copies()
 
     def flush() -> pa.RecordBatch:
-        doc, packed, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        again = ~_first_of_equals([a, b], doc, packed >> TAG_BITS)
-        a = np.where(again, finalise(a + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + packed.astype(np.uint64)), a)
-        return pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array(doc, pa.int64()), pa.array(packed, pa.int64()), pa.array(again, pa.bool_())], names=["a", "b", "doc", "packed", "again"])
+        doc, mark, start, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        again = ~_first_of_equals([a, b], doc, start)
+        a = np.where(again, finalise(a + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)), a)
+        return pa.RecordBatch.from_arrays([_signed(a), _signed(b), *(pa.array(x, pa.int64()) for x in (doc, mark, start)), pa.array(again, pa.bool_())], names=["a", "b", "doc", "mark", "start", "again"])
 
     for batch in batches:
-        for key, tag, size, blob, open_ in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "_size", "_blob", "_open")), strict=True):
-            if not open_:
+        for key, mark, size, blob, open_ in zip(*(batch.column(c).to_pylist() for c in ("_key", "_mark", "_size", "_blob", "_open")), strict=True):
+            if not open_ or not copies.new(key, mark):
                 continue
             text = np.frombuffer(_unpacked(blob, size), dtype=np.uint8)
             words, _ = word_hashes(text, np.array([0, len(text)]))
             block = np.array(open_, dtype=np.int64)
-            n = block >> TAG_BITS & ((1 << COUNT_BITS) - 1)
-            start = np.unique(textkit.ragged_index(block >> (COUNT_BITS + TAG_BITS), n))
+            n = block & ((1 << COUNT_BITS) - 1)
+            start = np.unique(textkit.ragged_index(block >> COUNT_BITS, n))
             hashes = [Spans(words, seed).hashes(start, start + LENGTH) for seed in (1, 2)]
-            held.append([np.full(len(start), key, dtype=np.int64), start << TAG_BITS | tag, *hashes])
+            held.append([np.full(len(start), key, dtype=np.int64), np.full(len(start), mark, dtype=np.int64), start, *hashes])
             count += len(start)
             if count >= HELD:
                 yield flush()
@@ -229,28 +250,28 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
     # Seeds: anchors that occur more than once, and whether all their blocks are the same.
     seeds = keyed.mapInArrow(_seeds, "anchor long, n long, lo long, hi long").groupBy("anchor").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     seeds = written(seeds.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("parts")), "seeds")
-    found = keyed.mapInArrow(_blocks, "anchor long, whole long, doc long, packed long, again boolean").join(seeds, "anchor", "left").where("again OR parts IS NOT NULL")
+    found = keyed.mapInArrow(_blocks, "anchor long, whole long, doc long, mark long, packed long, again boolean").join(seeds, "anchor", "left").where("again OR parts IS NOT NULL")
 
     # Extend: blocks that are the same to both ends; all but the first of them repeat whole. Dealt by
     # both hashes, so that a common line in many surroundings is not one task's.
-    place = F.shiftright("packed", COUNT_BITS + TAG_BITS)
+    place = F.shiftright("packed", COUNT_BITS)
     rank = F.rank().over(Window.partitionBy("anchor", "whole").orderBy("doc", place))
     judged = found.repartition("anchor", "whole").withColumn("repeat", F.col("again") | (rank > 1)).where("repeat OR parts")
-    tag = F.col("packed").bitwiseAND((1 << TAG_BITS) - 1)
-    spans = judged.groupBy(F.col("doc").alias("_key"), tag.alias("_tag")).agg(F.collect_list(F.when(F.col("repeat"), F.col("packed"))).alias("_spans"), F.collect_list(F.when(~F.col("repeat"), F.col("packed"))).alias("_open"))
+    text = [F.col("doc").alias("_key"), F.col("mark").alias("_mark")]
+    spans = judged.groupBy(*text).agg(F.collect_set(F.when(F.col("repeat"), F.col("packed"))).alias("_spans"), F.collect_set(F.when(~F.col("repeat"), F.col("packed"))).alias("_open"))
 
     # Each text meets its blocks.
     row_type = rows.schema["_row"]
-    packed_schema = T.StructType([row_type, *(T.StructField(n, t) for n, t in (("_key", T.LongType()), ("_tag", T.LongType()), ("_size", T.LongType()), ("_blob", T.BinaryType())))])
-    met = rows.mapInArrow(_packed_text, packed_schema).join(spans, ["_key", "_tag"], "left")
+    packed_schema = T.StructType([row_type, *(T.StructField(n, t) for n, t in (("_key", T.LongType()), ("_mark", T.LongType()), ("_size", T.LongType()), ("_blob", T.BinaryType())))])
+    met = rows.mapInArrow(_packed_text, packed_schema).join(spans, ["_key", "_mark"], "left")
 
     # Windows one by one, where blocks share an anchor and part ways. Both uses of `met` take all its
     # columns and rows, so they read the same exchanges; the join below keeps its partitioning: no text
     # moves a second time.
-    singles = met.mapInArrow(_windows, "a long, b long, doc long, packed long, again boolean")
-    rank = F.rank().over(Window.partitionBy("a", "b").orderBy("doc", F.shiftright("packed", TAG_BITS)))
+    singles = met.mapInArrow(_windows, "a long, b long, doc long, mark long, start long, again boolean")
+    rank = F.rank().over(Window.partitionBy("a", "b").orderBy("doc", "start"))
     again = singles.withColumn("repeat", F.col("again") | (rank > 1)).where("repeat")
-    more = again.groupBy(F.col("doc").alias("_key"), tag.alias("_tag")).agg(F.collect_list(F.shiftright("packed", TAG_BITS)).alias("_windows"))
+    more = again.groupBy(*text).agg(F.collect_set("start").alias("_windows"))
     end_schema = T.StructType([row_type, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +280,8 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
             for size, blob, spans_, windows in zip(*(batch.column(c).to_pylist() for c in ("_size", "_blob", "_spans", "_windows")), strict=True):
                 words = _unpacked(blob, size).split()
                 block, single = np.array(spans_ or [], dtype=np.int64), np.array(windows or [], dtype=np.int64)
-                start = block >> (COUNT_BITS + TAG_BITS)
-                end = start + (block >> TAG_BITS & ((1 << COUNT_BITS) - 1)) + LENGTH - 1
+                start = block >> COUNT_BITS
+                end = start + (block & ((1 << COUNT_BITS) - 1)) + LENGTH - 1
                 left = _kept(words, np.concatenate([start, single]), np.concatenate([end, single + LENGTH]))
                 whole = b" ".join(left)
                 n_words.append(len(words))
@@ -268,5 +289,5 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
                 kept.append(whole if texts else hashlib.sha256(whole).hexdigest().encode())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=end_schema.names)
 
-    finished = met.join(more, ["_key", "_tag"], "left").mapInArrow(last, end_schema)
+    finished = met.join(more, ["_key", "_mark"], "left").mapInArrow(last, end_schema)
     return finished.select("_row", F.col("_row").getField(id_col).alias("doc_id"), "n_words", "n_removed", "kept")

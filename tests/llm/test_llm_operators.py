@@ -3,6 +3,7 @@ ties, repeated rows, empty tables and columns whose names clash."""
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -123,6 +124,59 @@ def test_substring_dedup_null_ids(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in got} == {(None, 0), (1, 30)}
 
 
+def brute_repeats_by_row(data):
+    """As brute_repeats, for rows that may share an id (null first) and count as one document then."""
+    first = {}
+    cut = [(i is not None, i or 0, (text or "").encode().split()) for i, text in data]
+    for known, i, words in cut:
+        for s in range(len(words) - 19):
+            w = tuple(words[s : s + 20])
+            first[w] = min(first.get(w, (known, i, s)), (known, i, s))
+    out = []
+    for (i, _), (known, key, words) in zip(data, cut, strict=True):
+        gone = {p for s in range(len(words) - 19) if first[tuple(words[s : s + 20])] != (known, key, s) for p in range(s, s + 20)}
+        out.append((i, len(words), len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone).decode()))
+    return out
+
+
+def by_row(spark, data, parts):
+    got = collected(substring.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)))
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got)
+
+
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    """Two texts under one id whose checksums agree in their low 23 bits, one of which repeats another's."""
+    bits = lambda t: zlib.crc32(t.encode()) & ((1 << 23) - 1)
+    passage = " ".join(f"p{k}" for k in range(25))
+    wanted, k = {}, 0
+    while True:
+        text = " ".join(f"u{k}x{j}" for j in range(26))
+        if (other := wanted.setdefault(bits(text), text)) != text:
+            break
+        wanted[bits(f"{passage} n{k}")] = f"{passage} n{k}"
+        k += 1
+    data = [(3, passage), (7, text), (7, other), (7, f"{passage} more"), (7, text)]
+    assert by_row(spark, data, 3) == Counter(brute_repeats_by_row(data))
+
+
+def test_substring_dedup_of_many_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randrange(12, 40))) for _ in range(30)]
+    data = [(rng.choice([None, None, 1, 2, rng.randrange(400)]), " ".join(rng.choices(pool, k=rng.randrange(0, 4)))) for _ in range(5000)]
+    assert by_row(spark, data, 6) == Counter(brute_repeats_by_row(data))
+
+
+def test_substring_dedup_of_equal_rows_is_linear(spark):
+    words = [f"w{k}" for k in range(1500)]
+    for n in (250, 2000):
+        data = [(3, " ".join(words)), *[(5, " ".join(words))] * n, *[(None, " ".join(words[700:900]))] * n]
+        start = time.monotonic()
+        got = by_row(spark, data, 4)
+        took = time.monotonic() - start
+        assert got == Counter({(3, 1500, 200, " ".join(words[:700] + words[900:])): 1, (5, 1500, 1500, ""): n, (None, 200, 0, " ".join(words[700:900])): n})
+    assert took < 120
+
+
 def check_packing(got, text, library, capacity):
     pieces, room = defaultdict(list), defaultdict(list)
     for r in got:
@@ -457,3 +511,32 @@ def test_license_scan(spark, docs, empty):
     got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_base"], r["labels"]) for r in collected(licenses.scan(spark.createDataFrame(clash, "doc_id long, text string, gram long, template string"))))))
     assert got == sorted(map(str, [(None, 6, 2, "cc-by-nc")] * 2 + [(None, 0, 0, ""), (7, 1, 0, ""), (7, 3, 1, "cc-by-nc")]))
     assert licenses.scan(empty).count() == 0
+
+
+def test_top_k_deals_queries_of_equal_need(spark, monkeypatch):
+    """No group of the first round, or of unit vectors, holds more queries than it should."""
+    for name, value in (("BLOCK", 50), ("QUERIES", 8), ("RUN", 16), ("BANDS", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(400, 6))
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    met, kernel = spark.sparkContext.accumulator(0), topk.block_top_k
+
+    def counted(queries, *rest):
+        met.add(int(len(queries) > 24))
+        return kernel(queries, *rest)
+
+    monkeypatch.setattr(topk, "block_top_k", counted)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in collected(topk.exact_top_k(df, F.col("vec_id") % 2 == 0, k=5))}
+    whole = np.floor(64 * np.array(unit)).astype(np.int64)
+    for q in range(0, 400, 2):
+        score = whole @ whole[q]
+        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert met.value == 0
+
+
+def test_held_out_of_a_null_id(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long").select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
+    assert [r.h for r in rows] == [False, *(zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 2))]
