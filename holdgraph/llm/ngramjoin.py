@@ -328,14 +328,17 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Here each class of equal sets is a node, whatever the ids of its rows, so rows go only if their texts
     are linked: of the rows of a component one stays, the one with the smallest id (null first), of rows
-    that share it the one with the smallest checksum. Rows without words link with nothing and all stay."""
+    that share it the one with the smallest checksum. Rows without words link with nothing and all stay. Columns
+    may have any name; an empty table gives an empty one."""
     words = F.coalesce(F.col(text_col).rlike(r"[^\t\n\x0B\f\r ]"), F.lit(False))
-    named = {"_key": _key(id_col), **{m: F.xxhash64(F.lit(k), *docs.columns) for k, m in enumerate(_MARKS)}}
-    rows = docs.where(words).select(*(c.alias(name) for name, c in named.items()), F.col(text_col).alias("_text"))
+    # A hash passes over nulls, so each column says whether it is one.
+    told = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    named = [_key(id_col).alias("_key"), *(F.xxhash64(F.lit(k), *told).alias(m) for k, m in enumerate(_MARKS))]
+    rows = docs.where(words).select(*named, F.col(text_col).alias("_text"))
     # Any number will do for a node that no other class has; it is written with the class.
     linked = _linked(rows.select("_key", "_text"), _classes(_keyed(rows), F.monotonically_increasing_id()))
     stays = linked.groupBy("component").agg(F.min(F.struct("key", "crc", *_MARKS)).alias("first"))
     stays = written(stays.select(F.col("first.key").alias("_key"), *(F.col(f"first.{m}").alias(m) for m in _MARKS)), "stays")
     # Rows that repeat another in every column are made one before they are dealt out by their marks.
-    kept = docs.where(words).distinct().withColumns(named).join(stays, list(named), "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.where(~words))
+    kept = docs.where(words).distinct().select(*named, F.struct(*docs.columns).alias("_row")).join(stays, ["_key", *_MARKS], "left_semi")
+    return kept.select("_row.*").unionByName(docs.where(~words))

@@ -66,3 +66,27 @@ def test_one_of_each_group_with_null_and_repeated_ids(spark):
     want = [(None, x), (None, y), (None, text("w")), (None, ""), (None, None), (5, z), (5, u + " more"), (7, v), (7, None)]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(want, key=key)
     assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), "").count() == 0
+
+
+def test_columns_with_the_names_of_helpers_stay_as_they_are(spark, tmp_path):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(50)]
+    names = ["_key", "mark1", "mark2", "_text", "_row", "component", "score", "cls"]
+    texts = [None, "", "one", *(" ".join(rng.choices(words, k=80)) for _ in range(12))]
+    texts += [texts[4], texts[5] + " more", texts[6] + " " + " ".join(texts[7].split()[:30])]
+    data = [(i if i % 5 else None, t, "en", "s", len(t or ""), *(f"{n}-{i}" if i % 3 else None for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*data, data[4], data[4]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels = [(i, 1, int(i % 2)) for i in range(len(texts))]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    of = {tuple(r[5:]) for r in data}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names and out.dtypes == docs.dtypes, name
+        assert {tuple(r[5:]) for r in out.collect()} <= of, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
+def test_rows_that_differ_in_which_column_is_null_are_told_apart(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, "x", None, 0), (1, text, None, "x", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == 1
