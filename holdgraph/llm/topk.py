@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdgraph.llm.session import written
-from holdgraph.llm.vectors import one_per_id, stacked
+from holdgraph.llm.vectors import hashed_sample, one_per_id, stacked
 
 #: Candidates of a block, queries of a group and how many of them are compared at once, most bands of length,
 #: the part of them that comes before the rest, rows that the rotation is fitted on, and the run length.
@@ -91,7 +91,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     rows = written(rows, "vectors")
 
     # Bands of length, of a block at least: a bounded number of borders and counts.
-    bands = max(1, min(BANDS, math.ceil(rows.count() / BLOCK)))
+    total = rows.count()
+    bands = max(1, min(BANDS, math.ceil(total / BLOCK)))
     borders = sorted({x for x in (bands > 1 and rows.agg(F.percentile_approx("length", [i / bands for i in range(1, bands)], 2000)).first()[0] or [])}, reverse=True)
     band = F.lit(0)
     if borders:
@@ -105,8 +106,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     blocked = written(blocked.withColumn("longest", longest), "blocked")
     query = blocked.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), "dims", "length")
     groups = max(1, math.ceil(query.count() / QUERIES))
-    sample = [np.array(r[0]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FITTED).select("v").collect()]
-    turn = spark.sparkContext.broadcast(rotation(np.stack([s for s in sample if len(s) == len(sample[0])])) if sample and len(sample[0]) else np.zeros((0, 0)))
+    sample = hashed_sample(rows, FITTED, total)
+    turn = spark.sparkContext.broadcast(rotation(sample) if sample.size else np.zeros((0, 0)))
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")]
@@ -137,11 +138,17 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
         at = F.array(*map(F.lit, cuts))
         group = F.size(F.filter(at, lambda c: c <= F.col("need")))
         asked = asked.withColumn("group", group)
+        # Needs may be equal (at first there are none), so a group is dealt by id as well.
+        sizes = {1: 1} if groups == 1 else {r["group"]: math.ceil(r["count"] / QUERIES) for r in asked.groupBy("group").count().collect()}
+        deals = F.element_at(F.array(*(F.lit(sizes.get(g, 1)) for g in range(1, len(cuts) + 1))), F.col("group"))
+        asked = asked.withColumn("deal", F.pmod(F.xxhash64("query_id"), deals).cast("int"))
         # The least need of a group is at least its lower border.
-        each = candidates.withColumn("group", F.explode(F.sequence(F.lit(1), F.size(F.filter(at, lambda c: c <= F.col("longest"))))))
-        keys = ["dims", "band", "part", "group"]
-        open_ = candidates.select("dims", "band", "part", "longest").distinct().withColumn("group", F.explode(F.sequence(F.lit(1), F.size(F.filter(at, lambda c: c <= F.col("longest"))))))
-        asked = asked.join(open_, ["dims", "group"]).where(F.col("need") <= F.col("longest")).select("query_id", "query", "least", *(F.col(c).alias(f"q_{c}") for c in keys))
+        reached = F.explode(F.sequence(F.lit(1), F.size(F.filter(at, lambda c: c <= F.col("longest")))))
+        dealt = lambda df: df.withColumn("group", reached).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+        each = dealt(candidates)
+        keys = ["dims", "band", "part", "group", "deal"]
+        open_ = dealt(candidates.select("dims", "band", "part", "longest").distinct())
+        asked = asked.join(open_, ["dims", "group", "deal"]).where(F.col("need") <= F.col("longest")).select("query_id", "query", "least", *(F.col(c).alias(f"q_{c}") for c in keys))
         return asked.groupBy(*(f"q_{c}" for c in keys)).cogroup(each.select("vec_id", "v", *keys).groupBy(*keys)).applyInPandas(best, _SCHEMA)
 
     first = blocked.groupBy("dims").agg(F.min(F.struct("band", "part")).alias("first")).select("dims", "first.band", "first.part")
