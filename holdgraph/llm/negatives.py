@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdgraph.llm.session import written
-from holdgraph.llm.vectors import labelled_per_id, stacked
+from holdgraph.llm.vectors import hashed_sample, labelled_per_id, stacked
 
 #: Rows of a block, anchors of a group, how many of each are compared at once, directions, rows that they are
 #: chosen from, and the part of the blocks that each round adds.
@@ -184,9 +184,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     spark = vectors.sparkSession
     whole = F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     rows = labelled_per_id(vectors.where(F.col(label_col).isNotNull()), id_col, vector_col, label_col)
-    rows = rows.select("vec_id", F.col("label").cast("string").alias("label"), whole.alias("v"), F.size("v").alias("dims"))
-    sample = [np.array(r[0]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FITTED).select("v").collect()]
-    refs = directions(np.stack([s for s in sample if len(s) == len(sample[0])])) if sample else np.zeros((0, 0))
+    rows = written(rows.select("vec_id", F.col("label").cast("string").alias("label"), whole.alias("v"), F.size("v").alias("dims")), "vectors")
+    refs = directions(hashed_sample(rows, FITTED, rows.count()))
 
     def with_angles(batches):
         for frame in batches:
