@@ -37,8 +37,8 @@ _ENDS = np.array([ord(c) for c in ".!?\n。！？"], dtype=np.uint32)
 
 
 def held_out(doc_id: Column) -> Column:
-    """The fold that is never learned from."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """The fold that is never learned from. A null id has no remainder and is in none, so false."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def _lower(text: str) -> str:
