@@ -6,8 +6,6 @@ each layer to the shared folder, so that neither lineage nor driver memory grows
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,105 +72,34 @@ def expansion(edges: DataFrame, roots: DataFrame, depth: int, most: int) -> tupl
     return seen.where("depth > 0"), truncated
 
 
-def on_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes of bundles (bundle_id, node) that lie on a cycle or between cycles: what is left after those that
-    nobody owns any more, and those that own nothing any more, are peeled off until all stay."""
-    ends = {"owner_id": F.col("owner_id").alias("node"), "subject_id": F.col("subject_id").alias("node")}
-    left = edges
-    n = left.count()
-    while n:
-        for side, other in (("owner_id", "subject_id"), ("subject_id", "owner_id")):
-            stays = left.select("bundle_id", ends[other]).distinct().withColumnRenamed("node", side)
-            left = left.join(stays, ["bundle_id", side], "left_semi")
-        left = written(left)
-        before, n = n, left.count()
-        if n == before:
-            break
-    held = left.select("bundle_id", ends["owner_id"]).union(left.select("bundle_id", ends["subject_id"])).distinct()
-    return nodes.join(held, ["bundle_id", "node"], "left_semi")
-
-
-def _best(layers_: list[DataFrame]) -> DataFrame:
-    every = reduce(lambda x, y: x.unionByName(y), layers_).select("bundle_id", F.size("path").alias("layers"), "path")
-    first = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("layers"), "path"))
-    return every.withColumn("k", first).where("k = 1").drop("k")
-
-
-def _grown(edges: DataFrame, starts: DataFrame, every: bool) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Layers of simple paths (bundle_id, node, path) from the starts on, and the bundles in which a path came
-    back to itself, by layer. Unless `every`, a node keeps of a layer's paths the smallest, which is enough
-    where there are no cycles, and bundles that came back drop out."""
-    step = edges.withColumnRenamed("owner_id", "node")
-    front = written(starts.select("bundle_id", "node", F.array("node").alias("path")), "paths")
-    out, back = [], []
-    while not front.isEmpty():
-        out.append(front)
-        if len(out) % 16 == 0:  # a long chain isn't a plan of as many scans
-            out = [written(reduce(lambda x, y: x.unionByName(y), out), "layers")]
-        to = front.join(step, ["bundle_id", "node"]).select("bundle_id", F.col("subject_id").alias("node"), "path", F.array_contains("path", F.col("subject_id")).alias("again"))
-        on = F.concat("path", F.array("node"))
-        if every:
-            front = written(to.where("NOT again").select("bundle_id", "node", on.alias("path")), "paths")
-            continue
-        to = written(to.groupBy("bundle_id", "node").agg(F.min(F.when(~F.col("again"), on)).alias("path"), F.max("again").alias("again")), "steps")
-        ringed = to.where("again").select("bundle_id").distinct()
-        back.append(ringed)
-        front = to.where("path IS NOT NULL").join(ringed, "bundle_id", "left_anti").select("bundle_id", "node", "path")
-    return out, back
-
-
-def longest_chains(edges: DataFrame) -> DataFrame:
-    """bundle_id, layers, path: the longest simple owner-to-subject path of each bundle, in nodes; of equals
-    the smallest path. A longest path begins at a node that nobody owns or on a cycle, as all owners of its
-    first node lie on it. Bundles without cycles take one path a node and layer, so their work is that of
-    their edges; where a path comes back to itself, or nodes are left that no path reached, every simple
-    path is followed. A node never comes twice on a path, so the rounds end by themselves."""
-    edges = written(edges.select("bundle_id", "owner_id", "subject_id").where("owner_id <> subject_id").distinct(), "edges")
-    owned = edges.select("bundle_id", F.col("subject_id").alias("node")).distinct()
-    nodes = edges.select("bundle_id", F.col("owner_id").alias("node")).union(owned).distinct()
-    tops = nodes.join(owned, ["bundle_id", "node"], "left_anti")
-    plain, back = _grown(edges, tops, every=False)
-    reached = reduce(lambda x, y: x.unionByName(y), (d.select("bundle_id", "node") for d in plain)) if plain else tops
-    ringed = nodes.join(reached.distinct(), ["bundle_id", "node"], "left_anti").select("bundle_id")
-    ringed = written(reduce(lambda x, y: x.unionByName(y), [*back, ringed]).distinct(), "ringed")
-    if ringed.isEmpty():
-        return _best(plain or [tops.select("bundle_id", "node", F.array("node").alias("path"))])
-    odd = written(edges.join(ringed, "bundle_id", "left_semi"), "ringed")
-    starts = tops.join(ringed, "bundle_id", "left_semi").unionByName(on_cycles(odd, nodes))
-    paths, _ = _grown(odd, starts, every=True)
-    even = [d.join(ringed, "bundle_id", "left_anti") for d in plain]
-    return _best([*even, *paths])
-
-
-def deepest(edges: DataFrame, hops: int, most: int) -> DataFrame:
-    """bundle_id, start, depth, place: how many owners stand above each node on its longest simple way up, to
-    `hops`; the `most` deepest of each bundle, ties to the smaller node."""
-    up = edges.select("bundle_id", F.col("subject_id").alias("node"), F.col("owner_id").alias("next")).where("node <> next").distinct()
-    front = up.select("bundle_id", F.col("node").alias("start"), F.col("next").alias("node"), F.array("node", "next").alias("path"))
-    for _ in range(1, hops):
-        # A way that goes no further stays as it is, so one chain of joins has them all.
-        u = up.withColumnsRenamed({"bundle_id": "_bundle", "node": "_node"})
-        front = front.join(u, (F.col("bundle_id") == F.col("_bundle")) & (F.col("node") == F.col("_node")) & ~F.array_contains("path", F.col("next")), "left")
-        front = front.select("bundle_id", "start", F.col("next").alias("node"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"))
-    per = front.groupBy("bundle_id", "start").agg((F.max(F.size("path")) - 1).alias("depth"))
-    place = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("depth"), "start"))
-    return per.withColumn("place", place).where(F.col("place") <= most)
-
-
-def layers(edges: DataFrame) -> DataFrame:
-    """node, layer: nodes that own nothing are 0, others one more than the highest layer they own. On and
-    above a cycle there is no highest layer, so one raises: without cycles a layer is below the number of nodes."""
-    edges = written(edges.select("owner_id", "subject_id").distinct())
-    below = edges.select(F.col("subject_id").alias("node")).distinct().join(edges.select(F.col("owner_id").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0))
-    one = edges.select(F.lit(0).alias("bundle_id"), "owner_id", "subject_id")
-    if not on_cycles(one, one.select("bundle_id", F.col("owner_id").alias("node"))).isEmpty():
-        raise ValueError("layers: the edges hold a cycle")
-    out, front, d = below, below, 0
-    while not front.isEmpty():
-        d += 1
-        front = written(front.join(edges.withColumnRenamed("subject_id", "node"), "node").select(F.col("owner_id").alias("node")).distinct().withColumn("layer", F.lit(d)))
-        out = written(out.unionByName(front).groupBy("node").agg(F.max("layer").alias("layer")))
-    return out
+DEEPEST_SQL = """
+WITH RECURSIVE step AS (SELECT DISTINCT bundle_id, owner_id, subject_id FROM {edges} WHERE owner_id <> subject_id),
+top AS (SELECT DISTINCT s.bundle_id, s.owner_id FROM step s LEFT ANTI JOIN step u ON u.bundle_id = s.bundle_id AND u.subject_id = s.owner_id),
+down(bundle_id, node, depth, chain) AS (
+  SELECT s.bundle_id, s.subject_id, 1, array(s.owner_id, s.subject_id) FROM step s JOIN top t ON t.bundle_id = s.bundle_id AND t.owner_id = s.owner_id
+  UNION ALL
+  SELECT s.bundle_id, s.subject_id, d.depth + 1, concat(d.chain, array(s.subject_id)) FROM down d JOIN step s ON s.bundle_id = d.bundle_id AND s.owner_id = d.node
+  WHERE d.depth < {hops} AND NOT array_contains(d.chain, s.subject_id)
+), first AS (SELECT row_number() OVER (ORDER BY depth DESC, bundle_id, chain) AS place, * FROM (SELECT * FROM down ORDER BY depth DESC, bundle_id, chain LIMIT {most})),
+link AS (SELECT place, depth, bundle_id, posexplode(chain) AS (at, node) FROM first)
+SELECT CAST(place AS INT) AS place, depth, bundle_id, array_sort(collect_list(struct(at, node, coalesce(name, CAST(node AS STRING)) AS name))) AS chain
+FROM link LEFT JOIN {names} n USING (bundle_id, node) GROUP BY place, depth, bundle_id"""
+
+
+def deepest(edges: DataFrame, names: DataFrame, hops: int = 8, most: int = 5) -> DataFrame:
+    """place, depth, bundle_id, chain (at, node, name): the `most` deepest chains over all bundles, downwards
+    from nodes that nobody owns, to `hops` links and never twice through a node; ties to the smaller bundle,
+    then chain. names: bundle_id, node, name; a node without one is called by its id. The query is recursive
+    SQL; only its first rows are ordered as a whole and get names."""
+    spark = edges.sparkSession
+    sql = DEEPEST_SQL.format(edges="{edges}", names="{names}", hops=hops, most=most)
+    # Spark stops a recursion at a million rows unless told otherwise; the walk here is bounded by its hops.
+    limit, before = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set(limit, "-1")
+    try:
+        return written(spark.sql(sql, edges=edges, names=names), "deepest")
+    finally:
+        spark.conf.set(limit, before)
 
 
 def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

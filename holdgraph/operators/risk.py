@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from holdgraph.functions import codelists as C
 from holdgraph.lineage import written
-from holdgraph.operators import graph
+from holdgraph.operators import cycles
 
 MATCH = ("bundle_id", "code", "grade", "statement_id", "value")
 GRADES = ("low", "medium", "high")
@@ -136,7 +136,7 @@ def matches_of(entities: DataFrame, persons: DataFrame, interests: DataFrame, fi
 
 def assessed(entities: DataFrame, persons: DataFrame, interests: DataFrame, filings: DataFrame | None = None, equivalent: tuple[str, ...] = C.EU_EEA) -> DataFrame:
     """All signals of all bundles."""
-    chains = written(graph.longest_chains(ownership(entities, interests)), "chains")
+    chains = written(cycles.longest_chains(ownership(entities, interests)), "chains")
     found = written(matches_of(entities, persons, interests, filings, equivalent), "matches")
     signals = signals_of(found).unionByName(layers(chains)).unionByName(complex_structure(chains, found))
     signals = written(signals, "signals")

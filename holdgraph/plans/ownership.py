@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from holdgraph.operators import graph
+from holdgraph.operators import cycles, graph
 from holdgraph.plans.registry import query
 from holdgraph.sources import derived
 
@@ -26,20 +26,19 @@ CHAINS = """link AS (SELECT DISTINCT bundle_id, owner_id, subject_id FROM edge W
 @query(f"""WITH RECURSIVE {EDGES}, {CHAINS} SELECT bundle_id, CAST(layers AS INTEGER) AS layers, array_to_string(path, '>') AS path FROM chain""")
 def chain_depth(spark, sf_dir):
     """Longest entity chain of each bundle, over diamonds and cycles (GR5)."""
-    return graph.longest_chains(edges(spark, sf_dir)).select("bundle_id", "layers", F.concat_ws(">", "path").alias("path"))
-
-
-DEEPEST = 5
+    return cycles.longest_chains(edges(spark, sf_dir)).select("bundle_id", "layers", F.concat_ws(">", "path").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, held AS (SELECT DISTINCT bundle_id, owner_id, subject_id FROM edge WHERE type = 'shareholding' AND owner_id <> subject_id), walk AS (
-  SELECT bundle_id, subject_id AS start, owner_id AS node, 1 AS depth, [subject_id, owner_id] AS path FROM held
-  UNION ALL SELECT w.bundle_id, w.start, e.owner_id, w.depth + 1, list_append(w.path, e.owner_id) FROM walk w JOIN held e ON e.subject_id = w.node AND e.bundle_id = w.bundle_id WHERE w.depth < 8 AND NOT list_contains(w.path, e.owner_id)
-), per AS (SELECT bundle_id, start, max(depth) AS depth FROM walk GROUP BY bundle_id, start)
-SELECT bundle_id, start, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY depth DESC, start) AS place FROM per) WHERE place <= {DEEPEST}""")
+  SELECT bundle_id, subject_id AS node, 1 AS depth, [owner_id, subject_id] AS chain FROM held h WHERE NOT EXISTS (SELECT 1 FROM held u WHERE u.subject_id = h.owner_id AND u.bundle_id = h.bundle_id)
+  UNION ALL SELECT w.bundle_id, e.subject_id, w.depth + 1, list_append(w.chain, e.subject_id) FROM walk w JOIN held e ON e.owner_id = w.node AND e.bundle_id = w.bundle_id WHERE w.depth < 8 AND NOT list_contains(w.chain, e.subject_id)
+), first_ AS (SELECT row_number() OVER (ORDER BY depth DESC, bundle_id, chain) AS place, * FROM walk ORDER BY place LIMIT 5), link AS (SELECT place, depth, bundle_id, unnest(chain) AS node, unnest(range(len(chain))) AS at_ FROM first_)
+SELECT CAST(place AS INTEGER) AS place, CAST(depth AS INTEGER) AS depth, link.bundle_id, string_agg(coalesce(name, node), '>' ORDER BY at_) AS chain FROM link LEFT JOIN (SELECT statement_id, name FROM entity WHERE key % 5 <> 0) e ON e.statement_id = node GROUP BY place, depth, link.bundle_id""")
 def deepest_holdings(spark, sf_dir):
-    """The deepest shareholding chains upwards, to eight hops, the first five of each bundle (GR3, WN2)."""
-    return graph.deepest(edges(spark, sf_dir).where("type = 'shareholding'"), 8, DEEPEST)
+    """The five deepest shareholding chains from nodes that nobody owns, with names where there are any (GR3, WN2)."""
+    names = derived.entities(spark, sf_dir).where("key % 5 <> 0").select("bundle_id", F.col("statement_id").alias("node"), "name")
+    out = graph.deepest(edges(spark, sf_dir).where("type = 'shareholding'"), names)
+    return out.select("place", "depth", "bundle_id", F.array_join(F.transform("chain", lambda c: c["name"]), ">").alias("chain"))
 
 
 @query(f"""WITH {EDGES}, one AS (SELECT subject_id AS start, owner_id AS node, 1 AS depth FROM edge),
@@ -73,13 +72,24 @@ def frontier_nodes(spark, sf_dir):
     return graph.frontier(e, nodes, "subject_id").withColumn("side", F.lit("owners")).unionByName(graph.frontier(e, nodes, "owner_id").withColumn("side", F.lit("subsidiaries")))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, down AS (SELECT * FROM edge WHERE type <> 'votingRights' OR share <> 5), up(node, layer) AS (
-  SELECT DISTINCT subject_id, 0 FROM down WHERE subject_id NOT IN (SELECT owner_id FROM down)
-  UNION SELECT e.owner_id, u.layer + 1 FROM up u JOIN down e ON e.subject_id = u.node
-) SELECT node, CAST(max(layer) AS INTEGER) AS layer FROM up GROUP BY node""")
+CYCLES = """link AS (SELECT DISTINCT owner_id, subject_id FROM edge WHERE owner_id <> subject_id), leads(a, b) AS (
+  SELECT owner_id, subject_id FROM link UNION SELECT r.a, l.subject_id FROM leads r JOIN link l ON l.owner_id = r.b
+), ring AS (SELECT x.a AS node, min(x.b) AS component FROM leads x JOIN leads y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {CYCLES} SELECT bundle_id, statement_id AS node, component FROM ring JOIN entity ON statement_id = node""")
+def ownership_cycles(spark, sf_dir):
+    """Entities that own themselves through others, by cycle (GR5)."""
+    return cycles.strongly_connected(edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {CYCLES}, unit AS (SELECT n.node, coalesce(component, n.node) AS unit FROM (SELECT owner_id AS node FROM link UNION SELECT subject_id FROM link) n LEFT JOIN ring USING (node)),
+down AS (SELECT DISTINCT o.unit AS owner, s.unit AS subject FROM link JOIN unit o ON o.node = owner_id JOIN unit s ON s.node = subject_id WHERE o.unit <> s.unit),
+up(unit, layer) AS (SELECT unit, 0 FROM unit UNION SELECT d.owner, u.layer + 1 FROM up u JOIN down d ON d.subject = u.unit)
+SELECT node, CAST(max(layer) AS INTEGER) AS layer FROM unit JOIN up USING (unit) GROUP BY node""")
 def diagram_layers(spark, sf_dir):
-    """Longest-path layers from the sinks, of the links that lead down (GR6)."""
-    return graph.layers(edges(spark, sf_dir).where("type <> 'votingRights' OR share <> 5"))
+    """Longest-path layers from the sinks; entities of one cycle share a layer (GR6)."""
+    return cycles.layers(edges(spark, sf_dir)).select("node", "layer")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, two AS (SELECT owner_id AS a, subject_id AS b FROM edge UNION SELECT subject_id, owner_id FROM edge),

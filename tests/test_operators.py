@@ -1,6 +1,7 @@
 """Operators on small hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from holdgraph import components as stars
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
-from holdgraph.operators import exports, graph, narrative, resolution, risk, rollups, screening, selection, timeline
+from holdgraph.operators import cycles, exports, graph, narrative, resolution, risk, rollups, screening, selection, timeline
 from holdgraph.sources import statements
 from holdgraph.streaming import changes
 
@@ -23,29 +24,89 @@ def edges(spark, pairs, bundle="b"):
 
 
 def test_longest_chain_is_cycle_safe(spark):
-    got = graph.longest_chains(edges(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("a", "d")])).first()
+    got = cycles.longest_chains(edges(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("a", "d")])).first()
     assert (got.layers, got.path) == (3, ["a", "b", "c"])
-    ring = graph.longest_chains(edges(spark, [("a", "b"), ("b", "c"), ("c", "a")])).first()
+    ring = cycles.longest_chains(edges(spark, [("a", "b"), ("b", "c"), ("c", "a")])).first()
     assert (ring.layers, ring.path) == (3, ["a", "b", "c"])
-    assert graph.longest_chains(edges(spark, [("a", "a")])).count() == 0
+    assert cycles.longest_chains(edges(spark, [("a", "a")])).count() == 0
 
 
 def test_longest_chain_starts_on_cycles_too(spark):
-    both = graph.longest_chains(edges(spark, [("a", "b"), ("c", "d"), ("d", "e"), ("e", "c")])).first()
+    both = cycles.longest_chains(edges(spark, [("a", "b"), ("c", "d"), ("d", "e"), ("e", "c")])).first()
     assert (both.layers, both.path) == (3, ["c", "d", "e"])
-    inside = graph.longest_chains(edges(spark, [("t", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x")])).first()
+    inside = cycles.longest_chains(edges(spark, [("t", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x")])).first()
     assert (inside.layers, inside.path) == (4, ["a", "b", "c", "x"])
-    entered = graph.longest_chains(edges(spark, [("t", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y")])).first()
+    entered = cycles.longest_chains(edges(spark, [("t", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y")])).first()
     assert (entered.layers, entered.path) == (5, ["a", "b", "c", "x", "y"])
 
 
 def test_chains_of_more_than_64_nodes(spark):
-    assert graph.longest_chains(edges(spark, [(f"{i:03}", f"{i + 1:03}") for i in range(65)])).first().layers == 66
-
-
-def test_layers_raise_on_cycles(spark):
-    with pytest.raises(ValueError, match="cycle"):
-        graph.layers(edges(spark, [("a", "b"), ("b", "a"), ("b", "c")]))
+    assert cycles.longest_chains(edges(spark, [(f"{i:03}", f"{i + 1:03}") for i in range(65)])).first().layers == 66
+
+
+def test_layers_of_a_cycle_are_one(spark):
+    got = {r.node: r.layer for r in cycles.layers(edges(spark, [("t", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("x", "x")])).collect()}
+    assert got == {"d": 0, "c": 1, "a": 2, "b": 2, "t": 3}
+    assert cycles.layers(edges(spark, [("a", "b"), ("b", "a")])).where("layer = 0").count() == 2
+
+
+def plain_chain(pairs):
+    """The longest simple path by following all, of equals the smallest."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    best = (0, [])
+
+    def walk(path):
+        nonlocal best
+        best = min(best, (-len(path), path))
+        for n in to.get(path[-1], ()):
+            if n not in path:
+                walk([*path, n])
+
+    for n in sorted({x for p in pairs for x in p}):
+        walk([n])
+    return -best[0], best[1]
+
+
+def plain_components(pairs):
+    reach = {x: {b for a, b in pairs if a == x} for p in pairs for x in p}
+    for _ in reach:
+        reach = {a: r | {y for x in r for y in reach[x]} for a, r in reach.items()}
+    return {a: min(b for b in r if a in reach[b]) for a, r in reach.items() if any(a in reach[b] and b != a for b in r)}
+
+
+def test_cycles_and_chains_of_random_graphs(spark):
+    rng = random.Random(11)
+    graphs = {f"g{i}": sorted({(a, b) for a, b in ((f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(rng.randrange(1, int(1.6 * n)))) if a != b}) for i, n in enumerate([3, 4, 5, 6, 7, 8, 9, 9, 10, 10, 11, 12] * 3)}
+    e = spark.createDataFrame([(g, a, b) for g, ps in graphs.items() for a, b in [*ps, *ps[:1]]], "bundle_id string, owner_id string, subject_id string")
+    rings, chains = {}, {}
+    for r in cycles.strongly_connected(e).collect():
+        rings.setdefault(r.bundle_id, {})[r.node] = r.component
+    for r in cycles.longest_chains(e).collect():
+        chains[r.bundle_id] = (r.layers, r.path)
+    for g, pairs in graphs.items():
+        assert rings.get(g, {}) == plain_components(pairs), pairs
+        if pairs:
+            assert chains[g] == plain_chain(pairs), pairs
+    assert any(rings.values())
+
+
+def test_chains_of_many_paths_cost_their_edges(spark):
+    """Sixteen diamonds in a row have 65,536 paths; a ring hangs below them."""
+    pairs = [p for i in range(16) for p in ((f"a{i:02}", f"b{i:02}"), (f"a{i:02}", f"c{i:02}"), (f"b{i:02}", f"a{i + 1:02}"), (f"c{i:02}", f"a{i + 1:02}"))]
+    got = cycles.longest_chains(edges(spark, [*pairs, ("a16", "x"), ("x", "y"), ("y", "a16")])).first()
+    assert got.layers == 35 and got.path[-3:] == ["a16", "x", "y"]
+
+
+def test_deepest_chains(spark):
+    e = edges(spark, [("t", "m"), ("m", "x"), ("x", "y"), ("t", "x"), ("q", "r"), ("r", "q"), ("r", "z"), *((f"{i:02}", f"{i + 1:02}") for i in range(12))])
+    names = spark.createDataFrame([("b", "t", "Top"), ("b", "y", "Why")], "bundle_id string, node string, name string")
+    got = graph.deepest(e, names, hops=8, most=12).orderBy("place").collect()
+    chains = ["".join(c["name"] + ">" for c in r.chain) for r in got]
+    assert [r.depth for r in got] == [8, 7, 6, 5, 4, 3, 3, 2, 2, 2, 1, 1]
+    assert chains[6] == "Top>m>x>Why>" and "q" not in "".join(chains)
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") != "-1"
 
 
 def test_closure_excludes_root_and_ends_on_cycles(spark):
@@ -79,7 +140,7 @@ def test_components_raise_at_the_bound(spark):
 
 
 def test_layers_take_the_longest_way(spark):
-    got = {r.node: r.layer for r in graph.layers(edges(spark, [("a", "b"), ("b", "c"), ("a", "c")])).collect()}
+    got = {r.node: r.layer for r in cycles.layers(edges(spark, [("a", "b"), ("b", "c"), ("a", "c")])).collect()}
     assert got == {"c": 0, "b": 1, "a": 2}
 
 
