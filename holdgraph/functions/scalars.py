@@ -174,15 +174,19 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Twice the shared bigrams (counted with repeats) over all bigrams."""
-    left, right = bigrams(a), bigrams(b)
+def dice_of(left: Column, right: Column) -> Column:
+    """Twice the shared bigrams (counted with repeats) over all; of arrays that are columns already."""
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
     shared = F.aggregate(F.array_distinct(left), F.lit(0), lambda acc, x: acc + F.least(count(left, x), count(right, x)))
     total = F.size(left) + F.size(right)
     return F.when(total > 0, 2.0 * shared / total).otherwise(0.0)
 
 
+def dice(a: Column, b: Column) -> Column:
+    """dice_of two texts."""
+    return dice_of(bigrams(a), bigrams(b))
+
+
 def token_gate(a: Column, b: Column) -> Column:
     """Distinctive tokens agree: numbers and single characters are the same on both sides, and each token
     of the shorter list is in the longer one, exactly or (from four characters) within one edit."""

@@ -12,10 +12,6 @@ from holdgraph.lineage import written
 from holdgraph.operators import graph
 
 
-#: Letters of a token under which it is looked up.
-HEAD = 8
-
-
 # Identifiers that stand for nothing.
 PLACEHOLDERS = ("Q0", "STUB000000000000LEI0", "00000000")
 
@@ -88,6 +84,12 @@ def merged_network(entities: DataFrame, relationships: DataFrame) -> tuple[DataF
     return one.withColumn("name", F.coalesce("name", "canonical_id")), links
 
 
+def with_name_keys(entities: DataFrame) -> DataFrame:
+    """entities (with name) and name_keys, as possibly_same takes them: legal forms stand as their classes."""
+    name = names.comparable_name("name")
+    return entities.withColumn("name_keys", F.array(name, F.regexp_replace(name, " ", "")))
+
+
 def possibly_same(entities: DataFrame) -> DataFrame:
     """a, b (a < b): one name in one jurisdiction, founding years that don't conflict, no shared key.
     entities: id, name_keys (the name as compared and without its blanks: one that agrees is enough), jurisdiction,
@@ -135,27 +137,3 @@ def votes(hits: DataFrame, most: int) -> DataFrame:
     """group, id, votes, best: distinct variants that found an id, then its best rank, then the id."""
     v = hits.groupBy("group", "id").agg(F.countDistinct("variant").alias("votes"), F.min("rank").alias("best"))
     return v.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("votes"), "best", "id"))).where(F.col("place") <= most)
-
-
-def _tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda t: t != ""))
-
-
-def prefix_search(queries: DataFrame, named: DataFrame, most: int) -> DataFrame:
-    """query_id, query, id, place: names in which every token of the question begins a token; the first `most`
-    by name. queries: query_id, query (not more than fit a broadcast: larger sets are joined on the first
-    three letters). named: id, name."""
-    asked = queries.select("query_id", "query", _tokens(F.col("query")).alias("asked")).where("size(asked) > 0")
-    longest = F.array_sort("asked", lambda a, b: F.length(b) - F.length(a))[0]
-    # Each question is looked up by the beginning of its longest token, on an equi-join, and then compared whole.
-    head = lambda t: F.substring(t, 1, HEAD)
-    short = asked.where(F.length(longest) < HEAD)
-    index = named.select("id", "name", _tokens(F.col("name")).alias("has")).withColumn("t", F.explode("has"))
-    fits = F.forall("asked", lambda a: F.exists("has", lambda h: h.startswith(a)))
-    found = index.withColumn("head", head(F.col("t"))).join(asked.where(F.length(longest) >= HEAD).withColumn("head", head(longest)), "head").where(fits)
-    few = [index.withColumn("head", F.substring("t", 1, n)).join(short.where(F.length(longest) == n).withColumn("head", longest), "head").where(fits) for n in range(1, HEAD)]
-    for part in few:
-        found = found.unionByName(part)
-    found = found.select("query_id", "query", "id", "name").distinct()
-    place = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("name", "id"))
-    return found.withColumn("place", place).where(F.col("place") <= most)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
-from holdgraph.operators import graph, screening
+from holdgraph.lineage import shared_folder
+from holdgraph.operators import graph, screening, search
 from holdgraph.operators import resolution as R
 from holdgraph.plans.registry import query
 from holdgraph.plans.selection import _DICE
@@ -142,16 +145,16 @@ few AS (SELECT *, CASE WHEN len(ta) <= len(tb) THEN ta ELSE tb END AS few, CASE
 rung AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN list_sort(ta) = list_sort(tb) THEN 0.97
   WHEN len(few) >= 2 AND few[1][1] = many[1][1] AND few[-1] = many[-1] AND len(list_filter(few, lambda x: len(list_filter(many, lambda m: m = x OR (length(x) = 1 AND m[1] = x) OR (length(m) = 1 AND x[1] = m))) > 0)) = len(few) THEN 0.9
   WHEN dice >= 0.8 THEN 0.8 WHEN dice >= 0.6 THEN 0.6 ELSE dice END AS ladder FROM few),
-score_ AS (SELECT i, j, years > 1 AS conflict, CASE WHEN shared THEN greatest(raw, 0.95) ELSE raw END AS score FROM (SELECT *, CASE WHEN years > 1 THEN least(total, 0.7) ELSE least(total, 1.0) END AS raw FROM (SELECT *, ladder + CASE WHEN years = 0 THEN 0.1 ELSE 0 END + 0.05 + CASE WHEN company THEN 0.05 ELSE 0 END AS total FROM rung)))"""
+score_ AS (SELECT i, j, shared OR (ladder >= 0.9 AND years = 0) AS high, CASE WHEN shared THEN greatest(raw, 0.95) ELSE raw END AS score FROM (SELECT *, CASE WHEN years > 1 THEN least(total, 0.7) ELSE least(total, 1.0) END AS raw FROM (SELECT *, ladder + CASE WHEN years = 0 THEN 0.1 ELSE 0 END + 0.05 + CASE WHEN company THEN 0.05 ELSE 0 END AS total FROM rung)))"""
 
 
-@query(f"WITH {_PERSONS} SELECT i AS a, j AS b, round(score, 6) AS score, score >= 0.9 AND NOT conflict AS high FROM score_ WHERE score >= 0.62")
+@query(f"WITH {_PERSONS} SELECT i AS a, j AS b, round(score, 6) AS score, high FROM score_ WHERE score >= 0.62")
 def person_scores(spark, sf_dir):
     """Pair scores of a bundle's persons: the ladder, bonuses, caps and floors (ER11, ER16, ER18, JN14, JN15)."""
     return screening.person_pairs(_persons(spark, sf_dir), "bundle").withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH RECURSIVE {_PERSONS}, kept AS (SELECT i AS a, j AS b, score >= 0.9 AND NOT conflict AS high FROM score_ WHERE score >= 0.62), two AS (SELECT a, b FROM kept UNION SELECT b, a FROM kept),
+@query(f"""WITH RECURSIVE {_PERSONS}, kept AS (SELECT i AS a, j AS b, high FROM score_ WHERE score >= 0.62), two AS (SELECT a, b FROM kept UNION SELECT b, a FROM kept),
 reach(node, r) AS (SELECT a, a FROM two UNION SELECT two.a, reach.r FROM reach JOIN two ON two.b = reach.node), part AS (SELECT node, min(r) AS cluster FROM reach GROUP BY node)
 SELECT p.node, p.cluster, s.high FROM part p JOIN (SELECT cluster, bool_or(high) AS high FROM kept JOIN part ON part.node = kept.a GROUP BY cluster) s USING (cluster)""")
 def person_clusters(spark, sf_dir):
@@ -186,17 +189,59 @@ def vote_rank(spark, sf_dir):
     return R.votes(h, 5)
 
 
-@query(r"""WITH q AS (SELECT r_regionkey AS query_id, unnest(['customer 000000' || (r_regionkey + 11), 'Customer', '00000001' || r_regionkey || ' cust', 'customer 9999999']) AS query FROM region),
-e AS (SELECT c_custkey, c_name, unnest(string_split(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM customer),
-t AS (SELECT query_id, query, unnest(list_distinct(string_split(trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')), ' '))) AS token FROM q),
-m AS (SELECT t.query_id, t.query, e.c_custkey, e.c_name, count(DISTINCT t.token) AS matched FROM t JOIN e ON starts_with(e.token, t.token) GROUP BY ALL),
-n AS (SELECT query_id, query, count(*) AS n FROM t GROUP BY ALL)
-SELECT query_id, query, c_custkey, CAST(place AS INTEGER) AS place FROM (SELECT m.*, row_number() OVER (PARTITION BY query_id, query ORDER BY c_name, c_custkey) AS place FROM m JOIN n USING (query_id, query) WHERE matched = n.n) WHERE place <= 20""")
+_FORMS = ("", " Ltd", " Public Limited Company", " P.L.C.", " GmbH & Co. KG", " limited liability company", " (ООО)")
+_CLASSES = ("", " llc", " jsc", " jsc", " lp", " llc", " llc")
+
+
+@query(f"""WITH e AS (SELECT p_partkey AS id, p_brand AS jurisdiction, p_size % 4 AS year, lower(p_name) || {list(_CLASSES)!r}[p_partkey % {len(_CLASSES)} + 1] AS key FROM part)
+SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.key = y.key AND x.jurisdiction = y.jurisdiction AND x.id < y.id AND x.year = y.year""")
+def comparable_pairs(spark, sf_dir):
+    """Possibly the same by names whose legal forms compare across countries (ER3, ER8)."""
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.element_at(F.array(*map(F.lit, _FORMS)), (k % len(_FORMS) + 1).cast("int")))
+    e = derived.table(spark, sf_dir, "part").select(k.alias("id"), name.alias("name"), F.col("p_brand").alias("jurisdiction"), (F.col("p_size") % 4).alias("year"), F.array(F.concat(F.lit("K:"), k.cast("string"))).alias("keys"))
+    return R.possibly_same(R.with_name_keys(e))
+
+
+_QUERIES = "['customer 000000' || (r_regionkey + 11), 'Customer', '00000001' || r_regionkey || ' cust', 'customer 9999999', '00000001' || r_regionkey || ', Customer#', 'c 00000001']"
+
+
+def _search_sql(table: str, key: str, name: str, queries: str) -> str:
+    plain = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"""q AS (SELECT r_regionkey AS query_id, unnest({queries}) AS query FROM region), t AS (SELECT *, {plain('query')} AS asked FROM q),
+n AS (SELECT {key} AS id, {name} AS name, {plain(name)} AS plain FROM {table}),
+phrase AS (SELECT query_id, query, id, name, 'phrase' AS how FROM t JOIN n ON contains(' ' || plain || ' ', ' ' || asked || ' ')),
+prefix AS (SELECT query_id, query, id, name, 'prefix' AS how FROM t JOIN n ON len(list_filter(string_split(asked, ' '), lambda a: len(list_filter(string_split(plain, ' '), lambda h: starts_with(h, a))) = 0)) = 0 WHERE (query_id, query) NOT IN (SELECT (query_id, query) FROM phrase)),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id, query ORDER BY name, id) AS place FROM (FROM phrase UNION ALL FROM prefix))"""
+
+
+@query(f"WITH {_search_sql('customer', 'c_custkey', 'c_name', _QUERIES)} SELECT query_id, query, id AS c_custkey, how, CAST(place AS INTEGER) AS place FROM found WHERE place <= 20")
 def prefix_search(spark, sf_dir):
-    """Token-prefix search over a name index: every token of a question begins a token of the name, the first
-    twenty of each question (SC5-SC7)."""
+    """Search over a written token index: phrases, then beginnings of tokens, the first twenty of each question
+    (SC5, SC6)."""
     k = F.col("r_regionkey")
-    asked = F.array(F.concat(F.lit("customer 000000"), (k + 11).cast("string")), F.lit("Customer"), F.concat(F.lit("00000001"), k.cast("string"), F.lit(" cust")), F.lit("customer 9999999"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    asked = F.array(text("customer 000000", k + 11), F.lit("Customer"), text("00000001", k, " cust"), F.lit("customer 9999999"), text("00000001", k, ", Customer#"), F.lit("c 00000001"))
     q = derived.table(spark, sf_dir, "region").select(k.alias("query_id"), F.explode(asked).alias("query"))
-    c = derived.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return R.prefix_search(q, c, 20).select("query_id", "query", F.col("id").alias("c_custkey"), "place")
+    path = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    search.write_index(derived.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), path)
+    return search.search(q, path).select("query_id", "query", F.col("id").alias("c_custkey"), "how", "place")
+
+
+_NAMED = "(SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) ELSE s_name END AS first_ FROM supplier)"
+_ASKED = "['supplier 00000000' || r_regionkey, '00000001', '00000001' || r_regionkey]"
+
+
+@query(f"""WITH {_search_sql(_NAMED, 's_suppkey', 'first_', _ASKED)}
+SELECT query_id, query, id, name, how, CAST(place AS INTEGER) AS place, CASE WHEN id % 4 <> 0 THEN 'n' || s_nationkey END AS nationality FROM found JOIN supplier ON s_suppkey = id WHERE place <= 20""")
+def person_search(spark, sf_dir):
+    """Persons by their first name that isn't blank, with their nationality (SC7)."""
+    s, k = derived.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    names_ = s.select(k.alias("id"), F.inline(F.array(F.struct(F.lit(0).alias("place"), F.when(k % 3 == 0, " ").otherwise(F.col("s_name")).alias("name")), F.struct(F.lit(1).alias("place"), F.lower("s_name").alias("name")))))
+    nations = s.where("s_suppkey % 4 <> 0").select(k.alias("id"), F.lit(0).alias("place"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nationality"))
+    path = f"{shared_folder(spark)}/persons-{uuid.uuid4().hex}"
+    search.write_index(search.person_names(s.select(k.alias("id")), names_, nations), path)
+    r = F.col("r_regionkey").cast("string")
+    asked = F.array(F.concat(F.lit("supplier 00000000"), r), F.lit("00000001"), F.concat(F.lit("00000001"), r))
+    q = derived.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.explode(asked).alias("query"))
+    return search.search(q, path).select("query_id", "query", "id", "name", "how", "place", "nationality")

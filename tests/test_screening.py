@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdgraph.functions import names
 from holdgraph.functions import scalars as S
 from holdgraph.operators import screening as N
+from holdgraph.operators.selection import contained
 
 PAIRS = [
     ("CASTROL Holdings International Ltd", "COSCO International Holdings Ltd", False),
@@ -107,6 +108,61 @@ def test_percolation(spark):
     assert {(r.statement_id, r.hit_id) for r in listed.collect()} == {("e1", "h4")}
 
 
+def test_percolation_guards_look_at_the_best_name_and_the_target(spark):
+    targets = spark.createDataFrame([("e1", "b", "entity", "Holding Group", None, []), ("e2", "b", "entity", "Общество с ограниченной ответственностью", None, []), ("p1", "b", "person", "Ann Lee", None, []), ("e3", "b", "entity", "Газпром нефть", None, [])], TARGETS)
+    hits = spark.createDataFrame([("h1", ["Holding Group"], [], ["sanction"]), ("h2", ["Limited Liability Company", "Общество с ограниченной ответственностью"], [], ["sanction"]), ("h3", ["Lee", "Ann Lee"], [], ["sanction"]), ("h4", ["Gazprom Neft"], [], ["sanction"])], "hit_id string, hit_names array<string>, hit_years array<int>, topics array<string>")
+    forms = hits.select("hit_id", F.explode("hit_names").alias("form"))
+    found = contained(forms, targets.select(F.col("statement_id").alias("target_id"), "name")).withColumnRenamed("target_id", "statement_id")
+    signals, _ = N.percolated(found, targets, hits)
+    assert {(r.statement_id, r.hit_id) for r in signals.collect()} == {("e1", "h1"), ("p1", "h3")} | ({("e3", "h4")} if names.similarity(names.normalised("Газпром нефть"), names.normalised("Gazprom Neft")) >= N.SCREEN else set())
+
+
+def test_contained_forms_may_stand_inside_words(spark):
+    hits = [("h1", "art"), ("h2", "of mars"), ("h3", "x"), ("h4", "yz"), ("h5", ""), ("h6", "The Art of")]
+    targets = [("t1", "Martin of Marseille"), ("t2", "The  ART of x"), ("t3", "wxyz"), ("t4", None)]
+    got = contained(spark.createDataFrame(hits, "hit_id string, form string"), spark.createDataFrame(targets, "target_id string, name string")).collect()
+    want = {(h, t) for h, f in hits for t, n in targets if names.normalised(f) and names.normalised(f) in names.normalised(n)}
+    assert {tuple(r) for r in got} == want and ("h1", "t1") in want and ("h2", "t1") in want
+
+
+def test_a_party_has_a_signal_for_each_source_and_hit(spark):
+    rows = [("b", "p1", "entity", "s1", "h1", 0.9, "medium", ["sanction"]), ("b", "p1", "entity", "s1", "h1", 0.89, "high", ["sanction"]), ("b", "p1", "entity", "s2", "h1", 0.9, "low", ["sanction"]), ("b", "p1", "entity", "s1", "h2", 0.9, "low", ["sanction"])]
+    m = spark.createDataFrame(rows, "bundle_id string, statement_id string, kind string, source_id string, hit_id string, score double, confidence string, topics array<string>")
+    got = {(r.source_id, r.hit_id, r.confidence) for r in N.related_signals(m).collect()}
+    assert got == {("s1", "h1", "high"), ("s2", "h1", "low"), ("s1", "h2", "low")}
+
+
+def test_sure_person_pairs(spark):
+    rows = [(1, "b", "ann maria lee", 1970, "gb", ["c1"], ["k1"]), (2, "b", "bob stone", 1950, "fr", ["c2"], ["k1"]), (3, "b", "ann lee", 1970, "gb", ["c3"], []), (4, "b", "ann lee", 1970, "us", ["c4"], []), (5, "b", "anne leee", 1970, "gb", ["c1"], [])]
+    df = spark.createDataFrame(rows, "id long, bundle_id string, name string, birth_year int, nationality string, companies array<string>, keys array<string>")
+    got = {(r.a, r.b): r.high for r in N.person_pairs(df, "bundle_id").collect()}
+    assert got[1, 2] is True, "a shared identifier, years in conflict"
+    assert got[1, 3] is True and got[1, 4] is False and got[3, 4] is False
+    assert got.get((1, 5)) is not True, "the ladder is under .9"
+
+
+FORMS = [
+    ("Unilever Public Limited Company", "unilever jsc", "unilever plc", "unilever"),
+    ("Unilever P.L.C.", "unilever jsc", "unilever plc", "unilever"),
+    ("ООО «Газпром»", "llc gazprom", "ooo gazprom", "gazprom"),
+    ("Общество с ограниченной ответственностью", "llc", "ooo", ""),
+    ("Müller Gesellschaft mit beschränkter Haftung", "muller llc", "muller gmbh", "muller"),
+    ("Müller GmbH & Co. KG", "muller lp", "muller gmbh co kg", "muller"),
+    ("Société Anonyme Dupont", "jsc dupont", "sa dupont", "dupont"),
+    ("Ελληνική Ανώνυμη Εταιρεία", "elliniki jsc", "elliniki ae", "elliniki"),
+    ("Spółka z ograniczoną odpowiedzialnością Wisła", "llc wisla", "sp zoo wisla", "wisla"),
+    ("深圳市腾讯有限公司", "深圳市腾讯 llc", "深圳市腾讯 youxian gongsi", "深圳市腾讯"),
+    ("Limited Edition Prints", "llc edition prints", "ltd edition prints", "edition prints"),
+    ("Company Limited Liability Company", "llc liability co", "ltd liability co", "liability"),
+    (None, "", "", ""),
+]
+
+
+@pytest.mark.parametrize(("name", "generic", "short", "left"), FORMS)
+def test_legal_forms_of_several_words_and_scripts(name, generic, short, left):
+    assert (names.comparable(name), names.comparable(name, generic=False), names.residue(name)) == (generic, short, left)
+
+
 def test_similarity_is_the_best_of_three():
     a, b = "gordon michael", "michael gordon"
     assert names.similarity(a, b) == 1.0
