@@ -40,6 +40,15 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 25) -> DataFrame:
     return seen.where("depth > 0")
 
 
+def assets_by_sector(reach: DataFrame, assets: DataFrame) -> DataFrame:
+    """root, sector, n: assets of all that a root reaches, each once, under the sector by which the first of its owners
+    holds it: the one at the least depth, then the smallest node, then sector. reach: root, node, depth (the
+    root itself at 0, if it counts); assets: node, asset, sector (null: unknown)."""
+    held = reach.join(assets.select("node", "asset", F.coalesce("sector", F.lit("unknown")).alias("sector")), "node")
+    first = held.groupBy("root", "asset").agg(F.min(F.struct("depth", "node", "sector")).alias("first"))
+    return first.groupBy("root", F.col("first.sector").alias("sector")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 3) -> DataFrame:
     """root, node, hop: breadth-first in both directions. The disjunction 'subject or owner in the frontier'
     is two equi-joins."""

@@ -64,6 +64,22 @@ def closure_assets(spark, sf_dir):
     return reach.join(orders, "node", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n_owned"), total("n").alias("n_assets"), total("urgent").alias("n_urgent"))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, walk(root, node, depth) AS (SELECT statement_id, statement_id, 0 FROM entity WHERE place < 2 UNION SELECT w.root, e.subject_id, w.depth + 1 FROM walk w JOIN edge e ON e.owner_id = w.node WHERE w.depth < 12),
+reach AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL),
+asset AS (SELECT 'e' || o_custkey AS node, o_orderkey AS asset, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS sector FROM orders UNION ALL SELECT 'e' || (o_custkey + {derived.BUNDLES}), o_orderkey, 'shared' FROM orders WHERE o_orderkey % 4 = 0),
+first_ AS (SELECT root, asset, coalesce(sector, 'unknown') AS sector, row_number() OVER (PARTITION BY root, asset ORDER BY depth, node, coalesce(sector, 'unknown')) AS k FROM reach JOIN asset USING (node))
+SELECT root, sector, count(*) AS n FROM first_ WHERE k = 1 GROUP BY ALL""")
+def sector_assets(spark, sf_dir):
+    """Distinct assets of a group by sector, as its first owner holds them (AG13)."""
+    e = edges(spark, sf_dir)
+    roots = derived.entities(spark, sf_dir).where("place < 2").select(F.col("statement_id").alias("root"))
+    reach = graph.closure(e, roots).unionByName(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    o = derived.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("asset"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("sector"))
+    node = lambda c: F.concat(F.lit("e"), c.cast("string")).alias("node")
+    shared = o.where("asset % 4 = 0").select(node(F.col("c") + derived.BUNDLES), "asset", F.lit("shared").alias("sector"))
+    return graph.assets_by_sector(reach, o.select(node(F.col("c")), "asset", "sector").unionByName(shared))
+
+
 @query(f"""WITH {EDGES} SELECT statement_id AS node, 'owners' AS side FROM entity WHERE statement_id NOT IN (SELECT subject_id FROM edge)
 UNION ALL SELECT statement_id, 'subsidiaries' FROM entity WHERE statement_id NOT IN (SELECT owner_id FROM edge)""")
 def frontier_nodes(spark, sf_dir):

@@ -91,3 +91,43 @@ def history(spark, sf_dir):
     e = derived.table(spark, sf_dir, "events").select("user_id", "event_id", F.to_date("ts").alias("d"), tier.alias("tier"), (F.col("value") > 90).alias("boosted"))
     order = Window.partitionBy("user_id").orderBy(F.col("d").asc_nulls_last(), "tier", "event_id")
     return T.notable(e).select("user_id", "event_id", F.col("d").cast("string").alias("event_date"), "tier", F.row_number().over(order).alias("place"))
+
+
+_ENTRY_EVENTS = """ev AS (SELECT o_custkey AS subject, o_orderkey AS event_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'LEGAL_NAME_CHANGE' WHEN '2-HIGH' THEN 'ADDRESS_CHANGE' WHEN '3-MEDIUM' THEN 'STATUS_CHANGED' WHEN '4-NOT SPECIFIED' THEN 'OWNER_ADDED' END AS change_type,
+  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'relationship' ELSE 'entity' END AS record_type, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS event_date,
+  ['effective', 'recorded', 'snapshot_window'][o_orderkey % 3 + 1] AS date_basis, ['high', 'medium', 'low'][o_orderkey % 5 % 3 + 1] AS date_confidence, 's' || (o_orderkey % 4) AS source_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1 ELSE 2 + o_orderkey % 7 % 2 END AS tier, o_orderkey % 14 = 1 AS boosted,
+  CASE WHEN o_orderkey % 6 = 0 THEN '20' || (10 + o_orderkey % 10) END AS interest_start, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'c' || (o_orderkey % 3) END AS counterparty FROM orders),
+note AS (SELECT * FROM ev WHERE change_type IS NOT NULL AND (tier <= 2 OR boosted)),
+d AS (SELECT *, row_number() OVER (PARTITION BY subject, change_type ORDER BY event_date, event_id) AS k FROM note WHERE record_type = 'entity' AND event_date IS NOT NULL),
+fold(event_id, subject, change_type, k, anchor) AS (SELECT event_id, subject, change_type, k, event_date FROM d WHERE k = 1 UNION ALL SELECT d.event_id, d.subject, d.change_type, d.k, CASE WHEN d.event_date - f.anchor <= 400 THEN f.anchor ELSE d.event_date END FROM fold f JOIN d ON d.subject = f.subject AND d.change_type = f.change_type AND d.k = f.k + 1),
+every AS (SELECT n.*, f.anchor, CASE WHEN f.anchor IS NULL THEN n.event_id END AS own FROM note n LEFT JOIN fold f ON f.event_id = n.event_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY subject, change_type, record_type, anchor, own ORDER BY list_position(['effective', 'recorded', 'snapshot_window'], date_basis), list_position(['high', 'medium', 'low'], date_confidence), event_date NULLS LAST, event_id) AS r FROM every),
+entry AS (SELECT subject, min_by(event_id, r) AS entry_id, change_type, record_type, min(event_date) FILTER (r = 1) AS event_date, min_by(date_basis, r) AS date_basis, min_by(tier, r) AS tier, bool_or(boosted) AS boosted, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS sources, count(*) - 1 AS n_corroborating,
+  min_by(interest_start, r) FILTER (interest_start <> '') AS interest_start, min_by(counterparty, r) FILTER (counterparty <> '') AS counterparty, anchor, own FROM ranked GROUP BY subject, change_type, record_type, anchor, own)"""
+
+
+def _entry_events(spark, sf_dir):
+    k, urgency = F.col("o_orderkey"), F.col("o_orderpriority")
+    pick = lambda names_, n: F.element_at(F.array(*map(F.lit, names_)), (n + 1).cast("int"))
+    change = F.when(urgency == "1-URGENT", "LEGAL_NAME_CHANGE").when(urgency == "2-HIGH", "ADDRESS_CHANGE").when(urgency == "3-MEDIUM", "STATUS_CHANGED").when(urgency == "4-NOT SPECIFIED", "OWNER_ADDED")
+    relation = urgency == "4-NOT SPECIFIED"
+    return derived.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("subject"), k.alias("event_id"), change.alias("change_type"), F.when(relation, "relationship").otherwise("entity").alias("record_type"),
+        F.when(k % 13 != 0, F.to_date("o_orderdate")).alias("event_date"), pick(T.BASES, k % 3).alias("date_basis"), pick(T.CONFIDENCES, k % 5 % 3).alias("date_confidence"),
+        F.concat(F.lit("s"), (k % 4).cast("string")).alias("source_id"), F.when(relation, F.lit(1).cast("long")).otherwise(2 + k % 7 % 2).alias("tier"), (k % 14 == 1).alias("boosted"),
+        F.when(k % 6 == 0, F.concat(F.lit("20"), (10 + k % 10).cast("string"))).alias("interest_start"), F.lit(None).cast("string").alias("interest_end"), F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("c"), (k % 3).cast("string"))).alias("counterparty"),
+    )
+
+
+@query(f"""WITH RECURSIVE {_ENTRY_EVENTS} SELECT subject, entry_id, change_type, record_type, CAST(event_date AS VARCHAR) AS event_date, date_basis, tier, boosted, sources, CAST(n_corroborating AS INTEGER) AS n_corroborating, interest_start, counterparty,
+CAST(row_number() OVER (PARTITION BY subject ORDER BY event_date NULLS LAST, tier, entry_id) AS INTEGER) AS place FROM entry""")
+def timeline_entries(spark, sf_dir):
+    """Clusters of events with the event that counts, its sources and what corroborates it (TM3, TM4, TM10)."""
+    entries, _ = T.entries(_entry_events(spark, sf_dir))
+    return entries.drop("date_confidence", "interest_end").withColumns({"event_date": F.col("event_date").cast("string"), "sources": F.array_join("sources", ",")})
+
+
+@query(f"""WITH RECURSIVE {_ENTRY_EVENTS} SELECT e.subject, e.event_id, n.entry_id FROM every e JOIN entry n ON n.subject = e.subject AND n.change_type = e.change_type AND n.record_type = e.record_type AND n.anchor IS NOT DISTINCT FROM e.anchor AND n.own IS NOT DISTINCT FROM e.own""")
+def corroborating_events(spark, sf_dir):
+    """Which entry every notable event belongs to (TM4)."""
+    return T.entries(_entry_events(spark, sf_dir))[1]
