@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from holdgraph.llm.session import written
 
 #: Words of a block, rows of a source that are ordered in one task, and rows that one row becomes at once.
-BLOCK_WORDS, BUCKET, STEP = 2048, 2048, 4096
+BLOCK_WORDS, BUCKET, STEP = 2048, 512, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 _HASH_BITS = 60
 
