@@ -158,6 +158,11 @@ def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
+def screenable(name: Column) -> Column:
+    """Three characters at least once blanks and punctuation are gone."""
+    return F.length(F.replace(plain_name(name), F.lit(" "), F.lit(""))) >= 3
+
+
 def matchable(normal: Column) -> Column:
     """Two words at least, or two characters of a script that is written without blanks."""
     dense = normal.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")

@@ -199,12 +199,12 @@ STRUCTURE_CODES = ("COMPLEX_OWNERSHIP_LAYERS", "GLEIF_REPORTING_EXCEPTION")
 def verdicts(subjects: DataFrame, signals: DataFrame, degraded: DataFrame) -> DataFrame:
     """bundle_id, verdict: one sentence for each subject, null where there is nothing true to say. signals:
     bundle_id, code, kind, n_matches (of layers: how many); degraded (bundle_id, source): screens that
-    didn't run, which only matter where nothing was found."""
+    didn't run, one that reached no source (null) among them, which only matter where nothing was found."""
     risk = F.collect_set(F.when(F.coalesce("kind", F.lit("risk")) == "risk", F.col("code")))
     depth = F.max(F.when(F.col("code") == "COMPLEX_OWNERSHIP_LAYERS", F.col("n_matches")))
     excepted = F.coalesce(F.bool_or(F.col("code") == "GLEIF_REPORTING_EXCEPTION"), F.lit(False))
     per = signals.groupBy("bundle_id").agg(risk.alias("codes"), depth.alias("depth"), excepted.alias("excepted"))
-    missing = degraded.groupBy("bundle_id").agg(F.countDistinct("source").alias("missing"))
+    missing = degraded.groupBy("bundle_id").agg(F.countDistinct(F.coalesce("source", F.lit(""))).alias("missing"))
     all_ = subjects.select("bundle_id").distinct().join(per, "bundle_id", "left").join(missing, "bundle_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>"))).withColumn("missing", F.coalesce("missing", F.lit(0)))
     clauses = F.slice(F.array_compact(F.array(*(F.when(F.arrays_overlap("codes", F.array(*map(F.lit, cs))), text) for cs, text in CLAUSES))), 1, 2)
     head = F.array_join(clauses, ", and ")

@@ -81,3 +81,11 @@ def tallied(events: DataFrame, by: list, ceased: Column) -> DataFrame:
 def paid(rows: DataFrame, year: Column, amount: str, apart: Column) -> DataFrame:
     """year, total, and the total of the payments that count apart (of one currency, say)."""
     return rows.groupBy(year.alias("year")).agg(F.sum(amount).alias("total"), F.sum(F.when(apart, F.col(amount)).otherwise(0.0)).alias("total_apart"))
+
+
+def search_quality(answers: DataFrame, expected: DataFrame, places: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """category ('' is all of them), n, and for each of `places` how many questions have what was expected up to that
+    place. answers: query_id, id, place (of repeated answers the first counts); expected: query_id, category, id."""
+    rank = answers.groupBy("query_id", "id").agg(F.min("place").alias("place"))
+    judged = expected.join(rank, ["query_id", "id"], "left").select(F.explode(F.array(F.lit(""), F.col("category"))).alias("category"), "place")
+    return judged.groupBy("category").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("place") <= k, 1)).alias(f"hit_{k}") for k in places))

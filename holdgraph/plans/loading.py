@@ -108,7 +108,7 @@ def open_positions(spark, sf_dir):
 
 @query("""SELECT o_orderkey, o_custkey, p_brand IS NOT NULL AS sanctioned FROM orders LEFT JOIN (SELECT DISTINCT p_size AS k, min(p_brand) AS p_brand FROM part WHERE contains(p_type, 'STEEL') OR p_size % 7 = 0 GROUP BY p_size) s ON s.k = o_custkey % 50""")
 def sanctioned_overlay(spark, sf_dir):
-    """Overlay of a small index on subjects (RK19, JN16, JN20)."""
+    """Overlay of a small index on subjects."""
     s = table(spark, sf_dir, "part").where(F.col("p_type").contains("STEEL") | (F.col("p_size") % 7 == 0)).groupBy(F.col("p_size").alias("k")).agg(F.min("p_brand").alias("p_brand"))
     o = table(spark, sf_dir, "orders").withColumn("k", (F.col("o_custkey") % 50).cast("int"))
     return o.join(s, "k", "left").select("o_orderkey", "o_custkey", F.col("p_brand").isNotNull().alias("sanctioned"))

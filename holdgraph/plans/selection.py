@@ -57,11 +57,11 @@ def access_notices(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(n, "c_nationkey").select("c_custkey", L.access_notice(F.col("d"), F.lit("2026-01-01").cast("date")).alias("notice"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(text, '^\S*')), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM documents)
+@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM documents)
 SELECT doc_id, length(replace(n, ' ', '')) >= 3 AS screenable FROM n""")
 def screenable_names(spark, sf_dir):
-    """Names long enough to screen (PF21-PF23)."""
-    return table(spark, sf_dir, "documents").select("doc_id", L.screenable(F.regexp_extract("text", r"^\S*", 0)).alias("screenable"))
+    """Texts long enough to screen (PF23)."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.screenable(F.col("text")).alias("screenable"))
 
 
 @query("""WITH h AS (SELECT user_id, event_type, event_id, CAST(event_id % 3 AS INTEGER) AS r, floor(value / 10) AS score FROM events)
@@ -144,20 +144,6 @@ def leak_collections(spark, sf_dir):
     return hits.groupBy(F.col("bundle_id").alias("source_id")).agg(F.countDistinct("hit_id").alias("n_leads"))
 
 
-@query(f"""WITH {derived.SQL}, bad AS (SELECT statement_id, 'unreferenced' AS issue FROM entity WHERE statement_id NOT IN (SELECT subject_id FROM relationship) AND statement_id NOT IN (SELECT party_id FROM relationship WHERE party_id IS NOT NULL)
-UNION ALL SELECT min(statement_id), 'duplicate_name' FROM entity GROUP BY bundle_id, legal_form, jurisdiction HAVING count(*) > 1
-UNION ALL SELECT statement_id, 'share_out_of_range' FROM relationship WHERE share > 90 OR share < 0 UNION ALL SELECT statement_id, 'party_missing' FROM relationship WHERE party_id IS NULL AND reason IS NULL UNION ALL SELECT statement_id, 'unknown_type' FROM relationship WHERE type NOT IN ('shareholding', 'votingRights', 'appointmentOfBoard'))
-SELECT issue, count(*) AS n FROM bad GROUP BY issue""")
-def validation_issues(spark, sf_dir):
-    """Shape checks as issue rows, counted (PF5, AG30, AG31)."""
-    e, r = derived.entities(spark, sf_dir), derived.relationships(spark, sf_dir)
-    used = r.select(F.col("subject_id").alias("statement_id")).unionByName(r.where("party_id IS NOT NULL").select(F.col("party_id").alias("statement_id"))).distinct()
-    issue = lambda df, what: df.select("statement_id", F.lit(what).alias("issue"))
-    twice = e.groupBy("bundle_id", "legal_form", "jurisdiction").agg(F.min("statement_id").alias("statement_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    bad = issue(e.join(used, "statement_id", "left_anti"), "unreferenced").unionByName(issue(twice, "duplicate_name")).unionByName(issue(r.where("share > 90 OR share < 0"), "share_out_of_range")).unionByName(issue(r.where("party_id IS NULL AND reason IS NULL"), "party_missing")).unionByName(issue(r.where(~F.col("type").isin("shareholding", "votingRights", "appointmentOfBoard")), "unknown_type"))
-    return bad.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
-
-
 _EU = "(" + ", ".join(f"'{c}'" for c in C.EU_EEA) + ")"
 
 
