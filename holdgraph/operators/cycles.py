@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdgraph.lineage import written
@@ -119,20 +119,21 @@ def longest_chains(edges: DataFrame) -> DataFrame:
     # What each node of a unit heard: how many messages, and the best chain that follows it.
     kind = edges.schema["owner_id"].dataType
     state = units.select("bundle_id", "unit", "node", F.lit(0).cast("long").alias("got"), F.array().cast(f"array<{kind.simpleString()}>").alias("tail"))
-    state = state.join(need, ["bundle_id", "unit"], "left").withColumn("done", F.col("need").isNull()).drop("need")
+    state = state.join(need, ["bundle_id", "unit"], "left").withColumn("done", F.col("need").isNull())
     # Only units with a cycle wait as a whole; others come up when something reaches them.
     on_cycle = ways.select("bundle_id", "node").distinct().withColumn("cyclic", F.lit(True))
     state = written(state.join(on_cycle, ["bundle_id", "node"], "left").where("done OR cyclic").drop("cyclic"), "state")
     send = outer.select("bundle_id", F.col("subject_id").alias("node"), F.col("owner_unit").alias("unit"), F.col("owner_id").alias("to"))
+    send = written(send.join(need, ["bundle_id", "unit"]), "send")
+    of_unit = Window.partitionBy("bundle_id", "unit")
     chains = []
     while not state.where("done").isEmpty():
         heard = state.where("done").join(ways.withColumnRenamed("path", "way"), ["bundle_id", "node"], "left")
         front = heard.groupBy("bundle_id", F.coalesce("start", "node").alias("node")).agg(_longest(F.concat(F.coalesce("way", F.array("node")), "tail")).alias("path"))
         chains.append(front)
-        sent = send.join(front, ["bundle_id", "node"]).select("bundle_id", "unit", F.col("to").alias("node"), F.lit(1).cast("long").alias("got"), F.col("path").alias("tail"))
-        waiting = state.where("NOT done").drop("done").unionByName(sent).groupBy("bundle_id", "unit", "node").agg(F.sum("got").alias("got"), _longest(F.col("tail")).alias("tail"))
-        all_heard = waiting.groupBy("bundle_id", "unit").agg(F.sum("got").alias("all")).join(need, ["bundle_id", "unit"]).select("bundle_id", "unit", (F.col("all") == F.col("need")).alias("done"))
-        state = written(waiting.join(all_heard, ["bundle_id", "unit"]), "state")
+        sent = send.join(front, ["bundle_id", "node"]).select("bundle_id", "unit", F.col("to").alias("node"), F.lit(1).cast("long").alias("got"), F.col("path").alias("tail"), "need")
+        waiting = state.where("NOT done").drop("done").unionByName(sent).groupBy("bundle_id", "unit", "node").agg(F.sum("got").alias("got"), _longest(F.col("tail")).alias("tail"), F.max("need").alias("need"))
+        state = written(waiting.withColumn("done", F.sum("got").over(of_unit) == F.col("need")), "state")
     if not chains:
         return edges.select("bundle_id", F.lit(0).alias("layers"), F.array("owner_id").alias("path"))
     best = reduce(DataFrame.unionByName, chains).groupBy("bundle_id").agg(_longest(F.col("path")).alias("path"))
@@ -145,16 +146,17 @@ def layers(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("bundle_id", "owner_id", "subject_id").where("owner_id <> subject_id").distinct(), "edges")
     units, outer, _ = condensed(edges, strongly_connected(edges))
     send = outer.select("bundle_id", F.col("subject_unit").alias("unit"), F.col("owner_unit").alias("to"))
-    need = written(send.groupBy("bundle_id", F.col("to").alias("unit")).agg(F.count("*").alias("need")), "need")
-    state = units.select("bundle_id", "unit").distinct().join(need, ["bundle_id", "unit"], "left_anti")
-    state = written(state.select("bundle_id", "unit", F.lit(0).cast("long").alias("got"), F.lit(0).alias("layer"), F.lit(True).alias("done")), "state")
+    need = written(send.groupBy("bundle_id", "to").agg(F.count("*").alias("need")), "need")
+    send = written(send.join(need, ["bundle_id", "to"]), "send")
+    state = units.select("bundle_id", "unit").distinct().join(need.withColumnRenamed("to", "unit"), ["bundle_id", "unit"], "left_anti")
+    state = written(state.select("bundle_id", "unit", F.lit(0).cast("long").alias("got"), F.lit(0).alias("layer"), F.lit(0).cast("long").alias("need"), F.lit(True).alias("done")), "state")
     placed = []
     while not state.where("done").isEmpty():
         front = state.where("done").select("bundle_id", "unit", "layer")
         placed.append(front)
-        sent = send.join(front, ["bundle_id", "unit"]).select("bundle_id", F.col("to").alias("unit"), F.lit(1).cast("long").alias("got"), (F.col("layer") + 1).alias("layer"))
-        waiting = state.where("NOT done").drop("done").unionByName(sent).groupBy("bundle_id", "unit").agg(F.sum("got").alias("got"), F.max("layer").alias("layer"))
-        state = written(waiting.join(need, ["bundle_id", "unit"]).withColumn("done", F.col("got") == F.col("need")).drop("need"), "state")
+        sent = send.join(front, ["bundle_id", "unit"]).select("bundle_id", F.col("to").alias("unit"), F.lit(1).cast("long").alias("got"), (F.col("layer") + 1).alias("layer"), "need")
+        waiting = state.where("NOT done").drop("done").unionByName(sent).groupBy("bundle_id", "unit").agg(F.sum("got").alias("got"), F.max("layer").alias("layer"), F.max("need").alias("need"))
+        state = written(waiting.withColumn("done", F.col("got") == F.col("need")), "state")
     if not placed:
         return units.select("bundle_id", "node", F.lit(0).alias("layer"))
     return units.join(reduce(DataFrame.unionByName, placed), ["bundle_id", "unit"]).select("bundle_id", "node", "layer")

@@ -23,25 +23,22 @@ def edges(spark, pairs, bundle="b"):
     return spark.createDataFrame([(bundle, a, b) for a, b in pairs], "bundle_id string, owner_id string, subject_id string")
 
 
-def test_longest_chain_is_cycle_safe(spark):
-    got = cycles.longest_chains(edges(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("a", "d")])).first()
-    assert (got.layers, got.path) == (3, ["a", "b", "c"])
-    ring = cycles.longest_chains(edges(spark, [("a", "b"), ("b", "c"), ("c", "a")])).first()
-    assert (ring.layers, ring.path) == (3, ["a", "b", "c"])
-    assert cycles.longest_chains(edges(spark, [("a", "a")])).count() == 0
+CHAINS = {
+    "cycle below": ([("a", "b"), ("b", "c"), ("c", "b"), ("a", "d")], ["a", "b", "c"]),
+    "ring": ([("a", "b"), ("b", "c"), ("c", "a")], ["a", "b", "c"]),
+    "starts on a ring": ([("a", "b"), ("c", "d"), ("d", "e"), ("e", "c")], ["c", "d", "e"]),
+    "left inside": ([("t", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x")], ["a", "b", "c", "x"]),
+    "entered": ([("t", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y")], ["a", "b", "c", "x", "y"]),
+    "more than 64 nodes": ([(f"{i:03}", f"{i + 1:03}") for i in range(65)], [f"{i:03}" for i in range(66)]),
+    # Sixteen diamonds in a row have 65,536 paths; a ring hangs below them.
+    "diamonds": ([p for i in range(16) for p in ((f"a{i:02}", f"b{i:02}"), (f"a{i:02}", f"c{i:02}"), (f"b{i:02}", f"a{i + 1:02}"), (f"c{i:02}", f"a{i + 1:02}"))] + [("a16", "x"), ("x", "y"), ("y", "a16")], [x for i in range(16) for x in (f"a{i:02}", f"b{i:02}")] + ["a16", "x", "y"]),
+}
 
 
-def test_longest_chain_starts_on_cycles_too(spark):
-    both = cycles.longest_chains(edges(spark, [("a", "b"), ("c", "d"), ("d", "e"), ("e", "c")])).first()
-    assert (both.layers, both.path) == (3, ["c", "d", "e"])
-    inside = cycles.longest_chains(edges(spark, [("t", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x")])).first()
-    assert (inside.layers, inside.path) == (4, ["a", "b", "c", "x"])
-    entered = cycles.longest_chains(edges(spark, [("t", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y")])).first()
-    assert (entered.layers, entered.path) == (5, ["a", "b", "c", "x", "y"])
-
-
-def test_chains_of_more_than_64_nodes(spark):
-    assert cycles.longest_chains(edges(spark, [(f"{i:03}", f"{i + 1:03}") for i in range(65)])).first().layers == 66
+def test_longest_chains_over_cycles_and_diamonds(spark):
+    e = spark.createDataFrame([(name, a, b) for name, (pairs, _) in CHAINS.items() for a, b in pairs] + [("self", "a", "a")], "bundle_id string, owner_id string, subject_id string")
+    got = {r.bundle_id: (r.layers, r.path) for r in cycles.longest_chains(e).collect()}
+    assert got == {name: (len(path), path) for name, (_, path) in CHAINS.items()}
 
 
 def test_layers_of_a_cycle_are_one(spark):
@@ -92,13 +89,6 @@ def test_cycles_and_chains_of_random_graphs(spark):
     assert any(rings.values())
 
 
-def test_chains_of_many_paths_cost_their_edges(spark):
-    """Sixteen diamonds in a row have 65,536 paths; a ring hangs below them."""
-    pairs = [p for i in range(16) for p in ((f"a{i:02}", f"b{i:02}"), (f"a{i:02}", f"c{i:02}"), (f"b{i:02}", f"a{i + 1:02}"), (f"c{i:02}", f"a{i + 1:02}"))]
-    got = cycles.longest_chains(edges(spark, [*pairs, ("a16", "x"), ("x", "y"), ("y", "a16")])).first()
-    assert got.layers == 35 and got.path[-3:] == ["a16", "x", "y"]
-
-
 def test_deepest_chains(spark):
     e = edges(spark, [("t", "m"), ("m", "x"), ("x", "y"), ("t", "x"), ("q", "r"), ("r", "q"), ("r", "z"), *((f"{i:02}", f"{i + 1:02}") for i in range(12))])
     names = spark.createDataFrame([("b", "t", "Top"), ("b", "y", "Why")], "bundle_id string, node string, name string")
