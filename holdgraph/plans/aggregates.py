@@ -118,7 +118,7 @@ def event_mix(spark, sf_dir):
 @query("""WITH t AS (SELECT threshold FROM (VALUES (0.2), (0.5), (0.8)) AS v(threshold)), p AS (SELECT value / 100 AS score, event_type = 'purchase' AS good FROM events WHERE event_type <> 'error')
 SELECT CAST(threshold AS DOUBLE) AS threshold, round(count(CASE WHEN good AND score >= threshold THEN 1 END) / nullif(count(CASE WHEN score >= threshold THEN 1 END), 0), 9) AS precision, round(count(CASE WHEN good AND score >= threshold THEN 1 END) / count(CASE WHEN good THEN 1 END), 9) AS recall FROM p, t GROUP BY threshold""")
 def gate_quality(spark, sf_dir):
-    """Precision and recall of a gate over thresholds (AG27, AG28)."""
+    """Precision and recall of a gate over thresholds (AG27)."""
     p = table(spark, sf_dir, "events").select((F.col("value") / 100).alias("score"), F.when(F.col("event_type") != "error", F.col("event_type") == "purchase").alias("good"))
     return U.gate_quality(p, "score", "good", [0.2, 0.5, 0.8]).select("threshold", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
@@ -150,7 +150,7 @@ def association_summary(spark, sf_dir):
 @query("""WITH o AS (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem), x AS (SELECT DISTINCT p_brand, p_type FROM part)
 SELECT c_nationkey AS nation, s_nationkey = c_nationkey AS home, count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT o_custkey) AS n_customers FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""")
 def twin_join(spark, sf_dir):
-    """Records under one code with different roots, distinct counts (JN4)."""
+    """Distinct counts over a join of four tables."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")

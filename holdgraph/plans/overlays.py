@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdgraph.operators import overlays, rollups
 from holdgraph.plans.registry import query
-from holdgraph.sources import derived, statements, validation
+from holdgraph.sources import derived, loaders, statements, validation
 
 
 def _lei(k):
@@ -134,3 +134,13 @@ FROM st LEFT JOIN gone USING (bundle_id) LEFT JOIN idle USING (bundle_id) LEFT J
 def bundle_connectivity(spark, sf_dir):
     """What hangs together in a bundle and what doesn't (AG30, AG31)."""
     return validation.connectivity(statements.parsed(_flawed(spark, sf_dir)))
+
+
+@query("""WITH i AS (SELECT 'records/XI-LEI-' || c_custkey AS record, CASE WHEN c_custkey % 4 = 0 THEN 'OTHER' ELSE 'EE-KMKR' END AS scheme, CAST(c_custkey % 700 AS VARCHAR) AS code FROM customer UNION ALL SELECT 'records/EE-' || s_suppkey, 'EE-ARIREGISTER', CAST(s_suppkey AS VARCHAR) FROM supplier)
+SELECT DISTINCT g.record FROM i g JOIN i a ON a.code = g.code AND a.record <> g.record WHERE g.scheme LIKE 'EE-%' AND a.scheme LIKE 'EE-%' AND g.record LIKE 'records/XI-LEI-%' AND a.record NOT LIKE 'records/XI-LEI-%'""")
+def registry_twins(spark, sf_dir):
+    """Records under an LEI that share a register's code with a record of the register (JN4)."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey").cast("string")
+    lei = derived.table(spark, sf_dir, "customer").select(F.concat(F.lit("records/XI-LEI-"), k.cast("string")).alias("record"), F.when(k % 4 == 0, "OTHER").otherwise("EE-KMKR").alias("scheme"), (k % 700).cast("string").alias("code"))
+    own = derived.table(spark, sf_dir, "supplier").select(F.concat(F.lit("records/EE-"), s).alias("record"), F.lit("EE-ARIREGISTER").alias("scheme"), s.alias("code"))
+    return loaders.registry_twins(lei.unionByName(own), ("EE-KMKR", "EE-ARIREGISTER"), "records/XI-LEI-")

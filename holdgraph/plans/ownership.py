@@ -55,7 +55,7 @@ def upward_3hop(spark, sf_dir):
 ) SELECT root, count(DISTINCT node) AS n_owned, count(DISTINCT o_orderkey) AS n_assets, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END) AS n_urgent
 FROM reach LEFT JOIN orders ON 'e' || o_custkey = node WHERE node <> root GROUP BY root""")
 def closure_assets(spark, sf_dir):
-    """Distinct assets over everything an entity owns, to 25 hops (GR2, JN18, AG13)."""
+    """Distinct assets over everything an entity owns, to 25 hops (GR2, JN18)."""
     e = edges(spark, sf_dir)
     reach = graph.closure(e, e.select(F.col("owner_id").alias("root")).distinct())
     # An asset has one owner and reach holds a node once a root, so assets are counted before the join.

@@ -129,7 +129,7 @@ def _layer(d: int, most: int) -> str:
 cut AS (SELECT DISTINCT root FROM (SELECT root FROM rank1 WHERE place > 1 UNION ALL SELECT root FROM rank2 WHERE place > 1 UNION ALL SELECT root FROM rank3 WHERE place > 1))
 SELECT e.statement_id AS root, u.node, u.depth, c.root IS NOT NULL AS truncated FROM entity e LEFT JOIN (SELECT root, node, 1 AS depth FROM keep1 UNION ALL SELECT root, node, 2 FROM keep2 UNION ALL SELECT root, node, 3 FROM keep3) u ON u.root = e.statement_id LEFT JOIN cut c ON c.root = e.statement_id""")
 def corporate_recursion(spark, sf_dir):
-    """Owners in layers to depth three, each once, ended links left out; a bounded layer says when it was cut (GR11-GR13, GR15)."""
+    """Owners in layers to depth three, each once, ended links left out; a bounded layer says when it was cut."""
     e, r = derived.entities(spark, sf_dir), derived.relationships(spark, sf_dir)
     edges_ = r.select(F.col("party_id").alias("owner_id"), "subject_id", (F.col("status") == "closed").alias("ended"))
     nodes, cut = graph.expansion(edges_, e.select(F.col("statement_id").alias("root")), 3, 1)

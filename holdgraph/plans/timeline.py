@@ -68,7 +68,7 @@ def state_transitions(spark, sf_dir):
 fold AS (SELECT o_custkey, o_orderpriority, k, d AS anchor FROM d WHERE k = 1 UNION ALL SELECT d.o_custkey, d.o_orderpriority, d.k, CASE WHEN d.d - f.anchor <= 400 THEN f.anchor ELSE d.d END FROM fold f JOIN d ON d.o_custkey = f.o_custkey AND d.o_orderpriority = f.o_orderpriority AND d.k = f.k + 1)
 SELECT o_custkey, o_orderpriority, CAST(anchor AS VARCHAR) AS anchor, CAST(count(*) AS INTEGER) AS n FROM fold GROUP BY o_custkey, o_orderpriority, anchor""")
 def anchored_clusters(spark, sf_dir):
-    """Events of a kind within 400 days of a cluster's first event (TM3, TM4)."""
+    """Events of a kind within 400 days of a cluster's first event (TM3)."""
     o = derived.table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
     return T.anchored_clusters(o, ["o_custkey", "o_orderpriority"], "day", 400).withColumn("anchor", F.col("anchor").cast("string"))
 

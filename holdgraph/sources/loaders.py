@@ -36,6 +36,14 @@ def twins(identifiers: DataFrame, left: str, right: str) -> DataFrame:
     return a.join(identifiers.where(F.col("scheme") == right).select("link", F.col("id").alias("right_id")), "link")
 
 
+def registry_twins(identifiers: DataFrame, schemes: tuple[str, ...], begins: str) -> DataFrame:
+    """record: records whose id begins so and that share a code under one of the schemes with a record whose id doesn't.
+    identifiers: record, scheme, code. Codes meet once each, however many records share one."""
+    coded = identifiers.where(F.col("scheme").isin(*schemes) & (F.coalesce("code", F.lit("")) != "")).select("record", "code").distinct()
+    others = coded.where(~F.col("record").startswith(begins)).select("code").distinct()
+    return coded.where(F.col("record").startswith(begins)).join(others, "code", "left_semi").select("record").distinct()
+
+
 def lookup(rows: DataFrame, key: Column, value: str, order: str) -> DataFrame:
     """key, value: the last non-empty value of each key."""
     return rows.where(F.col(value).isNotNull()).groupBy(key.alias("key")).agg(F.max_by(value, order).alias(value))
