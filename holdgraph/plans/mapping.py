@@ -157,3 +157,24 @@ def human_ids(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     classes = c.select(k.alias("id"), F.explode(F.array(F.when(k % 6 == 0, "Q5").otherwise("Q6"), F.when(k % 10 == 0, "Q5").otherwise("Q7"))).alias("class"))
     return L.humans(c.select(k.alias("id")), classes)
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name FROM customer)
+SELECT CAST(k AS VARCHAR) AS bundle_id, list_sort([c_name, 'C' || (k + 1)])[1] || '|' || list_sort([c_name, 'C' || (k + 1)])[2] AS entities, CAST(1 + CAST(k % 2 = 0 AS INTEGER) AS BIGINT) AS n_persons, CAST(2 + CAST(k % 2 = 0 AS INTEGER) + CAST(k % 5 = 0 AS INTEGER) AS BIGINT) AS n_relationships,
+  CAST(CAST(k % 4 = 0 AS INTEGER) AS BIGINT) AS n_closed, CAST(CAST(k % 5 = 0 AS INTEGER) AS BIGINT) AS n_unspecified, CAST(2 + CAST(k % 2 = 0 AS INTEGER) + CAST(k % 5 = 0 AS INTEGER) AS BIGINT) AS n_interests FROM c""")
+def company_statements(spark, sf_dir):
+    """Companies assembled from profile, controllers, filed statements, directors and related companies (MP7)."""
+    k, text = F.col("c_custkey"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    number = lambda c: F.lpad(c.cast("string"), 8, "0")
+    psc = lambda kind, name, natures, number, ceased: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.array(F.lit(natures)).alias("natures_of_control"), F.struct(number.alias("registration_number"), F.lit("England").alias("country_registered")).alias("identification"), ceased.alias("ceased_on"))
+    none = F.lit(None).cast("string")
+    items = F.array(psc("individual-person-with-significant-control", text("P", k), "voting-rights-25-to-50-percent", none, none), psc("corporate-entity-person-with-significant-control", text("C", k + 1), "ownership-of-shares-75-to-100-percent", number(k + 1), F.when(k % 4 == 0, "2020-01-01")))
+    officers = F.when(k % 2 == 0, F.struct(F.array(F.struct(text("D", k).alias("name"), F.lit("director").alias("officer_role"))).alias("items")))
+    filed = F.when(k % 5 == 0, F.struct(F.array(F.struct(F.lit("psc-details-not-confirmed").alias("statement"), F.lit("2019-01-01").alias("notified_on"))).alias("items")))
+    related = F.when(k % 3 == 0, F.struct(F.struct(number(k + 1).alias("company_number"), F.struct(F.lit("other").alias("company_name")).alias("profile")).alias("x")))
+    payload = F.struct(number(k).alias("company_number"), F.struct(F.col("c_name").alias("company_name")).alias("profile"), F.struct(items.alias("items")).alias("pscs"), officers.alias("officers"), filed.alias("psc_statements"), related.alias("related_companies"))
+    e, p, r = G.company_statements(_landing(table(spark, sf_dir, "customer"), k, payload))
+    names = e.groupBy("bundle_id").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("entities"))
+    persons = p.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n_persons"))
+    links = r.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n_relationships"), F.count(F.when(F.col("record_status") == "closed", 1)).alias("n_closed"), F.count("unspecified_reason").alias("n_unspecified"), F.sum(F.size("interests")).cast("long").alias("n_interests"))
+    return names.join(persons, "bundle_id").join(links, "bundle_id")
