@@ -107,36 +107,57 @@ def inner_paths(inner: DataFrame) -> DataFrame:
     return written(every.groupBy("bundle_id", "start", "node").agg(_longest(F.col("path")).alias("path")), "inner")
 
 
-def longest_chains(edges: DataFrame) -> DataFrame:
-    """bundle_id, layers, path: the longest simple owner-to-subject path of each bundle, in nodes; of equals
-    the smallest path. Outside components each edge is used once; simple paths are followed inside components
-    only. Rounds are as many as units lie under one another. Self-loops, repeated edges and nulls don't count."""
-    edges = written(edges.select("bundle_id", "owner_id", "subject_id").where("owner_id <> subject_id").distinct(), "edges")
-    units, outer, inner = condensed(edges, strongly_connected(edges))
-    ways = inner_paths(inner)
-    need = written(outer.groupBy("bundle_id", F.col("owner_unit").alias("unit")).agg(F.count("*").alias("need")), "need")
-
-    # What each node of a unit heard: how many messages, and the best chain that follows it.
-    kind = edges.schema["owner_id"].dataType
-    state = units.select("bundle_id", "unit", "node", F.lit(0).cast("long").alias("got"), F.array().cast(f"array<{kind.simpleString()}>").alias("tail"))
-    state = state.join(need, ["bundle_id", "unit"], "left").withColumn("done", F.col("need").isNull())
-    # Only units with a cycle wait as a whole; others come up when something reaches them.
-    on_cycle = ways.select("bundle_id", "node").distinct().withColumn("cyclic", F.lit(True))
-    state = written(state.join(on_cycle, ["bundle_id", "node"], "left").where("done OR cyclic").drop("cyclic"), "state")
-    send = outer.select("bundle_id", F.col("subject_id").alias("node"), F.col("owner_unit").alias("unit"), F.col("owner_id").alias("to"))
-    send = written(send.join(need, ["bundle_id", "unit"]), "send")
+def _answered(state: DataFrame, send: DataFrame, ways: DataFrame | None, found: list[DataFrame]) -> DataFrame:
+    """Rounds of messages: units that have heard from all they own give the best chains of their nodes to `found` and
+    tell those who own them. What is left waits for units that never answer. state: bundle_id, unit, node, got
+    (messages), tail (the best chain that follows the node), need, done; send: bundle_id, node, unit, to, need."""
     of_unit = Window.partitionBy("bundle_id", "unit")
-    chains = []
     while not state.where("done").isEmpty():
-        heard = state.where("done").join(ways.withColumnRenamed("path", "way"), ["bundle_id", "node"], "left")
-        front = heard.groupBy("bundle_id", F.coalesce("start", "node").alias("node")).agg(_longest(F.concat(F.coalesce("way", F.array("node")), "tail")).alias("path"))
-        chains.append(front)
+        heard = state.where("done")
+        path = F.concat(F.array("node"), "tail")
+        if ways is not None:
+            heard = heard.join(ways.withColumnRenamed("path", "way"), ["bundle_id", "node"], "left").withColumn("node", F.coalesce("start", "node"))
+            path = F.concat(F.coalesce("way", F.array("node")), "tail")
+        front = heard.groupBy("bundle_id", "node").agg(_longest(path).alias("path"))
+        found.append(front)
         sent = send.join(front, ["bundle_id", "node"]).select("bundle_id", "unit", F.col("to").alias("node"), F.lit(1).cast("long").alias("got"), F.col("path").alias("tail"), "need")
         waiting = state.where("NOT done").drop("done").unionByName(sent).groupBy("bundle_id", "unit", "node").agg(F.sum("got").alias("got"), _longest(F.col("tail")).alias("tail"), F.max("need").alias("need"))
         state = written(waiting.withColumn("done", F.sum("got").over(of_unit) == F.col("need")), "state")
-    if not chains:
+    return state
+
+
+def longest_chains(edges: DataFrame) -> DataFrame:
+    """bundle_id, layers, path: the longest simple owner-to-subject path of each bundle, in nodes; of equals
+    the smallest path. Nodes that lead to no cycle answer first, each when all it owns have; cycles are looked
+    for among the others, which then go on as units. Outside components each edge is used once; simple paths are
+    followed inside components only. Rounds are as many as units lie under one another. Self-loops, repeated
+    edges and nulls don't count."""
+    edges = written(edges.select("bundle_id", "owner_id", "subject_id").where("owner_id <> subject_id").distinct(), "edges")
+    kind = edges.schema["owner_id"].dataType.simpleString()
+    nothing, none_yet = F.array().cast(f"array<{kind}>"), F.lit(0).cast("long")
+    found: list[DataFrame] = []
+
+    owns = edges.groupBy("bundle_id", F.col("owner_id").alias("unit")).agg(F.count("*").alias("need"))
+    send = written(edges.select("bundle_id", F.col("subject_id").alias("node"), F.col("owner_id").alias("unit"), F.col("owner_id").alias("to")).join(owns, ["bundle_id", "unit"]), "send")
+    ends = nodes_of(edges).join(owns.select("bundle_id", F.col("unit").alias("node")), ["bundle_id", "node"], "left_anti")
+    state = written(ends.select("bundle_id", F.col("node").alias("unit"), "node", none_yet.alias("got"), nothing.alias("tail"), none_yet.alias("need"), F.lit(True).alias("done")), "state")
+    heard = _answered(state, send, None, found)
+
+    answered = reduce(DataFrame.unionByName, (f.select("bundle_id", F.col("node").alias("subject_id")) for f in found)) if found else None
+    left = edges if answered is None else edges.join(answered, ["bundle_id", "subject_id"], "left_anti")
+    left = written(left.select("bundle_id", "owner_id", "subject_id"), "left")
+    if not left.isEmpty():
+        units, outer, inner = condensed(left, strongly_connected(left))
+        ways = inner_paths(inner)
+        need = outer.groupBy("bundle_id", F.col("owner_unit").alias("unit")).agg(F.count("*").alias("need"))
+        send = outer.select("bundle_id", F.col("subject_id").alias("node"), F.col("owner_unit").alias("unit"), F.col("owner_id").alias("to"))
+        send = written(send.join(need, ["bundle_id", "unit"]), "send")
+        state = units.join(need, ["bundle_id", "unit"], "left").join(heard.select("bundle_id", "node", "tail"), ["bundle_id", "node"], "left")
+        state = state.select("bundle_id", "unit", "node", none_yet.alias("got"), F.coalesce("tail", nothing).alias("tail"), "need", F.col("need").isNull().alias("done"))
+        _answered(written(state, "state"), send, ways, found)
+    if not found:
         return edges.select("bundle_id", F.lit(0).alias("layers"), F.array("owner_id").alias("path"))
-    best = reduce(DataFrame.unionByName, chains).groupBy("bundle_id").agg(_longest(F.col("path")).alias("path"))
+    best = reduce(DataFrame.unionByName, found).groupBy("bundle_id").agg(_longest(F.col("path")).alias("path"))
     return best.select("bundle_id", F.size("path").alias("layers"), "path")
 
 
