@@ -72,20 +72,19 @@ def canonical_forms(spark, sf_dir):
     return derived.table(spark, sf_dir, "pages").select("page_id", S.canonical_url(u).alias("url"), S.slug(u).alias("slug"), S.canonical_identifier(u).alias("identifier"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, regexp_extract(text, '^[^\n]*') AS line FROM documents),
+@query(r"""WITH n AS (SELECT doc_id, coalesce(text, '') AS line FROM documents),
 m AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM n)
 SELECT doc_id, name, instr(name, ' ') > 0 AS matchable, array_to_string(list_sort(list_filter(string_split(name, ' '), lambda t: t <> '')), ' ') AS key FROM m""")
 def name_keys(spark, sf_dir):
     """Comparable names and order-free keys (SF2, SF28, PF12)."""
-    line = F.regexp_extract("text", r"^[^\n]*", 0)
-    n = derived.table(spark, sf_dir, "documents").select("doc_id", S.plain_name(line).alias("name"))
+    n = derived.table(spark, sf_dir, "documents").select("doc_id", S.plain_name(F.col("text")).alias("name"))
     return n.select("doc_id", "name", S.matchable(F.col("name")).alias("matchable"), S.sorted_tokens(F.col("name")).alias("key"))
 
 
 @query()
 def name_fold(spark, sf_dir):
     """Case, accents and scripts folded; DuckDB has no such fold, so tests hold it (SF1, SF2)."""
-    return derived.table(spark, sf_dir, "documents").select("doc_id", names.normalised_name(F.regexp_extract("text", r"^[^\n]*", 0)).alias("name"))
+    return derived.table(spark, sf_dir, "documents").select("doc_id", names.normalised_name("text").alias("name"))
 
 
 @query(r"""WITH n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ownership-of-shares-25-to-50-percent' WHEN 1 THEN 'voting-rights-75-to-100-percent-as-firm' WHEN 2 THEN 'right-to-appoint-and-remove-directors' ELSE 'significant-influence-or-control' END AS nature FROM customer)
