@@ -49,6 +49,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _sort_parts(values: np.ndarray, at: np.ndarray) -> None:
+    """Sorts values[at[i]:at[i + 1]] in place: many short sorts are far cheaper than one by two keys."""
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        values[a:b].sort()
+
+
+def rare_first(ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positions of each set's shingles by rank, equals as they stand. ranks: less than 2^COUNT_BITS."""
+    places = ranks.astype(np.int64) << (62 - COUNT_BITS) | np.arange(len(ranks))
+    _sort_parts(places, at)
+    return places & ((1 << (62 - COUNT_BITS)) - 1)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending, end to end; and their borders."""
     words, bounds = word_hashes(_LOWER[data], offsets)
@@ -57,8 +70,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     text = np.repeat(np.arange(len(n)), count)
     start = textkit.ragged_index(bounds[:-1], count)
     hashes = Spans(words, seed=5).hashes(start, np.minimum(start + WORDS, bounds[text + 1]))
-    order = np.lexsort((hashes, text))
-    hashes, text = hashes[order], text[order]
+    _sort_parts(hashes, np.concatenate([[0], np.cumsum(count)]))
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
     return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(n)))])
@@ -125,6 +137,8 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 def _entries(counts: np.ndarray):
     """Prefix shingles of each class of a slice: shingle, cls, n, pos (from 0)."""
+    # Only the order of the counts matters, and ranks are small whatever the corpus.
+    ranks = np.unique(counts, return_inverse=True)[1].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, hashes, at in _sets(batches):
@@ -133,8 +147,8 @@ def _entries(counts: np.ndarray):
             once = np.zeros(len(n), dtype=bool)
             once[np.unique(cls, return_index=True)[1]] = True
             once &= n > 0
-            text = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], text))
+            # A set's hashes ascend, so of equally frequent ones the least comes first.
+            order = rare_first(ranks[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], at)
             take = np.where(once, prefix_length(n), 0)
             index = textkit.ragged_index(at[:-1], take)
             owner = np.repeat(np.arange(len(n)), take)
