@@ -134,11 +134,11 @@ SELECT bundle_id, code, source, seq FROM (SELECT *, row_number() OVER (PARTITION
   ORDER BY CASE WHEN code = 'signup' THEN layers END DESC NULLS LAST, CASE WHEN code = 'signup' THEN seq ELSE -seq END) AS k FROM s) WHERE k = 1""")
 def signal_merge(spark, sf_dir):
     """Merging passes: the last of a key wins, but one code keeps its deepest evidence (WN6)."""
-    s = derived.table(spark, sf_dir, "events").select(F.col("user_id").alias("bundle_id"), F.col("event_type").alias("code"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("int").alias("source"), F.col("value").cast("int").alias("layers"), F.round("value").cast("int").alias("rounded"))
+    # DuckDB rounds when it casts to an integer, halves to the even one, and puts nulls last.
+    s = derived.table(spark, sf_dir, "events").select(F.col("user_id").alias("bundle_id"), F.col("event_type").alias("code"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("int").alias("source"), F.rint("value").cast("int").alias("layers"))
     deep = F.col("code") == "signup"
-    # DuckDB rounds when it casts to an integer.
-    s = s.withColumn("layers", F.col("rounded")).withColumn("_part", F.when(deep, -1).otherwise(F.col("source")))
-    return risk.merged(s, ["bundle_id", "code", "_part"], [F.when(deep, F.col("layers")).desc_nulls_last(), F.when(deep, F.col("seq")).otherwise(-F.col("seq"))]).select("bundle_id", "code", "source", "seq")
+    s = s.withColumn("_part", F.when(deep, -1).otherwise(F.col("source")))
+    return risk.merged(s, ["bundle_id", "code", "_part"], [F.when(deep, F.col("layers")).desc_nulls_last(), F.when(deep, F.col("seq")).otherwise(-F.col("seq")).asc_nulls_last()]).select("bundle_id", "code", "source", "seq")
 
 
 @query("""WITH s AS (SELECT user_id AS bundle_id, event_type AS code, event_id AS seq, CAST(event_id % 3 AS INTEGER) AS rank FROM events)
