@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from holdgraph.operators import classes, resolution
+from holdgraph.functions import names
+from holdgraph.operators import classes, resolution, selection
 
 
 def listed_last(df):
@@ -25,6 +26,15 @@ def test_members_in_several_rows(spark, monkeypatch):
     assert sorted((r.note, r.a, r.b) for r in got.collect()) == sorted((note, a, b) for x, y, note in pairs for a, ca in left for b, cb in right if (ca, cb) == (x, y))
 
 
+def test_contained_compares_different_texts_only(spark):
+    forms = [(i % 50 if i < 90 else None, ["art", "of mars", "x", "yz", "", None][i % 6]) for i in range(100)]
+    called = [(i % 70, ["Martin of Marseille", "The  ART of x", "wxyz", None][i % 4]) for i in range(100)]
+    df = selection.contained(spark.createDataFrame(forms, "hit_id long, form string"), spark.createDataFrame(called, "target_id long, name string"))
+    want = {(h, t) for h, f in forms for t, n in called if names.normalised(f) and names.normalised(f) in names.normalised(n)}
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want) and listed_last(df)
+
+
 def test_possibly_same_compares_classes_only(spark):
     rng = random.Random(5)
     pick = lambda *xs: rng.choice(xs)
