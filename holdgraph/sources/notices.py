@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdgraph.lineage import written
+
 _ID = "struct<ID:string>"
 _RESULT = f"LotResult:array<struct<TenderResultCode:string,LotTender:array<{_ID}>,TenderLot:array<{_ID}>,SettledContract:array<{_ID}>>>"
 _TENDER = f"LotTender:array<struct<ID:string,TenderingParty:array<{_ID}>,TenderLot:array<{_ID}>,LegalMonetaryTotal:struct<PayableAmount:struct<_VALUE:string,_currencyID:string>>>>"
@@ -39,7 +41,8 @@ def taken_apart(notices: DataFrame) -> dict[str, DataFrame]:
     (at, status, tender, lot, contract) and contracts (contract, award_date, reference) of notices (notice_id,
     xml), each with notice_id. XML that can't be read has no parts."""
     read = notices.select("notice_id", F.from_xml("xml", F.lit(SCHEMA), {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("n"))
-    body = read.select("notice_id", F.posexplode("n.UBLExtensions.UBLExtension.ExtensionContent.EformsExtension").alias("part", "e")).where("e IS NOT NULL")
+    # Every part and join reads from here, so the XML is read once.
+    body = written(read.select("notice_id", F.posexplode("n.UBLExtensions.UBLExtension.ExtensionContent.EformsExtension").alias("part", "e")).where("e IS NOT NULL"), "notices")
 
     def parts(path: str) -> DataFrame:
         each = body.select("notice_id", "part", F.posexplode(f"e.{path}").alias("k", "x"))
